@@ -33,9 +33,9 @@ def _fisher_yates(seed: int):
         bucket = table.column("_bucket")[0].as_py()
         # permutation() is numpy's Fisher-Yates; the seed depends on the bucket alone, so a lost task repeats it
         order = order[np.random.default_rng([seed, bucket]).permutation(len(order))]
-        place = pa.array(np.arange(len(order), dtype=np.int64))
-        table = table.take(pa.array(order)).drop_columns(["_row", "_key"])
-        return table.append_column("_place", place)
+        at = table.column("_first")[0].as_py() + np.arange(len(order), dtype=np.int64)
+        table = table.take(pa.array(order)).drop_columns(["_row", "_key", "_bucket", "_first"])
+        return table.append_column("_at", pa.array(at))
 
     return shuffle
 
@@ -58,12 +58,11 @@ def shuffle_into_shards(records: DataFrame, shards: int, columns: list[str], key
     first = first.select(F.col("_bucket").alias("_b"), "_first")
 
     kept = list(dict.fromkeys(columns))
-    rows = rows.select(*kept, "_row", "_key", "_bucket")
+    # the offsets join by the bucket that the records are dealt by anyway, so these move once
+    rows = rows.join(first, F.col("_bucket") == F.col("_b")).select(*kept, "_row", "_key", "_bucket", "_first")
     types = dict(rows.dtypes)
-    out = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "_bucket int", "_place long"])
+    out = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "_at long"])
     placed = rows.groupBy("_bucket").applyInArrow(_fisher_yates(seed), out)
-
-    placed = placed.join(first, F.col("_bucket") == F.col("_b")).withColumn("_at", F.col("_first") + F.col("_place"))
     return placed.select(*kept, *place_in_shards("_at", n, shards))
 
 
