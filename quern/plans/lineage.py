@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -29,8 +30,12 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, written to the shared folder, read back from there."""
+    """Reliable checkpoint: computed once, written to the shared folder, read back from there.
+
+    The columns get new identities, so that the result joins freely with frames that it was made from.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    return made.select(*[F.col(f"`{c}`").alias(c) for c in made.columns])
