@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.lineage import cut
+from quern.plans.lineage import written
 
 
 def subtree(nodes: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
@@ -15,12 +15,12 @@ def subtree(nodes: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFram
 
     `nodes` has id, parent_id and deleted. A level that meets only nodes already seen ends the walk, so cycles do.
     """
-    live = cut(nodes.filter("NOT deleted").select("id", "parent_id"))
-    front = cut(roots.join(live.select("id"), "id").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
+    live = written(nodes.filter("NOT deleted").select("id", "parent_id"))
+    front = written(roots.join(live.select("id"), "id").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
     levels, seen = [front], front.select("root", "id")
     for depth in range(1, max_depth + 1):
         step = front.select("root", F.col("id").alias("_p")).join(live, F.col("_p") == F.col("parent_id")).select("root", "id").distinct()
-        front = cut(step.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = written(step.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         levels.append(front)
@@ -30,13 +30,13 @@ def subtree(nodes: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFram
 
 def ancestors(nodes: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFrame:
     """id, ancestor and distance (0 for itself) for every seed; deleted ancestors included, cycles end."""
-    all_nodes = cut(nodes.select(F.col("id").alias("_id"), "parent_id"))
+    all_nodes = written(nodes.select(F.col("id").alias("_id"), "parent_id"))
     known = seeds.select("id").distinct().join(all_nodes.select("_id").distinct(), F.col("id") == F.col("_id"))
-    front = cut(known.select("id", F.col("_id").alias("ancestor"), F.lit(0).alias("distance")))
+    front = written(known.select("id", F.col("_id").alias("ancestor"), F.lit(0).alias("distance")))
     levels, seen = [front], front.select("id", "ancestor")
     for distance in range(1, max_depth + 1):
         step = front.join(all_nodes, F.col("ancestor") == F.col("_id")).filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor"))
-        front = cut(step.join(seen, ["id", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)))
+        front = written(step.join(seen, ["id", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)))
         if front.isEmpty():
             break
         levels.append(front)
@@ -46,7 +46,7 @@ def ancestors(nodes: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFr
 
 def paths(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """id and its path of names from the root."""
-    chain = ancestors(nodes, seeds).join(cut(nodes.select(F.col("id").alias("ancestor"), "name")), "ancestor")
+    chain = ancestors(nodes, seeds).join(written(nodes.select(F.col("id").alias("ancestor"), "name")), "ancestor")
     steps = chain.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("at"), "name"))).alias("_s"))
     return steps.select("id", F.array_join(F.transform("_s", lambda s: s["name"]), "/").alias("path"))
 
@@ -59,5 +59,5 @@ def would_cycle(nodes: DataFrame, moves: DataFrame) -> DataFrame:
 
 def nearest_live(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """id and its nearest ancestor that isn't deleted, itself included."""
-    up = ancestors(nodes, seeds).join(cut(nodes.filter("NOT deleted").select(F.col("id").alias("ancestor"))), "ancestor")
+    up = ancestors(nodes, seeds).join(written(nodes.filter("NOT deleted").select(F.col("id").alias("ancestor"))), "ancestor")
     return up.groupBy("id").agg(F.min_by("ancestor", "distance").alias("ancestor"))

@@ -39,3 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     made = df.checkpoint(eager=True)
     return made.select(*[F.col(f"`{c}`").alias(c) for c in made.columns])
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder in place of a plan; unlike a checkpoint it carries no constraints of the old plan."""
+    folder = fresh_dir(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
