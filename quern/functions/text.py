@@ -14,8 +14,12 @@ _SPLIT = re.compile(r'"([^"]*)"|[^\s,，、;；]+')
 
 def query_terms(query: str) -> list[str]:
     """Terms of a query string: quoted phrases stay whole, case-folded repeats go, order stays."""
-    found = (m.group(1) if m.group(1) is not None else m.group(0) for m in _SPLIT.finditer(query))
-    return list({t.casefold(): t.strip() for t in reversed(list(found)) if t.strip()}.values())[::-1]
+    terms: dict[str, str] = {}
+    for m in _SPLIT.finditer(query):
+        t = (m.group(1) if m.group(1) is not None else m.group(0)).strip()
+        if t:
+            terms.setdefault(t.casefold(), t)
+    return list(terms.values())
 
 
 def search_terms(query: str) -> list[str]:
@@ -95,7 +99,7 @@ def html_text(html: Column) -> Column:
     for code, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(code), F.lit(mark))
     t = F.regexp_replace(t, r"[ \t\x0B\f\r]+", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
 
 
 def time_stamp(line: Column) -> Column:
