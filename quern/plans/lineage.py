@@ -10,7 +10,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -38,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     made = df.checkpoint(eager=True)
-    return made.select(*[F.col(f"`{c}`").alias(c) for c in made.columns])
+    return made.toDF(*made.columns)
 
 
 def written(df: DataFrame) -> DataFrame:
