@@ -21,7 +21,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.text import WORD
-from quern.plans.columns import pick
 from quern.plans.lineage import cut
 from quern.plans.prefix import bucket_bits, running_total
 from quern.plans.rows import numbered
@@ -107,9 +106,8 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit:
     """
     if {"source", "doc_id"} & set(carry):
         raise ValueError("doc_id and source come in any case")
-    docs = numbered(docs)
-    rows = pick(docs, "doc_id", "source", "text", "_row")
-    counted = cut(rows.select("doc_id", "source", n_tokens().alias("tokens"), "_row"))  # the texts are read no more
+    docs = numbered(docs, *dict.fromkeys(["doc_id", "source", "text", *carry]))
+    counted = cut(docs.select("doc_id", "source", n_tokens().alias("tokens"), "_row"))  # the texts are read no more
     sizes = cut(source_sizes(counted))
     t = find_temperature(sizes, target_entropy, repetition_limit, budget_tokens)
     sources, n, total = sizes.agg(F.count(F.lit(1)), F.sum("n_docs"), F.sum("n_tokens")).first()
@@ -129,7 +127,9 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit:
     dealt = dealt.withColumn("_h", F.xxhash64(F.lit(seed), "epoch", "doc_id", "_row"))
     placed = running_total(dealt.drop("_s", "_passes"), ["source", "epoch"], "_h", ["_row"], F.col("tokens"), "_in", bucket_bits(n))
     placed = placed.withColumn("start", F.col("epoch") * F.col("_all") + F.col("_in"))
-    placed = placed.filter((F.col("start") < F.col("_budget")) | (F.col("_all") == 0))
+    # a budget that ends with a pass also has the empty texts at its end
+    last = (F.col("start") == F.col("_budget")) & (F.col("_budget") == (F.col("epoch") + 1) * F.col("_all"))
+    placed = placed.filter((F.col("start") < F.col("_budget")) | (F.col("_all") == 0) | last)
 
     blocks = max(1, ceil(t.budget / block_tokens), ceil(n / BLOCK_ROWS))
     block = F.least(F.lit(blocks - 1), F.floor(F.col("start") / F.greatest(F.lit(1), F.col("_budget")) * blocks))
@@ -141,6 +141,6 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit:
     out = placed.select("doc_id", "source", "tokens", "epoch", "start", "block", "slot", "weight", "exponent", "_row")
     if not carry:
         return out.drop("_row")
-    texts = pick(docs, *dict.fromkeys([*carry, "doc_id", "_row"])).withColumnsRenamed({"_row": "_r", "doc_id": "_d"})
+    texts = docs.select(*carry, "doc_id", "_row").withColumnsRenamed({"_row": "_r", "doc_id": "_d"})
     return out.join(texts, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select(*carry, *[c for c in out.columns if c != "_row"])
 

@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.columns import pick
 from quern.plans.prefix import running_total
 from quern.plans.rows import numbered
 
@@ -47,7 +46,7 @@ def shuffle_into_shards(records: DataFrame, shards: int, columns: list[str], key
     """
     if {"shard", "slot"} & {c.lower() for c in columns}:
         raise ValueError("columns may not hold shard or slot")
-    rows = pick(numbered(records), *dict.fromkeys([*columns, key, text, "_row"]))
+    rows = numbered(records, *dict.fromkeys([*columns, key, text]))
     n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
     buckets = max(1, ceil((size or 0) / bucket_bytes))
 

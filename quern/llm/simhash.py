@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from quern.llm.text import map_texts
 from quern.operators.components import connected_components
-from quern.plans.columns import pick
 from quern.plans.lineage import cut
 from quern.plans.rows import numbered
 
@@ -101,9 +100,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE,
 
 def keep_one(docs: DataFrame, columns: tuple[str, ...], radius: int = RADIUS, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """`columns` of one row of each class: the one with the smallest id (null first), then any one of its rows."""
-    docs = numbered(docs)
+    docs = numbered(docs, *dict.fromkeys([*columns, "doc_id", "text"]))
     rows = cut(fingerprints(docs, ("doc_id", "_row"), size, seed)).withColumn("_place", F.struct("doc_id", "_row"))
     kept = _named(rows, "_place", radius).select("first.*").distinct().toDF("_d", "_r")
-    source = pick(docs, *dict.fromkeys([*columns, "doc_id", "_row"]))
     same = (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    return source.join(kept, same, "left_semi").select(*columns)
+    return docs.join(kept, same, "left_semi").select(*columns)
