@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Words that a search leaves out.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "with")
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 _SPLIT = re.compile(r'"([^"]*)"|[^\s,，、;；]+')
 
 
@@ -90,13 +91,19 @@ def inner_name(name: Column) -> tuple[Column, Column]:
     return inner, suffix
 
 
-def html_text(html: Column) -> Column:
-    """Visible text of HTML: scripts, styles and comments go, block ends become lines, list items get a dash."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1\s*>|<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?i)<li[^>]*>", "\n- ")
-    t = F.regexp_replace(t, r"(?i)</?(p|div|br|tr|h[1-6]|ul|ol|table|section|article|blockquote)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for code, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+def html_text(html: Column, drop_scripts: bool = False) -> Column:
+    """Text of HTML by line: some start tags begin a line, list items get a dash, blanks and empty lines go.
+
+    Scripts and styles count as text unless `drop_scripts`.
+    """
+    t = F.coalesce(html, F.lit(""))
+    if drop_scripts:
+        t = F.regexp_replace(t, r"(?is)<(script|style)[^>]*>.*?</\1\s*>", "")
+    t = F.regexp_replace(t, r"(?s)<!--.*?-->", "")
+    t = F.regexp_replace(t, r"(?i)<li(\s[^>]*)?>", "\n- ")
+    t = F.regexp_replace(t, r"(?i)<(br|p|div|tr|h[1-6])(\s[^>]*)?/?>", "\n")
+    t = F.regexp_replace(t, r"<[!/a-zA-Z][^>]*>", "")
+    for code, mark in ENTITIES:
         t = F.replace(t, F.lit(code), F.lit(mark))
     t = F.regexp_replace(t, r"[ \t\x0B\f\r]+", " ")
     return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")

@@ -117,3 +117,10 @@ def capped_new(pairs: DataFrame, known: DataFrame, cap: int) -> DataFrame:
     bound = marked.crossJoin(F.broadcast(total)).join(F.broadcast(last), how="left")  # one row each
     before = (F.col("observation_count") > F.col("_c")) | ((F.col("observation_count") == F.col("_c")) & (F.struct("a", "b") <= F.struct("_a", "_b")))
     return bound.filter((F.col("_n") < cap) | before).select("a", "b", "observation_count", F.col("_k").isNull().alias("is_new"))
+
+
+def due(kinds: DataFrame, done: DataFrame, now: str) -> DataFrame:
+    """Task kinds (kind, every_seconds) whose last run (kind, at) is an interval ago or never was."""
+    last = done.groupBy("kind").agg(F.max("at").alias("last_at"))
+    passed = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("last_at").cast("timestamp"))
+    return kinds.join(last, "kind", "left").filter(F.col("last_at").isNull() | (passed >= F.col("every_seconds"))).select("kind", "last_at")

@@ -140,3 +140,52 @@ def reconcile_paths(tracked: DataFrame, found: DataFrame) -> DataFrame:
     moved = gone.join(come, ["sha", "n"], "full_outer")
     status = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "missing").otherwise("moved")
     return same.unionByName(moved.select("old", "new", status.alias("status")))
+
+
+def resolve_tags(wanted: DataFrame, tags: DataFrame, aliases: DataFrame) -> DataFrame:
+    """name and the tag it means: a tag of that name (through alias_of, one hop), else what the alias table says."""
+    t = tags.select(F.lower("name").alias("_n"), F.coalesce("alias_of", "id").alias("_direct")).groupBy("_n").agg(F.min("_direct").alias("_direct"))
+    a = aliases.select(F.lower("from_name").alias("_f"), "tag_id").groupBy("_f").agg(F.min("tag_id").alias("_alias"))
+    met = wanted.join(t, F.lower("name") == F.col("_n"), "left").join(a, F.lower("name") == F.col("_f"), "left")
+    return met.select("name", F.coalesce("_direct", "_alias").alias("tag_id"))
+
+
+def merge_snapshots(remote: DataFrame, local: DataFrame, key: str, time: str = "updated_at", deleted: str = "deleted_at") -> DataFrame:
+    """The newer row of each key from two snapshots of one table; on equal times a deletion wins, then the local row."""
+    both = remote.withColumn("_side", F.lit(0)).unionByName(local.withColumn("_side", F.lit(1)))
+    w = W.partitionBy(key).orderBy(F.greatest(time, deleted).desc_nulls_last(), F.col(deleted).isNotNull().desc(), F.col("_side").desc())
+    return both.withColumn("_p", F.row_number().over(w)).filter("_p = 1").drop("_p", "_side")
+
+
+def ordered_union(sources: Sequence[DataFrame], key: Sequence[str], limit: int | None = None, per: Sequence[str] = ()) -> DataFrame:
+    """Distinct keys in the order of the sources, then of their `place`; a key counts where it comes first."""
+    union = None
+    for i, s in enumerate(sources):
+        row = s.select(*key, F.lit(i).alias("_s"), "place")
+        union = row if union is None else union.unionByName(row)
+    first = union.groupBy(*key).agg(F.min(F.struct("_s", "place")).alias("_o"))
+    place = F.row_number().over((W.partitionBy(*per) if per else W.partitionBy(F.lit(0))).orderBy("_o", *key))
+    rows = first.select(*key, place.alias("place"))
+    return rows if limit is None else rows.filter(F.col("place") <= limit)
+
+
+def restructure(nodes: DataFrame, entries: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Applies a log of tree operations (seq, op, id, target): rename, move, and delete into `target` or the root.
+
+    The last operation of a kind on a node counts; moves below oneself are refused. Children and entries of a deleted
+    node go to its target. Returns (nodes, entries).
+    """
+    from quern.operators.trees import would_cycle
+
+    last = ops.groupBy("op", "id").agg(F.max_by("target", "seq").alias("target"))
+    moves = last.filter("op = 'move'").select("id", F.col("target").alias("parent_id"))
+    fine = would_cycle(nodes, moves).filter("NOT cycle").select(F.col("id").alias("_m"), F.col("parent_id").alias("_to"))
+    names = last.filter("op = 'rename'").select(F.col("id").alias("_r"), F.col("target").alias("_name"))
+    gone = last.filter("op = 'delete'").select(F.col("id").alias("_d"), F.col("target").alias("_into"))
+    out = nodes.join(fine, F.col("id") == F.col("_m"), "left").join(names, F.col("id") == F.col("_r"), "left")
+    out = out.select("id", F.when(F.col("_m").isNotNull(), F.col("_to")).otherwise(F.col("parent_id")).alias("parent_id"), F.coalesce("_name", "name").alias("name"), "deleted")
+    out = out.join(gone.toDF("_pd", "_pinto"), F.col("parent_id") == F.col("_pd"), "left").join(gone.select("_d"), F.col("id") == F.col("_d"), "left")
+    out = out.select("id", F.when(F.col("_pd").isNotNull(), F.col("_pinto")).otherwise(F.col("parent_id")).alias("parent_id"), "name", (F.col("deleted") | F.col("_d").isNotNull()).alias("deleted"))
+    placed = entries.join(gone, F.col("catalog_id") == F.col("_d"), "left")
+    placed = placed.withColumn("catalog_id", F.when(F.col("_d").isNotNull(), F.col("_into")).otherwise(F.col("catalog_id"))).drop("_d", "_into")
+    return out, placed

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows that one bucket holds on average at most.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def bucket_bits(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.binding import NOW, Store, with_store
-from quern.functions.text import contains_any, embedding_text, has_cjk, heuristic_tags, hits, html_text, inner_name, safe_name
+from quern.functions.text import ENTITIES, contains_any, embedding_text, has_cjk, heuristic_tags, hits, html_text, inner_name, safe_name
 from quern.operators import store as ops
 from quern.queries import query
 
@@ -393,7 +393,13 @@ def content_ids(s: Store) -> DataFrame:
     return s.raw("documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.substring(F.sha1(F.concat_ws("|", "lang", "source").cast("binary")), 1, 24).alias("cluster"))
 
 
-@query("x36_html_text")
+_HTML = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?i)<li(\\s[^>]*)?>', chr(10) || '- ', 'g'), '(?i)<(br|p|div|tr|h[1-6])(\\s[^>]*)?/?>', chr(10), 'g'), '<[!/a-zA-Z][^>]*>', '', 'g')"
+for _code, _mark in ENTITIES:
+    _HTML = f"replace({_HTML}, '{_code}', '{_mark.replace(chr(39), chr(39) * 2)}')"
+_HTML = f"regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \\t\\v\\f\\r]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("x36_html_text", f"SELECT page_id, {_HTML} AS text FROM pages")
 def html_texts(s: Store) -> DataFrame:
     return s.raw("pages").select("page_id", html_text(F.col("html")).alias("text"))
 

