@@ -4,7 +4,7 @@ A source's share of all tokens, raised to an exponent between 0 and 1 and normal
 bisected: either the largest whose weights reach a target entropy, or the smallest whose weights repeat no source
 more than `repetition_limit` times. Weights become token budgets, and a budget becomes whole and partial passes over
 a source, each pass in a seeded permutation of its own; the passes of all sources are cut into blocks that each hold
-every source in its weight, and each block is permuted in turn.
+every source in its weight, and each block is permuted in turn. The same files and seed give the same result.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens, come with every pass that
 reaches their place in the permutation, and a source of nothing but those takes its single pass; repeated rows are
