@@ -1,11 +1,18 @@
-"""Vector search by dot product, exact, in plain expressions."""
+"""Vector search by dot product, exact."""
 
 from __future__ import annotations
 
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Records in a lane and queries in a block, about.
+LANE, BLOCK = 8192, 1024
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -25,13 +32,36 @@ def unit(v: Column) -> Column:
 def search(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, entry_id, score, rank: the k best entries of each query, an entry by its best record.
 
-    The query table is stated by the caller (query_id, query); it is what the records are scored against, block by
-    block, and each task keeps the best of its own before anything is shuffled.
+    Queries (query_id, query) and records (entry_id, vector) meet in cells of bounded size: a lane of entries by a block
+    of queries. A cell multiplies two matrices and passes on the k best entries of each query. Rows with a null vector
+    are left out; all vectors have one length.
     """
-    scored = records.join(queries.hint("broadcast") if queries.count() <= 1000 else queries).select("query_id", "entry_id", F.round(dot(F.col("vector"), F.col("query")), 6).alias("score"))
-    best = scored.groupBy("query_id", "entry_id").agg(F.max("score").alias("score"))
+    records, queries = records.filter("vector IS NOT NULL"), queries.filter("query IS NOT NULL")
+    lanes, blocks = max(1, ceil(records.count() / LANE)), max(1, ceil(queries.count() / BLOCK))
+    lane, block = F.pmod(F.xxhash64("entry_id"), F.lit(lanes)), F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    left = records.select("entry_id", "vector", lane.alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = queries.select("query_id", "query", block.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"))
+    types = dict(left.dtypes) | dict(right.dtypes)
+
+    def cell(r: pa.Table, q: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        if r.num_rows and q.num_rows:
+            r = r.sort_by("entry_id")
+            rows, asked = (np.stack(t.column(c).to_numpy()).astype(np.float64) for t, c in ((r, "vector"), (q, "query")))
+            ids = r.column("entry_id").to_pylist()
+            starts = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
+            best = np.round(np.maximum.reduceat(asked @ rows.T, starts, axis=1), 6)
+            for query_id, scores in zip(q.column("query_id").to_pylist(), best):
+                # entries are in order of id, and the sort is stable: ties go to the smaller
+                for i in np.argsort(-scores, kind="stable")[:k]:
+                    for column, value in zip(out, (query_id, ids[starts[i]], float(scores[i]))):
+                        column.append(value)
+        return pa.table({"query_id": pa.array(out[0], q.schema.field("query_id").type), "entry_id": pa.array(out[1], r.schema.field("entry_id").type), "score": pa.array(out[2], pa.float64())})
+
+    met = left.groupBy("block", "lane").cogroup(right.groupBy("_block", "_lane"))
+    found = met.applyInArrow(cell, f"query_id {types['query_id']}, entry_id {types['entry_id']}, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "entry_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def best_sections(records: DataFrame, query: list[float], scope: DataFrame, least: float = 0.45) -> DataFrame:
