@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from math import ceil, log2
 
 import numpy as np
@@ -115,16 +116,20 @@ class Vocabulary:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all tokens of several texts in a row, and how many tokens each has."""
         split = [t.lower().split() for t in texts]
-        new = list({w for words in split for w in words}.difference(self._known))
+        flat = list(chain.from_iterable(split))
+        new = list(set(flat).difference(self._known))
         if len(self._known) + len(new) > CACHE_WORDS:
             self._known = {}
-            new = list({w for words in split for w in words})
+            new = list(set(flat))
         if END not in self._known:
             new.append(END)
         self._known.update(zip(new, self.find(new).tolist()))
-        sizes = np.array([len(words) + 1 for words in split])
-        flat = (w for words in split for w in (*words, END))
-        return np.fromiter(map(self._known.__getitem__, flat), np.int64, int(sizes.sum())), sizes
+        sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
+        ids = np.full(int(sizes.sum()), self._known[END], np.int64)
+        inside = np.ones(len(ids), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        ids[inside] = np.fromiter(map(self._known.__getitem__, flat), np.int64, len(flat))
+        return ids, sizes
 
 
 def _bigrams(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
