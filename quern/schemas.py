@@ -1,18 +1,16 @@
-"""Spark types of the store's tables (closed value sets are in the comments)."""
+"""Schemas of the store's tables, as Spark takes them in text (closed value sets are in the comments)."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
 
-
-def _struct(**columns: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items()))
+def _struct(**columns: str) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in columns.items())
 
 
 _TIMES = {"created_at": "timestamp", "updated_at": "timestamp"}
 SECTION = "struct<id: string, title: string, summary: string, key_terms: array<string>, anchor: struct<unit: string, value: string>>"
 
-TABLES: dict[str, T.StructType] = {
+TABLES: dict[str, str] = {
     "folders": _struct(id="string", parent_id="string", name="string", **_TIMES, deleted_at="timestamp"),
     # ingest_status: pending, processing, done, failed
     "files": _struct(
