@@ -7,9 +7,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that a search leaves out.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "with")
+#: Words that a search leaves out, and further ones that ranking leaves out.
+STOP_WORDS = ("about", "after", "against", "and", "are", "does", "from", "have", "into", "than", "that", "the", "their", "this", "with")
+RANK_STOP_WORDS = ("about", "after", "and", "are", "consisting", "does", "from", "have", "into", "larger", "than", "that", "the", "their", "this", "with")
+#: What a tag of a facet weighs in ranking; 2 for any other facet.
+FACET_WEIGHTS = {"topic": 8.0, "source": 5.0, "time": 4.0, "extra": 4.0, "form": 1.5, "language": 0.5}
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_CJK = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 _SPLIT = re.compile(r'"([^"]*)"|[^\s,，、;；]+')
 
 
@@ -24,9 +28,27 @@ def query_terms(query: str) -> list[str]:
 
 
 def search_terms(query: str) -> list[str]:
+    """Terms that select rows: stop words go."""
     return [t for t in query_terms(query) if t.lower() not in STOP_WORDS]
 
 
+def rank_terms(terms: list[str]) -> list[str]:
+    """Terms that score rows: each term whole, then its words; bare of marks, without stop words, repeats and short noise."""
+    found: dict[str, str] = {}
+    for term in terms:
+        for t in (term, *re.findall(r"[A-Za-z0-9][A-Za-z0-9+_./-]*", term)):
+            t = t.strip().strip(".,;:!?()[]{}\"'")
+            noise = len(t) < 4 and not any(c.isdigit() or c.isupper() for c in t) and not _CJK.search(t)
+            if t and not noise and t.casefold() not in RANK_STOP_WORDS:
+                found.setdefault(t.casefold(), t)
+    return list(found.values())
+
+
+def facet_weight(facet: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in FACET_WEIGHTS.items() for x in kv])
+    return F.coalesce(table[facet], F.lit(2.0))
+
+
 def hits(haystack: Column, term: str) -> Column:
     """Times that `term` occurs, without overlap and regardless of case."""
     low = F.lower(F.coalesce(haystack, F.lit("")))

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.text import hits, recall_weight
+
 RRF_K = 60
 #: Share of each bucket in the evidence, in order; what is left goes to the others.
 QUOTAS = (("overlap", 0.35), ("tag", 0.20), ("lexical", 0.25))
+#: The same in evaluation runs, which have no tag bucket.
+EVAL_QUOTAS = (("overlap", 0.4), ("lexical", 0.4))
 TOKEN = r"[A-Za-z0-9À-ÿ]+"
 
 
@@ -55,16 +59,35 @@ def rrf(ranks: tuple[str, ...] = ("tag_rank", "lexical_rank", "semantic_rank"),
 
 
 def bucket() -> Column:
-    found = sum((F.col(r).isNotNull().cast("int") for r in ("tag_rank", "lexical_rank", "semantic_rank")), F.lit(0))
-    return (
-        F.when(found >= 2, "overlap").when(F.col("tag_rank").isNotNull(), "tag").when(F.col("lexical_rank").isNotNull(), "lexical").when(F.col("semantic_rank").isNotNull(), "semantic").otherwise("other")
-    )
+    """overlap (lexical and semantic), else tag, lexical, semantic, other."""
+    t, x, m = (F.col(c).isNotNull() for c in ("tag_rank", "lexical_rank", "semantic_rank"))
+    return F.when(x & m, "overlap").when(t, "tag").when(x, "lexical").when(m, "semantic").otherwise("other")
 
 
 def overlap_bonus() -> Column:
-    """More for entries that several sources agree on."""
-    t, x, s = (F.col(c).isNotNull() for c in ("tag_rank", "lexical_rank", "semantic_rank"))
-    return F.when(x & s & t, 1.5).when(x & s, 1.2).when(t & s, 0.8).when(t & x, 0.5).otherwise(0.0)
+    """1.2 for tags, 1.5 for lexical with semantic, 0.8 for tags with lexical, 0.5 for tags with semantic."""
+    t, x, m = (F.col(c).isNotNull() for c in ("tag_rank", "lexical_rank", "semantic_rank"))
+    return F.when(t, 1.2).otherwise(0.0) + F.when(x & m, 1.5).otherwise(0.0) + F.when(t & x, 0.8).otherwise(0.0) + F.when(t & m, 0.5).otherwise(0.0)
+
+
+def field_match(terms: list[str], fields: dict[str, float] | None = None) -> Column:
+    """At most 2 for weighted hits (two a field at most), plus the share of terms found."""
+    fields = {"display_name": 2.4, "summary": 1.4, "kind": 0.2} if fields is None else fields
+    raw, covered = F.lit(0.0), F.lit(0.0)
+    for t in terms:
+        found = F.lit(0.0)
+        for column, weight in fields.items():
+            found = found + F.lit(weight) * F.least(hits(F.col(column), t), F.lit(2))
+        raw = raw + found * F.lit(recall_weight(t))
+        covered = covered + F.when(found > 0, 1.0).otherwise(0.0)
+    return F.least(raw, F.lit(2.0)) + covered / len(terms) if terms else F.lit(0.0)
+
+
+def evidence_utility(summary: Column, partial: Column, chunks: Column, cut: Column) -> Column:
+    """0.4 for a summary, 0.3 for a whole index, 0.2 for chunks or pages, less 0.2 for a cut or sampled text."""
+    has = F.when(F.trim(F.coalesce(summary, F.lit(""))) != "", 0.4).otherwise(0.0)
+    whole = F.when(~partial, 0.3).otherwise(0.0)
+    return has + whole + F.when(chunks > 0, 0.2).otherwise(0.0) - F.when(cut, 0.2).otherwise(0.0)
 
 
 def scored(merged: DataFrame, utility: Column | None = None) -> DataFrame:
@@ -77,11 +100,11 @@ def scored(merged: DataFrame, utility: Column | None = None) -> DataFrame:
 def select_evidence(rows: DataFrame, limit: int, quotas: tuple = QUOTAS) -> DataFrame:
     """At most `limit` rows a query: each bucket's quota in rank order, then the best of the rest, in that order.
 
-    Quotas are rounded half to even and are at least 1; the last bucket, semantic, takes what is left.
+    Quotas are rounded half to even and are at least 1; the last bucket, semantic, has what is left of the limit.
     """
-    takes = {name: max(1, round(share * limit)) for name, share in quotas}
-    takes["semantic"] = max(1, limit - sum(takes.values()))
-    order = [F.col("score").desc(), "entry_id"]
+    takes = {name: max(1, round(share * limit)) for name, share in quotas} if limit > 1 else {quotas[0][0]: limit}
+    takes["semantic"] = max(0, limit - sum(takes.values()))
+    order = [F.col("score").desc(), F.col("rrf").desc(), "entry_id"]
     place = F.row_number().over(W.partitionBy("query_id", "bucket").orderBy(*order))
     table = F.create_map(*[F.lit(x) for kv in takes.items() for x in kv])
     group = F.create_map(*[F.lit(x) for i, n in enumerate(takes) for x in (n, i)])

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.text import contains_any, hits, search_terms, search_weight
+from quern.functions.text import contains_any, facet_weight, hits, query_terms, rank_terms, search_terms, search_weight
 
 ACTIVE = ("active", "manual_active")
-#: Weights of fields in metadata ranking, by column of `live`.
-FIELD_WEIGHTS = {"display_name": 22.0, "summary": 14.0, "folder_id": 10.0, "catalog_id": 6.0, "kind": 1.0}
+#: Weights of fields in metadata ranking.
+FIELD_WEIGHTS = {"display_name": 22.0, "summary": 14.0, "file_extra": 10.0, "extra": 10.0, "description": 6.0, "original_ext": 1.0}
 
 
 def live(entries: DataFrame, files: DataFrame) -> DataFrame:
@@ -67,24 +67,34 @@ def filter_entries(
     return rows
 
 
-def rank_score(terms: Sequence[str], fields: dict[str, float] | None = None) -> Column:
-    """Sum over fields and terms of field weight x at most three hits x term weight, plus 5 for each term found."""
+def rank_score(terms: Sequence[str], fields: dict[str, float]) -> Column:
+    """Sum over terms of term weight x (field weight x at most three hits), plus 5 x the share of terms found."""
     total, covered = F.lit(0.0), F.lit(0.0)
-    fields = FIELD_WEIGHTS if fields is None else fields
     for t in terms:
-        any_hit = F.lit(0)
+        found = F.lit(0.0)
         for column, weight in fields.items():
-            n = hits(F.col(column), t)
-            total = total + F.lit(weight * search_weight(t)) * F.least(n, F.lit(3))
-            any_hit = F.greatest(any_hit, n)
-        covered = covered + F.when(any_hit > 0, 5.0).otherwise(0.0)
-    return F.round(total + covered, 6)
+            found = found + F.lit(weight) * F.least(hits(F.col(column), t), F.lit(3))
+        total = total + found * F.lit(search_weight(t))
+        covered = covered + F.when(found > 0, 1.0).otherwise(0.0)
+    return total + 5.0 * covered / len(terms) if terms else total
+
 
+def tag_bonus(entry_tags: DataFrame, terms: Sequence[str], requested: Sequence[str] = ()) -> DataFrame:
+    """entry_id and bonus: facet weight + 4 for each requested tag, facet weight x term weight for each term in a name."""
+    w = facet_weight(F.col("facet"))
+    bonus = F.when(F.col("name").isin(list(requested)), w + 4.0).otherwise(F.lit(0.0))
+    for t in terms:
+        bonus = bonus + F.when(hits(F.col("name"), t) > 0, w * search_weight(t)).otherwise(0.0)
+    return entry_tags.select("entry_id", bonus.alias("_b")).filter("_b > 0").groupBy("entry_id").agg(F.sum("_b").alias("bonus"))
 
-def search_metadata(rows: DataFrame, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Live rows that hold a term of the query, best first; ties by newest, then id."""
-    terms = search_terms(query)
-    found = rows.filter(contains_any([F.col(c) for c in FIELD_WEIGHTS], terms)).withColumn("score", rank_score(terms))
+
+def search_metadata(rows: DataFrame, query: str, entry_tags: DataFrame, fields: dict[str, float] | None = None, requested: Sequence[str] = (), limit: int = 20, offset: int = 0) -> DataFrame:
+    """Live rows that hold a term of the query in any field, best first; ties by newest, then id."""
+    fields = FIELD_WEIGHTS if fields is None else fields
+    found = rows.filter(contains_any([F.col(c) for c in fields], search_terms(query)))
+    terms = rank_terms(query_terms(query))
+    found = found.join(tag_bonus(entry_tags, terms, requested), "entry_id", "left")
+    found = found.withColumn("score", F.round(rank_score(terms, fields) + F.coalesce("bonus", F.lit(0.0)), 6))
     return found.orderBy(F.col("score").desc(), F.col("updated_at").desc(), "entry_id").offset(offset).limit(limit)
 
 

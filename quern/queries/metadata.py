@@ -7,11 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.binding import NOW, Store, with_store
-from quern.functions.text import ENTITIES, contains_any, embedding_text, has_cjk, heuristic_tags, hits, html_text, inner_name, safe_name
+from quern.functions.text import ENTITIES, FACET_WEIGHTS, contains_any, embedding_text, has_cjk, heuristic_tags, hits, html_text, inner_name, safe_name, search_weight
 from quern.operators import store as ops
 from quern.queries import query
 
-TERMS = ["the", "enation", "erst"]
 _LIVE = """live AS (SELECT e.*, f.sha256, f.size_bytes, f.kind, f.summary, f.ingest_status, f.ingested_at, f.original_ext FROM entries e JOIN files f ON e.file_id = f.file_id
   WHERE e.deleted_at IS NULL AND f.deleted_at IS NULL)"""
 
@@ -28,23 +27,28 @@ def _count(text: str, term: str) -> str:
     return f"((length(lower(coalesce({text}, ''))) - length(replace(lower(coalesce({text}, '')), '{term}', ''))) // {len(term)})"
 
 
-def _score(terms: list[str]) -> str:
-    from quern.functions.text import search_weight
+#: Columns of the bound store for the fields that ranking weighs.
+FIELDS = {"display_name": 22.0, "summary": 14.0, "folder_id": 10.0, "catalog_id": 10.0, "body": 6.0, "original_ext": 1.0}
+QUERY, TERMS, REQUESTED = "the erst enation, src1", ["erst", "enation", "src1"], ["clean"]
 
-    parts = []
-    for t in terms:
-        counts = {c: _count(c, t) for c in ops.FIELD_WEIGHTS}
-        parts += [f"{w * search_weight(t)} * least({counts[c]}, 3)" for c, w in ops.FIELD_WEIGHTS.items()]
-        parts.append(f"CASE WHEN greatest({', '.join(counts.values())}) > 0 THEN 5.0 ELSE 0.0 END")
-    return "round(" + " + ".join(parts) + ", 6)"
 
+def _score() -> str:
+    found = {t: " + ".join(f"{w} * least({_count(c, t)}, 3)" for c, w in FIELDS.items()) for t in TERMS}
+    total = " + ".join(f"{search_weight(t)} * ({x})" for t, x in found.items())
+    return f"{total} + 5.0 * ({' + '.join(f'CASE WHEN {x} > 0 THEN 1 ELSE 0 END' for x in found.values())}) / {len(TERMS)}"
 
-_ANY = " OR ".join(f"contains(lower(coalesce({c}, '')), '{t}')" for c in ops.FIELD_WEIGHTS for t in ["erst", "enation"])
 
+_FACET = "CASE facet " + " ".join(f"WHEN '{f}' THEN {w}" for f, w in FACET_WEIGHTS.items()) + " ELSE 2.0 END"
+_BONUS = f"SELECT entry_id, sum(CASE WHEN name = 'clean' THEN {_FACET} + 4.0 ELSE 0 END + " + " + ".join(f"CASE WHEN contains(lower(name), '{t}') THEN {_FACET} * {search_weight(t)} ELSE 0 END" for t in TERMS) + ") AS bonus FROM entry_tags GROUP BY entry_id"
+_ANY = " OR ".join(f"contains(lower(coalesce({c}, '')), '{t}')" for c in FIELDS for t in TERMS)
 
-@query("f00_search", _sql(f"SELECT entry_id, CAST({_score(['erst', 'enation'])} AS DOUBLE) AS score FROM live WHERE {_ANY} ORDER BY score DESC, updated_at DESC, entry_id LIMIT 20"))
+
+@query(
+    "f00_search",
+    _sql(f"SELECT entry_id, CAST(round(CAST({_score()} AS DOUBLE) + coalesce(CAST(bonus AS DOUBLE), 0), 6) AS DOUBLE) AS score FROM (SELECT live.*, body FROM live JOIN files USING (file_id)) LEFT JOIN ({_BONUS}) USING (entry_id) WHERE {_ANY} ORDER BY score DESC, updated_at DESC, entry_id LIMIT 20", "entry_tags"),
+)
 def search(s: Store) -> DataFrame:
-    return ops.search_metadata(_live(s), "the erst enation").select("entry_id", F.col("score").cast("double").alias("score"))
+    return ops.search_metadata(ops.live(s.entries, s.files), QUERY, s.entry_tags, FIELDS, REQUESTED).select("entry_id", "score")
 
 
 @query(

@@ -305,15 +305,16 @@ _MERGED = f"""WITH {_BM25}, lx AS (SELECT query_id, entry_id, row_number() OVER
   tx AS (SELECT item_id AS query_id, doc_id AS entry_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars DESC, doc_id) AS r FROM benchmark JOIN documents ON source = 'src' || (item_id % 20) QUALIFY r <= 30),
   u AS (SELECT query_id, entry_id, r AS t, NULL AS x, NULL AS s FROM tx UNION ALL SELECT query_id, entry_id, NULL, r, NULL FROM lx UNION ALL SELECT query_id, entry_id, NULL, NULL, r FROM sx),
   mg AS (SELECT query_id, entry_id, CAST(min(t) AS INTEGER) AS tag_rank, CAST(min(x) AS INTEGER) AS lexical_rank, CAST(min(s) AS INTEGER) AS semantic_rank FROM u GROUP BY ALL),
-  sc AS (SELECT *, CASE WHEN (tag_rank IS NOT NULL)::INT + (lexical_rank IS NOT NULL)::INT + (semantic_rank IS NOT NULL)::INT >= 2 THEN 'overlap' WHEN tag_rank IS NOT NULL THEN 'tag' WHEN lexical_rank IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS bucket,
+  sc AS (SELECT *, CASE WHEN lexical_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN 'overlap' WHEN tag_rank IS NOT NULL THEN 'tag' WHEN lexical_rank IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS bucket,
+    coalesce(1.0 / (60 + tag_rank), 0.0) + coalesce(1.0 / (60 + lexical_rank), 0.0) + coalesce(1.0 / (60 + semantic_rank), 0.0) AS rrf,
     round(1000 * (coalesce(1.0 / (60 + tag_rank), 0.0) + coalesce(1.0 / (60 + lexical_rank), 0.0) + coalesce(1.0 / (60 + semantic_rank), 0.0)) +
-    CASE WHEN lexical_rank IS NOT NULL AND semantic_rank IS NOT NULL AND tag_rank IS NOT NULL THEN 1.5 WHEN lexical_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN 1.2
-      WHEN tag_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN 0.8 WHEN tag_rank IS NOT NULL AND lexical_rank IS NOT NULL THEN 0.5 ELSE 0.0 END, 4) AS score FROM mg)"""
+    CASE WHEN tag_rank IS NOT NULL THEN 1.2 ELSE 0.0 END + CASE WHEN lexical_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN 1.5 ELSE 0.0 END
+    + CASE WHEN tag_rank IS NOT NULL AND lexical_rank IS NOT NULL THEN 0.8 ELSE 0.0 END + CASE WHEN tag_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN 0.5 ELSE 0.0 END, 4) AS score FROM mg)"""
 _QUOTA = (
     _MERGED
-    + """, qt AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY score DESC, entry_id) AS rn FROM sc),
+    + """, qt AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY score DESC, rrf DESC, entry_id) AS rn FROM sc),
   gr AS (SELECT *, CASE WHEN bucket = 'overlap' AND rn <= 4 THEN 0 WHEN bucket = 'tag' AND rn <= 2 THEN 1 WHEN bucket = 'lexical' AND rn <= 2 THEN 2 WHEN bucket = 'semantic' AND rn <= 2 THEN 3 ELSE 4 END AS g FROM qt),
-  ev AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY g, score DESC, entry_id) AS INTEGER) AS place FROM gr QUALIFY place <= 10)"""
+  ev AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY g, score DESC, rrf DESC, entry_id) AS INTEGER) AS place FROM gr QUALIFY place <= 10)"""
 )
 _QRELS = "qr AS (SELECT item_id AS query_id, doc_id AS entry_id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
@@ -358,6 +359,22 @@ def rrf_scores(s: Store) -> DataFrame:
     return _merged(s).drop("rrf")
 
 
+@query(
+    "x09_evidence_scores",
+    with_store(
+        """SELECT file_id, round(least(1.4 * 1.75 * least((length(lower(summary)) - length(replace(lower(summary), 'licensed', ''))) // 8, 2) +
+      1.4 * 1.0 * least((length(lower(summary)) - length(replace(lower(summary), 'erst', ''))) // 4, 2), 2.0) + (CAST(contains(lower(summary), 'licensed') AS INT) + CAST(contains(lower(summary), 'erst') AS INT)) / 2.0, 6) AS field_match,
+      round(CASE WHEN trim(coalesce(summary, '')) <> '' THEN 0.4 ELSE 0 END + CASE WHEN size_bytes <= 500 THEN 0.3 ELSE 0 END + CASE WHEN size_bytes > 100 THEN 0.2 ELSE 0 END - CASE WHEN size_bytes > 5000 THEN 0.2 ELSE 0 END, 6) AS utility FROM files""",
+        "files",
+    ),
+)
+def evidence_scores(s: Store) -> DataFrame:
+    match = retrieval.field_match(["Licensed", "erst"], {"summary": 1.4})
+    size = F.col("size_bytes")
+    utility = retrieval.evidence_utility(F.col("summary"), size > 500, F.when(size > 100, size).otherwise(0), size > 5000)
+    return s.files.select("file_id", F.round(match, 6).alias("field_match"), F.round(utility, 6).alias("utility"))
+
+
 @query("h01_recall", _QUOTA + " SELECT query_id, entry_id, bucket, CAST(score AS DOUBLE) AS score, place FROM ev")
 def recall(s: Store) -> DataFrame:
     return _evidence(s).select("query_id", "entry_id", "bucket", "score", "place")

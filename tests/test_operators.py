@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions.text import cluster_id, contains_any, has_level, hits, html_text, level, query_terms, recall_weight, safe_name, search_terms, search_weight, time_stamp
+from quern.functions.text import cluster_id, contains_any, has_level, hits, html_text, level, query_terms, rank_terms, recall_weight, safe_name, search_terms, search_weight, time_stamp
 from quern.operators import evaluation, graph, lifecycle, logs, retrieval, store, trees, vectors
 from quern.operators.components import connected_components
 from quern.plans.columns import pick
@@ -58,7 +58,9 @@ def test_level_rules(spark):
 
 def test_terms():
     assert query_terms('raft "leader election", Raft 数据；x') == ["raft", "leader election", "数据", "x"]
-    assert search_terms("the raft of it") == ["raft", "it"]
+    assert search_terms("the raft of it") == ["raft", "of", "it"]
+    assert rank_terms(["1/2000 in UK have abnormal PrP positivity."]) == ["1/2000 in UK have abnormal PrP positivity", "1/2000", "UK", "abnormal", "PrP", "positivity"]
+    assert rank_terms(["数据", "ab", "With"]) == ["数据"]
     assert search_weight("PrP/2000") == pytest.approx(1 + 0.5 + 1.0 + 0.6 + 0.4)
     assert recall_weight("abc") == 1
 
@@ -124,11 +126,35 @@ def test_quota_and_rerank(spark):
     merged = spark.createDataFrame(rows, "query_id int, entry_id string, tag_rank int, lexical_rank int, semantic_rank int")
     chosen = retrieval.select_evidence(retrieval.scored(merged), 10).orderBy("place").collect()
     assert [r.bucket for r in chosen] == ["overlap"] * 4 + ["tag"] * 2 + ["lexical"] * 2 + ["semantic"] * 2
+    judged = retrieval.scored(merged.filter("tag_rank IS NULL"))
+    chosen = retrieval.select_evidence(judged, 10, retrieval.EVAL_QUOTAS).orderBy("place").collect()
+    assert [r.bucket for r in chosen] == ["overlap"] * 4 + ["lexical"] * 4 + ["semantic"] * 2
     listed = spark.createDataFrame([(1, f"e{i}", i + 1) for i in range(5)], "query_id int, entry_id string, place int")
     scores = spark.createDataFrame([(1, "e2", 0.9), (1, "e0", 0.5), (1, "e1", 0.1)], "query_id int, entry_id string, score double")
     assert [r.entry_id for r in retrieval.rerank(listed, scores, 3).orderBy("place").collect()] == ["e2", "e0", "e1", "e3", "e4"]
 
 
+def test_metadata_rank(spark):
+    rows = spark.createDataFrame([(1, "a.txt", "UK study: abnormal PrP positivity 1/2000", None, None, "x", "txt"), (2, "b.txt", "generic notes", None, None, "study of abnormal things", "txt")], "entry_id int, display_name string, summary string, file_extra string, extra string, description string, original_ext string")
+    rows = rows.withColumn("updated_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    tags = spark.createDataFrame([(2, "topic", "abnormal"), (1, "form", "pdf")], "entry_id int, facet string, name string")
+    got = store.search_metadata(rows, "1/2000 in UK have abnormal PrP positivity.", tags).collect()
+    assert [r.entry_id for r in got] == [1, 2]
+    assert got[1].bonus == pytest.approx(8.0 * 1.5)
+    asked = store.search_metadata(rows, "abnormal", tags, requested=["pdf"]).collect()
+    # 14 x 1.5 + 5 + 1.5 + 4 for the first, 6 x 1.5 + 5 + 8 x 1.5 for the second
+    assert {r.entry_id: r.score for r in asked} == {1: pytest.approx(31.5), 2: pytest.approx(26.0)}
+
+
+def test_recall_components(spark):
+    row = spark.createDataFrame([("raft raft raft", "raft", "text", True, 0, True)], "display_name string, summary string, kind string, partial boolean, chunks int, cut boolean")
+    got = row.select(retrieval.field_match(["raft", "none"]), retrieval.evidence_utility(F.col("summary"), F.col("partial"), F.col("chunks"), F.col("cut"))).first()
+    assert got[0] == pytest.approx(2.0 + 0.5) and got[1] == pytest.approx(0.4 - 0.2)
+    ranks = spark.createDataFrame([(1, 1, 1), (1, None, None), (None, 1, 1), (1, 1, None), (1, None, 1)], "tag_rank int, lexical_rank int, semantic_rank int")
+    assert [round(r[0], 6) for r in ranks.select(retrieval.overlap_bonus()).collect()] == [4.0, 1.2, 1.5, 2.0, 1.7]
+    assert [r[0] for r in ranks.select(retrieval.bucket()).collect()] == ["overlap", "tag", "overlap", "tag", "tag"]
+
+
 def test_evaluation(spark):
     run = spark.createDataFrame([("q1", "d1", 1), ("q1", "d2", 2), ("q2", "d3", 1)], "query_id string, entry_id string, place int")
     qrels = spark.createDataFrame([("q1", "d2", 2), ("q1", "d9", 1), ("q2", "d3", 0)], "query_id string, entry_id string, rel int")
