@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import has_level, python_pattern, time_stamp
+from quern.functions.text import level as detected
 
 #: A pattern longer than this is refused: Java's engine has no bound on its time.
 MAX_PATTERN = 1000
@@ -80,3 +81,19 @@ def around(lines: DataFrame, match: Column, k: int) -> DataFrame:
     hits = lines.filter(match).select(F.col("line_no").alias("match_no"))
     near = hits.select("match_no", F.explode(F.sequence(F.col("match_no") - k, F.col("match_no") + k)).alias("line_no"))
     return near.join(lines, "line_no").groupBy("match_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("context"))
+
+
+#: Levels from the weakest to the strongest.
+LEVELS = ("DEBUG", "INFO", "WARN", "ERROR", "FATAL")
+
+
+def at_least(lines: DataFrame, weakest: str) -> DataFrame:
+    """Lines whose detected level is `weakest` or stronger."""
+    return lines.filter(detected(F.col("text")).isin(*LEVELS[LEVELS.index(weakest.upper()) :]))
+
+
+def pattern_hits(lines: DataFrame, pattern: str, limit: int, offset: int = 0) -> DataFrame:
+    """line_no, hit (from 0), match and level of every match, several in a line counting each."""
+    found = F.regexp_extract_all("text", F.lit(checked(pattern)), F.lit(0))
+    rows = lines.select("line_no", detected(F.col("text")).alias("level"), F.posexplode(found).alias("hit", "match"))
+    return rows.orderBy("line_no", "hit").offset(offset).limit(limit).select("line_no", "hit", "match", "level")
