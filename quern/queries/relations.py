@@ -362,9 +362,9 @@ def rrf_scores(s: Store) -> DataFrame:
 @query(
     "x09_evidence_scores",
     with_store(
-        """SELECT file_id, round(least(1.4 * 1.75 * least((length(lower(summary)) - length(replace(lower(summary), 'licensed', ''))) // 8, 2) +
-      1.4 * 1.0 * least((length(lower(summary)) - length(replace(lower(summary), 'erst', ''))) // 4, 2), 2.0) + (CAST(contains(lower(summary), 'licensed') AS INT) + CAST(contains(lower(summary), 'erst') AS INT)) / 2.0, 6) AS field_match,
-      round(CASE WHEN trim(coalesce(summary, '')) <> '' THEN 0.4 ELSE 0 END + CASE WHEN size_bytes <= 500 THEN 0.3 ELSE 0 END + CASE WHEN size_bytes > 100 THEN 0.2 ELSE 0 END - CASE WHEN size_bytes > 5000 THEN 0.2 ELSE 0 END, 6) AS utility FROM files""",
+        """SELECT file_id, round(CAST(least(1.4 * 1.75 * least((length(lower(summary)) - length(replace(lower(summary), 'licensed', ''))) // 8, 2) +
+      1.4 * 1.0 * least((length(lower(summary)) - length(replace(lower(summary), 'erst', ''))) // 4, 2), 2.0) + (CAST(contains(lower(summary), 'licensed') AS INT) + CAST(contains(lower(summary), 'erst') AS INT)) / 2.0 AS DOUBLE), 6) AS field_match,
+      round(CAST(CASE WHEN trim(coalesce(summary, '')) <> '' THEN 0.4 ELSE 0 END + CASE WHEN size_bytes <= 500 THEN 0.3 ELSE 0 END + CASE WHEN size_bytes > 100 THEN 0.2 ELSE 0 END - CASE WHEN size_bytes > 5000 THEN 0.2 ELSE 0 END AS DOUBLE), 6) AS utility FROM files""",
         "files",
     ),
 )
