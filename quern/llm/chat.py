@@ -90,14 +90,17 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("node", "parent", "start", "position", "length", "segment", "body_start", "body_length", "trained")
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    """The nodes that each conversation owns, with the intervals of their ancestors; intervals that touch are one."""
+    names = ("depth", "node", "parent", "start", "position", "length")
+    kinds = {"depth": pa.int32(), "node": pa.string(), "parent": pa.string(), "ancestors": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
     for batch in batches:
         out: dict[str, list] = {n: [] for n in (*names, "ancestors")}
-        for way in batch.column("way").to_pylist():
+        rows: list[int] = []
+        for i, way in enumerate(batch.column("way").to_pylist()):
             spans: list[dict[str, int]] = []
             for t in way:
                 if t["own"]:
+                    rows.append(i)
                     for n in names:
                         out[n].append(t[n])
                     out["ancestors"].append([dict(s) for s in spans])
@@ -105,8 +108,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     spans[-1] = {"start": spans[-1]["start"], "end": t["start"] + t["length"]}
                 else:
                     spans.append({"start": t["start"], "end": t["start"] + t["length"]})
-        types = {"node": pa.string(), "parent": pa.string(), "segment": pa.string(), "trained": pa.bool_(), "ancestors": kind}
-        yield pa.RecordBatch.from_arrays([pa.array(v, types.get(n, pa.int64())) for n, v in out.items()], names=list(out))
+        arrays = [pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()]
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(pa.array(rows, pa.int64())), *arrays], names=["conv_id", *out])
 
 
 def prefix_trees(conversations: DataFrame) -> PrefixTrees:
@@ -118,23 +121,30 @@ def prefix_trees(conversations: DataFrame) -> PrefixTrees:
     kind = dict(rows.dtypes)["conv_id"]
     turns = cut(whole.mapInArrow(_turns, f"conv_id {kind}, depth int, node string, parent string, order_key long, segment string, length long, body_start long, body_length long, trained boolean"))
 
-    owners = turns.groupBy(F.col("node").alias("_n")).agg(F.min("conv_id").alias("_owner"))
-    owned = turns.join(owners, F.col("node") == F.col("_n")).withColumn("own", F.col("conv_id").eqNullSafe(F.col("_owner")))
+
+    # places come from ids and lengths alone; the text joins what has been placed
+    light = turns.select("conv_id", "depth", "node", "parent", "order_key", "length")
+    owners = cut(light.groupBy(F.col("node").alias("_n")).agg(F.min("conv_id").alias("_owner")))
+    owned = light.join(owners, F.col("node") == F.col("_n")).withColumn("own", F.col("conv_id").eqNullSafe(F.col("_owner")))
     down = W.partitionBy("conv_id").orderBy(F.col("depth").desc())
     below = F.sum(F.when(F.col("own"), F.col("length")).otherwise(0)).over(down)
     owned = cut(owned.withColumn("_below", below).drop("_n", "_owner"))
 
     sizes = owned.groupBy("node", "parent", "order_key").agg(F.sum("_below").alias("_size"))
     before = running_total(sizes, ["parent"], "order_key", ["node"], F.col("_size"), "_before", bucket_bits(owned.count()))
-    before = before.select(F.col("node").alias("_n"), "_before")
+    before = cut(before.select(F.col("node").alias("_n"), "_before"))
     way = W.partitionBy("conv_id").orderBy("depth")
     placed = owned.join(before, F.col("node") == F.col("_n"))
     placed = placed.withColumn("position", F.sum("length").over(way) - F.col("length"))
     placed = placed.withColumn("start", F.sum("_before").over(way) + F.col("position"))
-    step = F.struct("depth", "node", "parent", "start", "position", "length", "segment", "body_start", "body_length", "trained", "own")
+    step = F.struct("depth", "node", "parent", "start", "position", "length", "own")
     ways = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("way"))
-    nodes = ways.select("way").mapInArrow(_merged, "node string, parent string, start long, position long, length long, segment string, body_start long, body_length long, trained boolean, ancestors array<struct<start: long, end: long>>")
-    return PrefixTrees(nodes, owned.select("conv_id", "depth", "node"))
+    nodes = ways.mapInArrow(_merged, f"conv_id {kind}, depth int, node string, parent string, start long, position long, length long, ancestors array<struct<start: long, end: long>>")
+
+    said = turns.select(F.col("conv_id").alias("_c"), F.col("depth").alias("_d"), "segment", "body_start", "body_length", "trained")
+    nodes = nodes.join(said, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("depth") == F.col("_d")))
+    nodes = nodes.select("node", "parent", "start", "position", "length", "segment", "body_start", "body_length", "trained", "ancestors")
+    return PrefixTrees(nodes, light.select("conv_id", "depth", "node"))
 
 
 def read_back(trees: PrefixTrees) -> DataFrame:
