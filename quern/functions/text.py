@@ -137,6 +137,15 @@ def time_stamp(line: Column) -> Column:
     return F.try_to_timestamp(F.replace(found, F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
 
 
+def any_time_stamp(line: Column, year: int) -> Column:
+    """The ISO time of a line, else a web server's, else a system log's, which has no year of its own."""
+    web = F.regexp_extract(line, r"\[(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2})", 1)
+    system = F.regexp_replace(F.regexp_extract(line, r"^([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2})", 1), r"\s+", " ")
+    web_time = F.try_to_timestamp(web, F.lit("dd/MMM/yyyy:HH:mm:ss")).cast("timestamp_ntz")
+    system_time = F.try_to_timestamp(F.concat(F.lit(f"{year} "), system), F.lit("yyyy MMM d HH:mm:ss")).cast("timestamp_ntz")
+    return F.coalesce(time_stamp(line), web_time, system_time)
+
+
 def level(line: Column) -> Column:
     """Log level by the strongest word found."""
     def has(words: str) -> Column:

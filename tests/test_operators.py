@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions.text import cluster_id, contains_any, has_level, hits, html_text, level, query_terms, rank_terms, recall_weight, safe_name, search_terms, search_weight, time_stamp
+from quern.functions.text import any_time_stamp, cluster_id, contains_any, has_level, hits, html_text, level, query_terms, rank_terms, recall_weight, safe_name, search_terms, search_weight, time_stamp
 from quern.operators import evaluation, graph, lifecycle, logs, retrieval, store, trees, vectors
 from quern.operators.components import connected_components
 from quern.plans.columns import pick
@@ -54,6 +54,8 @@ def test_level_rules(spark):
     assert [r[0] for r in rows.select(has_level(F.col("t"), "WARN")).collect()] == [True, True, False, None]
     assert [r[0] for r in rows.select(level(F.col("t"))).collect()] == ["WARN", None, None, None]
     assert rows.select(time_stamp(F.lit("no time"))).first()[0] is None
+    stamps = spark.createDataFrame([("Mar  2 10:00:01 host x",), ('1.2.3.4 - [12/Mar/2024:10:00:01 +0000] "GET /"',), ("[2024-03-12 10:00:01] y",), ("99/Foo",)], "t string")
+    assert [str(r[0]) for r in stamps.select(any_time_stamp(F.col("t"), 2023)).collect()] == ["2023-03-02 10:00:01", "2024-03-12 10:00:01", "2024-03-12 10:00:01", "None"]
 
 
 def test_terms():
@@ -172,6 +174,29 @@ def test_vectors(spark):
     assert {(r.entry_id, r.section_id) for r in vectors.best_sections(records, [0.0, 1.0], scope).collect()} == {("a", 2), ("b", 1)}
 
 
+def test_index_refresh_and_log_hits(spark, lines):
+    index = spark.createDataFrame([("h1", [1.0])], "text_hash string, vector array<double>")
+    kept, new = vectors.refresh(index, spark.createDataFrame([(1, "h1"), (2, "h2"), (3, "h1")], "entry_id int, text_hash string"))
+    assert sorted(r.entry_id for r in kept.collect()) == [1, 3] and [r.entry_id for r in new.collect()] == [2]
+    hits_ = logs.pattern_hits(lines, r"\d{2}:\d{2}", 3, 1).collect()
+    assert [(r.line_no, r.hit) for r in hits_] == [(2, 0), (3, 0), (4, 0)] and hits_[1].level == "WARN"
+    assert logs.at_least(lines, "error").count() == 3
+
+
+def test_restructure_and_snapshots(spark):
+    nodes = spark.createDataFrame([("r", None, "R", False), ("a", "r", "A", False), ("b", "a", "B", False), ("c", "b", "C", False)], "id string, parent_id string, name string, deleted boolean")
+    entries = spark.createDataFrame([(1, "a"), (2, "c")], "entry_id int, catalog_id string")
+    ops = spark.createDataFrame([(1, "move", "a", "c"), (2, "rename", "b", "x"), (3, "rename", "b", "y"), (4, "delete", "a", "r")], "seq int, op string, id string, target string")
+    got, placed = store.restructure(nodes, entries, ops)
+    # the move below itself is refused; the children and entries of a go to r
+    assert {r.id: (r.parent_id, r.name, r.deleted) for r in got.collect()} == {"r": (None, "R", False), "a": ("r", "A", True), "b": ("r", "y", False), "c": ("b", "C", False)}
+    assert {r.entry_id: r.catalog_id for r in placed.collect()} == {1: "r", 2: "c"}
+    rows = "k int, updated_at string, deleted_at string, side string"
+    remote = spark.createDataFrame([(1, "1", None, "r"), (2, "5", None, "r"), (3, "1", "4", "r")], rows)
+    local = spark.createDataFrame([(1, "1", None, "l"), (2, "4", None, "l"), (3, "4", None, "l"), (4, "1", None, "l")], rows)
+    assert {r.k: r.side for r in store.merge_snapshots(remote, local, "k").collect()} == {1: "l", 2: "r", 3: "r", 4: "l"}
+
+
 def test_lifecycle(spark):
     tasks = spark.createDataFrame([(1, "k", "running", 5, "2024-01-01"), (2, "k", "pending", 0, "2024-01-01"), (3, "j", "done", 0, "2024-01-01")], "id int, dedup_key string, status string, attempts int, t string")
     tasks = tasks.withColumn("lease_until", F.col("t").cast("timestamp_ntz")).withColumn("scheduled_at", F.col("lease_until"))
