@@ -167,16 +167,20 @@ def merge_snapshots(remote: DataFrame, local: DataFrame, key: str, time: str = "
     return both.withColumn("_p", F.row_number().over(w)).filter("_p = 1").drop("_p", "_side")
 
 
-def ordered_union(sources: Sequence[DataFrame], key: Sequence[str], limit: int | None = None, per: Sequence[str] = ()) -> DataFrame:
-    """Distinct keys in the order of the sources, then of their `place`; a key counts where it comes first."""
+def ordered_union(sources: Sequence[DataFrame], key: Sequence[str], limit: int, per: Sequence[str] = ()) -> DataFrame:
+    """The first `limit` distinct keys (of each `per`) in the order of the sources, then of their `place`.
+
+    A key counts where it comes first.
+    """
     union = None
     for i, s in enumerate(sources):
         row = s.select(*key, F.lit(i).alias("_s"), "place")
         union = row if union is None else union.unionByName(row)
     first = union.groupBy(*key).agg(F.min(F.struct("_s", "place")).alias("_o"))
+    if not per:
+        first = first.orderBy("_o", *key).limit(limit)
     place = F.row_number().over((W.partitionBy(*per) if per else W.partitionBy(F.lit(0))).orderBy("_o", *key))
-    rows = first.select(*key, place.alias("place"))
-    return rows if limit is None else rows.filter(F.col("place") <= limit)
+    return first.select(*key, place.alias("place")).filter(F.col("place") <= limit)
 
 
 def restructure(nodes: DataFrame, entries: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -84,10 +84,10 @@ def rank_then_recent(s: Store) -> DataFrame:
     return rows.offset(15).limit(30).select("entry_id")
 
 
-@query("w07_collapse_hits", "SELECT label AS section, CAST(row_number() OVER (ORDER BY v, label) AS INTEGER) AS place FROM (SELECT label, min(vec_id) AS v FROM embeddings GROUP BY label)")
+@query("w07_collapse_hits", "SELECT label AS section, CAST(row_number() OVER (ORDER BY v, label) AS INTEGER) AS place FROM (SELECT label, min(vec_id) AS v FROM embeddings GROUP BY label) QUALIFY place <= 100")
 def collapse_hits(s: Store) -> DataFrame:
     hits = s.raw("embeddings").select(F.col("label").alias("section"), F.col("vec_id").alias("place"))
-    return store.ordered_union([hits], ["section"])
+    return store.ordered_union([hits], ["section"], 100)
 
 
 @query("st4_first_in_slot", "SELECT DISTINCT event_type, CAST(floor(epoch(ts) / 600) AS BIGINT) AS slot FROM events")
