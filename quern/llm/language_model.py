@@ -25,7 +25,6 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from quern.llm.shared_files import map_array, write_array
 from quern.llm.text import map_texts, text_bytes

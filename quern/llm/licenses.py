@@ -12,7 +12,6 @@ scanned each on its own; an empty table or no templates give no rows; other colu
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log
@@ -20,7 +19,6 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quern.llm.text import text_bytes
 from quern.plans.columns import pick

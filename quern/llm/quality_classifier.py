@@ -12,7 +12,6 @@ table gives no rows; other columns are left behind unless carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
