@@ -39,14 +39,17 @@ def direct_weight(s: Store) -> DataFrame:
     return graph.adjacency(s.edges).filter("src % 25 = 0 AND src < dst").select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.col("weight").alias("direct"))
 
 
-@query("g07_component_tags")
+@query("g07_component_tags", """WITH g AS (SELECT min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component, c_custkey AS node FROM customer),
+  s AS (SELECT component, count(*) AS members FROM g GROUP BY component HAVING count(*) >= 2), t AS (SELECT DISTINCT o_custkey AS node, o_orderstatus AS tag FROM orders),
+  c AS (SELECT component, members, tag FROM g JOIN s USING (component) JOIN t USING (node) GROUP BY ALL HAVING count(DISTINCT node) = members)
+  SELECT component, CAST(members AS BIGINT) AS members, string_agg(tag, ',' ORDER BY tag) AS tags FROM c GROUP BY component, members""")
 def component_tags(s: Store) -> DataFrame:
     """Customers that share a nation and a segment are one component; its orders' statuses are tags."""
     c = s.raw("customer")
     first = c.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("a"))
     edges = c.join(first, ["c_nationkey", "c_mktsegment"]).select("a", F.col("c_custkey").alias("b"))
     tags = s.raw("orders").select(F.col("o_custkey").alias("entry_id"), F.col("o_orderstatus").alias("tag_id")).distinct()
-    return graph.clusters(edges, tags, 2, 1)
+    return graph.clusters(edges, tags, 2, 1).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("vs05_refresh", "SELECT doc_id AS entry_id, EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 3 = 0 AND sha256(o.text) = sha256(d.text)) AS reused FROM documents d")

@@ -49,7 +49,11 @@ def quotes(s: Store) -> DataFrame:
     return s.raw("documents").select("doc_id", parts.quote_in(F.col("text"), F.upper(F.substring("text", 5, 60))).alias("found"))
 
 
-@query("x22_chunks")
+@query("x22_chunks", """WITH RECURSIVE l AS (SELECT doc_id, CAST(i AS INTEGER) AS i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i) WHERE text <> ''),
+  r AS (SELECT doc_id, i, 0 AS chunk, length(line) + 1 AS size FROM l WHERE i = 1 UNION ALL
+    SELECT l.doc_id, l.i, CASE WHEN r.size + length(l.line) + 1 > 400 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.size + length(l.line) + 1 > 400 THEN length(l.line) + 1 ELSE r.size + length(l.line) + 1 END
+    FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
+  SELECT doc_id, chunk, min(i) AS first_line, max(i) AS last_line, string_agg(line, chr(10) ORDER BY i) AS text FROM r JOIN l USING (doc_id, i) GROUP BY doc_id, chunk""")
 def chunks(s: Store) -> DataFrame:
     return parts.chunks(s.raw("documents"), 400)
 

@@ -409,7 +409,23 @@ def eval_summary(s: Store) -> DataFrame:
     return evaluation.summary(evaluation.per_query(_run(s), _judgements(s), 10))
 
 
-@query("e08_ablation")
+_RUNS = {
+    "lexical": "SELECT query_id, entry_id, row_number() OVER (PARTITION BY query_id ORDER BY lexical_rank, entry_id) AS place FROM sc WHERE lexical_rank IS NOT NULL QUALIFY place <= 10",
+    "semantic": "SELECT query_id, entry_id, row_number() OVER (PARTITION BY query_id ORDER BY semantic_rank, entry_id) AS place FROM sc WHERE semantic_rank IS NOT NULL QUALIFY place <= 10",
+    "fused": "SELECT query_id, entry_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS place FROM sc QUALIFY place <= 10",
+    "quota": "SELECT query_id, entry_id, place FROM ev",
+}
+_ABLATION = _QUOTA + f", {_QRELS}, runs AS (" + " UNION ALL ".join(f"SELECT {i} AS position, '{n}' AS config, query_id, entry_id, place FROM ({q})" for i, (n, q) in enumerate(_RUNS.items()))
+_ABLATION += """), rel AS (SELECT query_id, count(*) AS relevant, list_sum(list_transform(range(1, least(10, count(*)) + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM qr GROUP BY query_id),
+  cf AS (SELECT DISTINCT position, config FROM runs),
+  pq AS (SELECT position, config, rel.query_id, relevant, min(place) FILTER (WHERE qr.entry_id IS NOT NULL) AS first_rank, count(qr.entry_id) AS hits,
+    coalesce(sum(1 / log2(place + 1)) FILTER (WHERE qr.entry_id IS NOT NULL), 0) / any_value(ideal) AS ndcg
+    FROM cf JOIN rel ON true LEFT JOIN runs USING (position, config, query_id) LEFT JOIN qr ON qr.query_id = rel.query_id AND qr.entry_id = runs.entry_id GROUP BY position, config, rel.query_id, relevant),
+  sm AS (SELECT position, config, round(avg(CAST(hits > 0 AS INT)), 6) AS hit_at_k, round(avg(round(hits / relevant, 6)), 6) AS recall_at_k, round(avg(round(ndcg, 6)), 6) AS ndcg_at_k, round(avg(round(coalesce(1.0 / first_rank, 0.0), 6)), 6) AS mrr FROM pq GROUP BY position, config)
+  SELECT s.*, """ + ", ".join(f"round(s.{m} - b.{m}, 6) AS {m}_delta" for m in ("hit_at_k", "recall_at_k", "ndcg_at_k", "mrr")) + " FROM sm s JOIN sm b ON b.position = 0"
+
+
+@query("e08_ablation", _ABLATION)
 def ablation(s: Store) -> DataFrame:
     merged = _merged(s)
     place = {n: retrieval.ranked(merged.filter(f"{r} IS NOT NULL").withColumn("score", -F.col(r)), 10, "place") for n, r in (("lexical", "lexical_rank"), ("semantic", "semantic_rank"))}
