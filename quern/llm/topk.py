@@ -8,7 +8,8 @@ by whole integer products.
 
 Defined cases: a vector that is null or holds null or non-finite components takes no part; shorter vectors count as
 padded with zeros, an empty one scores 0; rows that share a query's id are its own; equal query rows are asked once;
-ties go to the smaller id; an empty table gives no rows; other columns are left behind.
+every other row is a candidate, so a repeated one takes a rank for each time it is there; ties go to the smaller id;
+an empty table gives no rows; other columns are left behind.
 """
 
 from __future__ import annotations
@@ -147,6 +148,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE)
     beats = seeds.groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("_beat"))
     asking = queries.join(beats, F.col("vec_id") == F.col("_q"), "left").withColumn("beat", F.coalesce("_beat", F.lit(float("-inf"))))
     asking = asking.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(last)))).select("vec_id", "v", "block", "bucket", "beat")
-    found = met(spread, asking).distinct()
+    found = met(spread, asking)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

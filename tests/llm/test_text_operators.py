@@ -202,6 +202,19 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    """Each row is a candidate: six equal ones fill the five ranks, two leave three to others."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (50, [0.0, 1.0])] + [(1, [9.0, 0.0])] * 6 + [(2, [0.0, 5.0])] * 2 + [(i, [1.0, i / 10]) for i in range(3, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q, v in rows[1:3]:
+        best = sorted((-sum(int(256 * a // 1) * int(256 * b // 1) for a, b in zip(v, w)), i) for i, w in rows if i != q)[:5]
+        assert got[q] == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert [i for _, i, _ in got[0]] == [1] * 5 and [i for _, i, _ in got[50]][:2] == [2, 2]
+
+
 @pytest.mark.parametrize("sharp", [0.0, 0.6, 2.0])
 def test_pruning_keeps_the_best(monkeypatch, sharp):
     monkeypatch.setattr(topk, "COORDINATE_FROM", sharp)
