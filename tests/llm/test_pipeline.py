@@ -84,6 +84,55 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in again.collect()} == set(got)
 
 
+def runs(text: str | None) -> frozenset:
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def near_pairs(rows) -> dict[int, int]:
+    """Each place in `rows` and the smallest place of its class, by all pairs."""
+    sets = [runs(r.text) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in range(len(rows))}
+
+
+def test_near_copies_go(spark, monkeypatch):
+    """Copies with a few words changed: chains and a large group, at similarities around 0.8, in cells of many sizes."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=r.randrange(2, 9))) for _ in range(900)]
+    texts = [" ".join(r.choices(words, k=r.randrange(60, 300))) for _ in range(50)]
+
+    def changed(text: str, n: int) -> str:
+        parts = text.split()
+        for i in r.sample(range(len(parts)), n):
+            parts[i] = r.choice(words)
+        return " ".join(parts)
+
+    texts += [changed(t, n) for t in texts[:12] for n in (1, 2, 4)]
+    texts += [changed(t, 1).upper() for t in texts[50:60]]
+    texts += [changed(texts[20], 1) for _ in range(40)] + ["", None, " ", "a b", "A  b", "a c", "a b c d e", "a b c d e a b c d e"]
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(7, texts[7], "en", "s", 1)] * 2, DOCS)
+    listed = rows.collect()
+    classes = near_pairs(listed)
+    want = sorted({listed[i].doc_id for i in classes.values()})
+    assert len(want) < len(texts) - 60
+    for cell in (512, 6):
+        monkeypatch.setattr(corpus_pipeline.near_copies, "CELL", cell)
+        assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()) == want
+    assert corpus_pipeline.drop_near_duplicates(spark, rows.limit(0), "").count() == 0
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
