@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 
 import public_tokenizers
@@ -139,6 +140,18 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_no_usable_label_drops_nothing(spark, tmp_path):
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghij", k=r.randrange(2, 9))) for _ in range(900)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=80)), "en", "s", 1) for i in range(12)] + [(None, None, None, None, None)], DOCS)
+    held = next(i for i in range(12) if zlib.crc32(str(i).encode()) % 4 == 2)
+    free = next(i for i in range(12) if zlib.crc32(str(i).encode()) % 4 != 2)
+    for n, labels in enumerate(([], [(held, 1, 0)], [(free, None, 0)], [(free, 0, 0), (free, 1, 0)], [(99, 1, 0)])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{n}/labels.parquet")
+        kept = corpus_pipeline.apply_classifier(spark, docs, f"{tmp_path}/{n}")
+        assert kept.columns == docs.columns and kept.count() == 13
+
+
 def test_registered_queries(spark):
     """Each query runs over the smallest tables and says what its contract says."""
     sf = "/root/testdata/sf0.001"
