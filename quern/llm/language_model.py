@@ -1,17 +1,21 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped sorted arrays.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and scored from memory-mapped sorted hash arrays.
 
-Learning takes two passes. The first counts words: each task sends hashes and counts to the shard that the high bits
-name, which writes a sorted hash array with counts; a word's id is its place in those arrays. The second counts pairs of
-ids: each task sends its distinct pairs, sorted and packed, to shards that write sorted arrays of pairs and counts, and
-pass on how many words follow and precede each word. Pairs are sharded by their first word, and those of a frequent word
-are dealt by the second too, so a shard's size doesn't depend on any one word. Scoring is a third pass, without a
-shuffle: workers map the arrays and look up each slice of text in sorted order.
+Learning reads the texts twice. The first pass counts words: each task sends hashes and counts to the shard that the
+high bits name, which writes a sorted hash array with counts; a word's id is its place in those arrays. The second
+counts runs of `order` ids: each task sends its distinct runs, sorted and packed, to shards that add them up and write
+a sorted hash array with counts. A shard then sends on what the next lower order needs: how many runs end in each
+shorter run, and the sum and the small counts of the runs that begin with it. So it goes down to single words, an order
+a shuffle, each with fewer rows than the one before. Runs are sharded by their first word, and those of a frequent word
+are dealt by the other words too, so a shard's size doesn't depend on any one word or context. Scoring is a third pass,
+without a shuffle: workers map the arrays and look up the distinct runs of each slice of text in sorted order.
 
-Tokens are lower-cased words and one end per text, which is also the context of the first word. Unknown words share the
-weight that the lowest order leaves to them. Ids take 32 bits: up to four billion distinct words.
+Tokens are lower-cased words and one end per text; ends also stand before the first word. Unknown words share the
+weight that the lowest order leaves to them. Ids take 32 bits: up to four billion distinct words. Runs of two words and
+more are known by 64-bit hashes.
 
 Defined cases: null texts count as empty and have the end token only; a null id is learned from; repeated rows count
-each time; without any row to learn from every score is 0; an empty table gives no rows; other columns are left behind.
+each time; a text of any length is one text, taken in slices of many texts or one; without any row to learn from every
+score is 0; an empty table gives no rows; other columns are left behind.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from quern.llm.shared_files import map_array, write_array
 from quern.llm.text import map_texts, text_bytes
@@ -33,10 +38,15 @@ from quern.plans.lineage import fresh_dir
 
 #: No word holds white space, so this one stands for the end of a text.
 END = b"\n"
-#: Bytes of text that are turned into ids at a time, words a worker keeps the ids of, pairs sorted at a time.
-SLICE, CACHE_WORDS, SORTED = 2 << 20, 400_000, 3_000_000
-#: Training tokens for each shard of pairs.
-SHARD_TOKENS = 2_000_000
+ORDER = 3
+#: Bytes of text that are turned into ids at a time, words a worker keeps the ids of, tokens sorted at a time.
+SLICE, CACHE_WORDS, SORTED = 4 << 20, 400_000, 2_500_000
+#: Training tokens for each shard of runs, and bytes of training text for each shard of words.
+SHARD_TOKENS, SHARD_BYTES = 2_000_000, 32 << 20
+LOW = np.uint64(0xFFFFFFFF)
+#: What an array knows of a run: how many runs one longer end in it, and of those that begin with it the sum and how
+#: many are counted once, twice, and more often.
+STATS = ("<u4", "<u8", "<u4", "<u4", "<u4")
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
@@ -63,6 +73,82 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) >> np.uint64(16)
 
 
+def _longer(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Hashes of runs, each one id longer than those with hashes `h`."""
+    h = (h ^ (ids.astype(np.uint64) + np.uint64(1))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(32))
+
+
+def _run_hash(columns: list[np.ndarray]) -> np.ndarray:
+    h = np.full(len(columns[0]) if columns else 0, 0x9E3779B97F4A7C15, np.uint64)
+    for ids in columns:
+        h = _longer(h, ids)
+    return h
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts `keys`, and where each distinct one starts in it."""
+    order = np.argsort(keys)
+    found = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(keys)])
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, each key's place among them, and a place in `keys` of each."""
+    order, starts = _groups(keys)
+    step = np.zeros(len(keys), np.int64)
+    step[starts] = 1
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(step) - 1
+    return keys[order[starts]], rank, order[starts]
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers as compressed planes of bytes; the first is sorted and goes as differences."""
+    import zstandard
+
+    columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _unpack(raw: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(planes) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(planes[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return [np.cumsum(out[0], dtype=out[0].dtype), *out[1:]]
+
+
+def _together(blocks: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    parts = [_unpack(b, kinds) for b in blocks if b]
+    return [np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]) for i, k in enumerate(kinds)]
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts shards together and changes nothing inside them, and the edges between them."""
+    shard = shard.astype(np.uint16) if shards <= 1 << 16 else shard
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _dealt(shard: np.ndarray, shards: int, columns: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
+    """The shards named, and the packed rows of each in the order given."""
+    order, edges = _by_shard(shard, shards)
+    named = np.flatnonzero(np.diff(edges)).tolist()
+    return named, [_pack([c[order[edges[s] : edges[s + 1]]] for c in columns]) for s in named]
+
+
+def _every_shard(rows: DataFrame, shards: int) -> DataFrame:
+    """The rows and an empty one for each shard, so that each writes its arrays."""
+    nothing = rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), *[F.lit(None).cast(t).alias(n) for n, t in rows.dtypes[1:]])
+    return rows.union(nothing)
+
+
 @dataclass
 class Vocabulary:
     """Sorted hash arrays of words with their counts, one pair of files a shard."""
@@ -103,17 +189,17 @@ class Vocabulary:
         return ids
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
-        """Training counts by id; 0 for the unknown."""
+        """Training counts of sorted ids; 0 for the unknown."""
         out = np.zeros(len(ids), np.int64)
         bases = np.concatenate([[0], np.cumsum(self.sizes)])
-        shard = np.searchsorted(bases, ids, "right") - 1
-        for s in np.unique(shard[ids < self.types]).tolist():
-            here = np.flatnonzero((shard == s) & (ids < self.types))
-            out[here] = self._file(f"word-{s}.count", "<u8")[ids[here] - bases[s]]
+        edges = np.searchsorted(ids, bases)
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            here = slice(edges[s], edges[s + 1])
+            out[here] = self._file(f"word-{s}.count", "<u8")[ids[here].astype(np.int64) - bases[s]]
         return out
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all tokens of several texts in a row, and how many tokens each has."""
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids of all tokens of several texts in a row, how many tokens each has, and the id of the end."""
         split = [t.lower().split() for t in texts]
         flat = list(chain.from_iterable(split))
         new = list(set(flat).difference(self._known))
@@ -124,29 +210,32 @@ class Vocabulary:
             new.append(END)
         self._known.update(zip(new, self.find(new).tolist()))
         sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
-        ids = np.full(int(sizes.sum()), self._known[END], np.int64)
+        ids = np.full(int(sizes.sum()), self._known[END], np.uint32)
         inside = np.ones(len(ids), bool)
         inside[np.cumsum(sizes) - 1] = False
-        ids[inside] = np.fromiter(map(self._known.__getitem__, flat), np.int64, len(flat))
-        return ids, sizes
+        ids[inside] = np.fromiter(map(self._known.__getitem__, flat), np.uint32, len(flat))
+        return ids, sizes, self._known[END]
 
 
-def _bigrams(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
-    """Each token's pair: the token before it (the end, for the first) and itself."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(sizes) - sizes] = end
-    return before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
+def _padded(ids: np.ndarray, sizes: np.ndarray, end: int, more: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with `more` ends before each text, and where the tokens are."""
+    at = np.arange(len(ids)) + np.repeat(np.arange(1, len(sizes) + 1) * more, sizes)
+    out = np.full(len(ids) + more * len(sizes), end, np.uint32)
+    out[at] = ids
+    return out, at
 
 
 def count_words(texts: DataFrame, folder: str, bits: int) -> Vocabulary:
     """First pass over `_bytes` of the training texts: writes the vocabulary."""
+    kinds = ("<u8", "<u8")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(counter: Counter) -> pa.RecordBatch:
             h = _hash(list(counter))
-            shard = (h >> np.uint64(64 - bits)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h.view(np.int64)), pa.array(list(counter.values()), pa.int64())], names=["shard", "h", "c"])
+            order = np.argsort(h)
+            h, c = h[order], np.fromiter(counter.values(), np.uint64, len(counter))[order]
+            named, blocks = _dealt((h >> np.uint64(64 - bits)).astype(np.int64), 1 << bits, [h, c])
+            return pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
         counter: Counter = Counter()
         for batch in batches:
@@ -161,47 +250,81 @@ def count_words(texts: DataFrame, folder: str, bits: int) -> Vocabulary:
 
     def merge(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
-        h = table.column("h").to_numpy().view(np.uint64)
-        words, inverse = np.unique(h, return_inverse=True)
-        counts = np.zeros(len(words), np.uint64)
-        np.add.at(counts, inverse, table.column("c").to_numpy().astype(np.uint64))
-        write_array(folder, f"word-{s}.hash", words.astype("<u8"))
-        write_array(folder, f"word-{s}.count", counts.astype("<u8"))
+        h, c = _together(table.column("block").to_pylist(), kinds)
+        order, starts = _groups(h)
+        words = h[order[starts]]
+        counts = np.add.reduceat(c[order], starts) if len(h) else c
+        write_array(folder, f"word-{s}.hash", words)
+        write_array(folder, f"word-{s}.count", counts)
         return pa.table({"shard": pa.array([s], pa.int32()), "types": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
-    shards = texts.mapInArrow(local, "shard int, h long, c long").groupBy("shard").applyInArrow(merge, "shard int, types long, tokens long").collect()
+    shards = texts.mapInArrow(local, "shard int, block binary").groupBy("shard").applyInArrow(merge, "shard int, types long, tokens long").collect()
     sizes = [0] * (1 << bits)  # one number a shard
     for r in shards:
         sizes[r["shard"]] = r["types"]
     return Vocabulary(folder, bits, sizes, sum(r["tokens"] for r in shards))
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers as compressed planes of bytes."""
-    import zstandard
+@dataclass
+class RunShards:
+    vocabulary: Vocabulary
+    shards: int
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+    def fan(self, counts: np.ndarray) -> np.ndarray:
+        """Over how many shards the runs of a first word with so many tokens are dealt."""
+        share = (counts * self.shards // max(1, self.vocabulary.tokens)).astype(np.uint64)
+        return np.minimum(share * np.uint64(4) + np.uint64(1), np.uint64(self.shards))
 
+    def of(self, first: np.ndarray, fan: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """The shard of each run, from its first word and the hash of the others."""
+        return ((_mixed(first) + _mixed(rest) % fan) % np.uint64(self.shards)).astype(np.int32)
 
-def _unpack(raw: bytes, kind: str) -> np.ndarray:
-    import zstandard
+    def of_runs(self, columns: list[np.ndarray]) -> np.ndarray:
+        words, rank, _ = _ranked(columns[0])
+        return self.of(columns[0], self.fan(self.vocabulary.counts(words))[rank], _run_hash(columns[1:]) if columns[1:] else np.zeros(len(rank), np.uint64))
 
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
+def _rows(columns: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
+    """Runs ready to be packed: the first two ids as one number, further ids, values; sorted by the former."""
+    head = columns[0].astype(np.uint64)
+    if len(columns) > 1:
+        head = head << np.uint64(32) | columns[1].astype(np.uint64)
+    order = np.argsort(head, kind="stable")
+    return [c[order] for c in (head, *(c.astype("<u4") for c in columns[2:]), *values)]
+
+
+def _ids(rows: list[np.ndarray], order: int) -> list[np.ndarray]:
+    """The columns of ids of unpacked rows."""
+    head = rows[0]
+    return [head.astype(np.uint32)] if order == 1 else [(head >> np.uint64(32)).astype(np.uint32), (head & LOW).astype(np.uint32), *rows[1 : order - 1]]
 
-@dataclass
-class PairShards:
-    vocabulary: Vocabulary
-    shards: int
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        """The shard of each pair: its first word's, and for a frequent one as many further as its share fills."""
-        first, second = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
-        fan = 1 + (self.vocabulary.counts(first) * self.shards // max(1, self.vocabulary.tokens)).astype(np.uint64) * np.uint64(4)
-        fan = np.minimum(fan, np.uint64(self.shards))
-        return ((_mixed(first) + _mixed(second) % fan) % np.uint64(self.shards)).astype(np.int32)
+def _by_often(a: np.ndarray) -> list[int]:
+    return [int((a == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _shorter(columns: list[np.ndarray], a: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What runs with counts `a` say of the runs one shorter that they begin and end with: ids and STATS."""
+    ids, stats = [], []
+    for part, begins in ((columns[:-1], True), (columns[1:], False)):
+        order, starts = _groups(_run_hash(part))
+        b = a[order]
+        none = np.zeros(len(starts), np.int64)
+        add = lambda x: np.add.reduceat(x.astype(np.int64), starts) if len(starts) else none  # noqa: E731, B023
+        stats.append([none, add(b), add(b == 1), add(b == 2), add(b > 2)] if begins else [add(b > 0), none, none, none, none])
+        ids.append([c[order[starts]] for c in part])
+    return [np.concatenate(c) for c in zip(*ids)], [np.concatenate(c).astype(k) for c, k in zip(zip(*stats), STATS)]
+
+
+def _write_runs(folder: str, name: str, keys: np.ndarray, records: list[np.ndarray]) -> None:
+    """Sorted hashes, and for each the place of its record among the distinct ones."""
+    table = np.stack([r.astype(np.uint64) for r in records], axis=1)
+    digest = _run_hash([table[:, i] for i in range(table.shape[1])])
+    _, code, at = _ranked(digest)
+    kind = "<u1" if len(at) <= 1 << 8 else "<u2" if len(at) <= 1 << 16 else "<u4"
+    write_array(folder, f"{name}.key", keys.astype("<u8"))
+    write_array(folder, f"{name}.code", code.astype(kind))
+    write_array(folder, f"{name}.record", table[at].astype("<u8"))
 
 
 @dataclass
@@ -209,12 +332,11 @@ class KneserNey:
     """The model: where its arrays are, and the few numbers that hold for all of them."""
 
     vocabulary: Vocabulary
+    order: int
     shards: int
-    ranges: int
-    #: Discounts of counts 1, 2 and 3 or more, of pairs and of continuations.
-    pair_discount: list[float]
-    word_discount: list[float]
-    #: Distinct pairs, and those by how many words precede their second word: 1, 2, 3 or more.
+    #: For runs of each length, from 1: discounts of counts 1, 2 and 3 or more.
+    discount: list[list[float]]
+    #: Distinct pairs, and words by how many others precede them: 1, 2, 3 or more.
     pairs: int
     words_by: list[int]
     _files: dict = field(default_factory=dict, repr=False)
@@ -222,54 +344,63 @@ class KneserNey:
     def __getstate__(self):
         return {**self.__dict__, "_files": {}}
 
-    def _file(self, name: str, kind: str) -> np.ndarray:
+    def _shard(self, length: int, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        name = f"run{length}-{s}"
         if name not in self._files:
-            self._files[name] = map_array(self.vocabulary.folder, name, kind)
+            folder = self.vocabulary.folder
+            keys, code = map_array(folder, f"{name}.key", "<u8"), map_array(folder, f"{name}.code", "<u1")
+            records = map_array(folder, f"{name}.record", "<u8").reshape(-1, 1 if length == self.order else len(STATS))
+            self._files[name] = (keys, code.view(f"<u{len(code) // len(keys)}") if len(keys) else code, records)
         return self._files[name]
 
-    def _by_word(self, what: str, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.float64)
-        width = -(-max(1, self.vocabulary.types) // self.ranges)
-        part = ids // width
-        part[ids >= self.vocabulary.types] = -1
-        for r in np.unique(part[part >= 0]).tolist():
-            here = np.flatnonzero(part == r)
-            out[here] = self._file(f"range-{r}.{what}", "<u4")[ids[here] - r * width]
+    def _find(self, length: int, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """The records of runs by hash; zeros for those never seen."""
+        out = np.zeros((len(keys), 1 if length == self.order else len(STATS)), np.int64)
+        by_key = np.argsort(keys)
+        order, edges = _by_shard(shard[by_key], self.shards)
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            here = by_key[order[edges[s] : edges[s + 1]]]
+            table, code, records = self._shard(length, s)
+            if len(table):
+                at = np.minimum(np.searchsorted(table, keys[here]), len(table) - 1)
+                hit = table[at] == keys[here]
+                out[here[hit]] = records[code[at[hit]]]
         return out
 
-    def _pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pairs; 0 for those never seen."""
-        out = np.zeros(len(keys), np.int64)
-        shard = PairShards(self.vocabulary, self.shards).of(keys)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in range(self.shards):
-            here = order[edges[s] : edges[s + 1]]
-            if len(here):
-                table = self._file(f"pair-{s}.key", "<u8")
-                if len(table):
-                    at = np.minimum(np.searchsorted(table, keys[here]), len(table) - 1)
-                    hit = table[at] == keys[here]
-                    out[here[hit]] = self._file(f"pair-{s}.count", "<u4")[at[hit]]
-        return out
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each pair's second word after its first."""
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        first, second = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        types = self.vocabulary.types
-        preceding = self._by_word("before", second)
-        left = sum(d * n for d, n in zip(self.word_discount, self.words_by))
-        kept = np.maximum(preceding - np.array([0.0, *self.word_discount])[np.minimum(preceding, 3).astype(int)], 0)
-        p = (kept + left / (types + 1)) / self.pairs if self.pairs else np.full(len(distinct), 1.0 / (types + 1))
-        known = (first < types) & (second < types)
-        count = np.zeros(len(distinct), np.int64)
-        count[known] = self._pair_counts(distinct[known])
-        total = self.vocabulary.counts(first)
-        kept = np.maximum(count - np.array([0.0, *self.pair_discount])[np.minimum(count, 3)], 0)
-        back = sum(d * self._by_word(n, first) for d, n in zip(self.pair_discount, ("after1", "after2", "after3")))
-        p = np.where(total > 0, (kept + back * p) / np.maximum(total, 1), p)
-        return np.log10(p)[inverse]
+    def _kept(self, length: int, a: np.ndarray) -> np.ndarray:
+        """Counts less their discounts."""
+        return np.maximum(a - np.array([0.0, *self.discount[length - 1]])[np.minimum(a, 3)], 0)
+
+    def log10(self, ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of every token of several texts after those before it, and its training count."""
+        v, deal = self.vocabulary, RunShards(self.vocabulary, self.shards)
+        padded, at = _padded(ids, sizes, end, self.order - 1)
+        words, first_rank, _ = _ranked(padded)
+        counts = v.counts(words)
+        fan = deal.fan(counts)
+
+        # single words
+        h = _run_hash([words])
+        record = self._find(1, h, deal.of(words, fan, np.zeros(len(words), np.uint64)))
+        left = sum(d * n for d, n in zip(self.discount[0], self.words_by))
+        p = (self._kept(1, record[:, 0]) + left / (v.types + 1)) / self.pairs if self.pairs else np.full(len(words), 1.0 / (v.types + 1))
+        # then longer runs, each of a known beginning and one more word; a place is where a run ends
+        rank, first = first_rank, np.arange(len(words))
+        for length in range(2, self.order + 1):
+            # the first place is an end, as is what would stand before it
+            before = np.concatenate([rank[:1], rank[:-1]]).astype(np.uint64)
+            keys = before << np.uint64(32) | first_rank.astype(np.uint64)
+            distinct, longer, where = _ranked(keys)
+            begin, last, ending = (distinct >> np.uint64(32)).astype(np.int64), (distinct & LOW).astype(np.int64), rank[where]
+            first = first[begin]
+            shorter, context, h_before = p[ending], record[begin], h
+            h = _longer(h_before[begin], words[last])
+            record = self._find(length, h, deal.of(words[first], fan[first], h_before[ending]))
+            back = sum(d * context[:, 2 + k] for k, d in enumerate(self.discount[length - 1]))
+            total = context[:, 1]
+            p = np.where(total > 0, (self._kept(length, record[:, 0]) + back * shorter) / np.maximum(total, 1), shorter)
+            rank = longer
+        return np.log10(p)[rank[at]], counts[first_rank[at]]
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -280,92 +411,90 @@ def discounts(n: list[int]) -> list[float]:
     return [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.5 for k in (1, 2, 3)]
 
 
-def count_pairs(texts: DataFrame, vocabulary: Vocabulary, shards: int) -> KneserNey:
-    """Second pass over `_bytes` of the training texts: writes the arrays of pairs and of words' neighbours."""
-    folder, types = vocabulary.folder, vocabulary.types
-    ranges = max(1, ceil(types / 500_000))
-    width = -(-max(1, types) // ranges)
-    deal = PairShards(vocabulary, shards)
+def count_runs(texts: DataFrame, vocabulary: Vocabulary, order: int, shards: int) -> KneserNey:
+    """Second pass over `_bytes` of the training texts: writes the arrays of runs of every length."""
+    folder = vocabulary.folder
+    deal = RunShards(vocabulary, shards)
+
+    def kinds(length: int) -> tuple[str, ...]:
+        return ("<u8", *["<u4"] * (length - 2), *(("<u8",) if length == order else STATS))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            shard = deal.of(keys)
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(s, order[edges[s] : edges[s + 1]]) for s in range(shards) if edges[s] < edges[s + 1]]
-            kept = [_pack(np.diff(keys[at], prepend=np.uint64(0))) for _, at in rows]
-            often = [_pack(counts[at].astype("<u4")) for _, at in rows]
-            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array(kept, pa.binary()), pa.array(often, pa.binary())], names=["shard", "keys", "counts"])
-
-        parts: list[np.ndarray] = []
-        held = 0
+        def packed(parts: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+            ids, place = np.concatenate(parts), np.concatenate(at)
+            # a run is the rank of its beginning and one more id
+            tables = []
+            rank = ids[place - (order - 1)]
+            for back in range(order - 2, 0, -1):
+                table, rank, _ = _ranked(rank.astype(np.uint64) << np.uint64(32) | ids[place - back].astype(np.uint64))
+                tables.append(table)
+            keys, counts = np.unique(rank.astype(np.uint64) << np.uint64(32) | ids[place].astype(np.uint64), return_counts=True)
+            columns: list[np.ndarray] = []
+            for table in reversed([None, *tables]):
+                columns.append((keys & LOW).astype(np.uint32))
+                keys = keys >> np.uint64(32)
+                if table is not None:
+                    keys = table[keys.astype(np.int64)]
+            columns = [keys.astype(np.uint32), *reversed(columns)]
+            named, blocks = _dealt(deal.of_runs(columns), shards, _rows(columns, [counts.astype("<u8")]))
+            return pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), pa.array(blocks, pa.binary()), pa.nulls(len(named), pa.list_(pa.int64()))], names=["shard", "block", "by"])
+
+        parts, at, held = [], [], 0
         for batch in batches:
             for part in _slices(batch.column(0).to_pylist()):
-                ids, sizes = vocabulary.encode(part)
-                parts.append(_bigrams(ids, sizes, int(ids[-1])))
+                ids, places = _padded(*vocabulary.encode(part), order - 1)
+                parts.append(ids)
+                at.append(places + held)
                 held += len(ids)
                 if held >= SORTED:
-                    yield packed(parts)
-                    parts, held = [], 0
+                    yield packed(parts, at)
+                    parts, at, held = [], [], 0
         if parts:
-            yield packed(parts)
-
-    def merge(table: pa.Table) -> pa.Table:
-        """One shard: its sorted array, then what each range of words learns from it."""
-        s = table.column("shard")[0].as_py()
-        keys = np.concatenate([np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in table.column("keys").to_pylist()])
-        often = np.concatenate([_unpack(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, often = keys[order], often[order]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, counts = keys[starts], np.add.reduceat(often, starts)
-        write_array(folder, f"pair-{s}.key", keys.astype("<u8"))
-        write_array(folder, f"pair-{s}.count", np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
-        first, second = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        # what: 1, 2 or 3 for pairs counted so often (3: or more) by first word, 0 for pairs by second word
-        what = np.concatenate([np.minimum(counts, 3), np.zeros(len(keys), np.int64)])
-        code, n = np.unique(np.concatenate([first, second]) * 4 + what, return_counts=True)
-        edges = np.searchsorted(code, np.arange(ranges + 1) * width * 4)
-        rows = [r for r in range(ranges) if edges[r] < edges[r + 1]]
-        by = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({
-            "range": pa.array(rows, pa.int32()),
-            "codes": pa.array([_pack(np.diff(code[edges[r] : edges[r + 1]], prepend=np.int64(0))) for r in rows], pa.binary()),
-            "often": pa.array([_pack(n[edges[r] : edges[r + 1]].astype("<u4")) for r in rows], pa.binary()),
-            "by": pa.array([by if i == 0 else [0] * 4 for i in range(len(rows))], pa.list_(pa.int64())),
-        })
-
-    def neighbours(table: pa.Table) -> pa.Table:
-        """One range of words: how many follow and precede each."""
-        r = table.column("range")[0].as_py()
-        size = min(width, types - r * width)
-        total = np.zeros(size * 4, np.int64)
-        for codes, often in zip(table.column("codes").to_pylist(), table.column("often").to_pylist()):
-            total[np.cumsum(_unpack(codes, "<i8")) - r * width * 4] += _unpack(often, "<u4")
-        total = total.reshape(-1, 4)
-        for k, name in enumerate(("before", "after1", "after2", "after3")):
-            write_array(folder, f"range-{r}.{name}", np.minimum(total[:, k], 0xFFFFFFFF).astype("<u4"))
-        before = total[:, 0]
-        words = [int((before == k).sum()) for k in (1, 2, 3, 4)]
-        by = np.sum([x for x in table.column("by").to_pylist()], axis=0).tolist()
-        return pa.table({"by": pa.array([by], pa.list_(pa.int64())), "words": pa.array([words], pa.list_(pa.int64())), "more": pa.array([int((before >= 3).sum())], pa.int64()), "pairs": pa.array([int(before.sum())], pa.int64())})
-
-    kept = texts.mapInArrow(local, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(merge, "range int, codes binary, often binary, by array<long>")
-    found = kept.groupBy("range").applyInArrow(neighbours, "by array<long>, words array<long>, more long, pairs long").collect()  # a row a range
-    by = [sum(r["by"][k] for r in found) for k in range(4)]
-    words = [sum(r["words"][k] for r in found) for k in range(4)]
-    more = sum(r["more"] for r in found)
-    return KneserNey(vocabulary, shards, ranges, discounts(by), discounts(words), sum(r["pairs"] for r in found), [words[0], words[1], more])
-
-
-def train(docs: DataFrame, learn_from: Column, shard_tokens: int = SHARD_TOKENS) -> KneserNey:
+            yield packed(parts, at)
+
+    def merge(length: int):
+        def run(table: pa.Table) -> pa.Table:
+            """One shard: its sorted array, then what it says of the runs one shorter."""
+            s = table.column("shard")[0].as_py()
+            rows = _together(table.column("block").to_pylist(), kinds(length))
+            columns = _ids(rows, length)
+            h = _run_hash(columns)
+            by_hash, starts = _groups(h)
+            values = [np.add.reduceat(x[by_hash].astype(np.uint64), starts) if len(starts) else x for x in rows[-1 if length == order else -len(STATS) :]]
+            columns = [c[by_hash[starts]] for c in columns]
+            _write_runs(folder, f"run{length}-{s}", h[by_hash[starts]], values)
+            a = values[0].astype(np.int64)
+            known = [x for x in table.column("by").to_pylist() if x]
+            by = np.sum([np.zeros(4 * order, np.int64), *known], axis=0)
+            by[4 * length - 4 : 4 * length] += _by_often(a)
+            if length == 1:
+                done = [*by.tolist(), int(a.sum()), int((a > 2).sum())]
+                return pa.table({"shard": pa.array([s], pa.int32()), "block": pa.array([None], pa.binary()), "by": pa.array([done], pa.list_(pa.int64()))})
+            columns, a = [c[a > 0] for c in columns], a[a > 0]
+            ids, stats = _shorter(columns, a)
+            rows = _rows(ids, stats)
+            named, blocks = _dealt(deal.of_runs(_ids(rows, length - 1)), shards, rows)
+            return pa.table({"shard": pa.array(named, pa.int32()), "block": pa.array(blocks, pa.binary()), "by": pa.array([by.tolist() if i == 0 else None for i in range(len(named))], pa.list_(pa.int64()))})
+
+        return run
+
+    schema = "shard int, block binary, by array<long>"
+    found = texts.mapInArrow(local, schema)
+    for length in range(order, 0, -1):
+        found = _every_shard(found, shards).groupBy("shard").applyInArrow(merge(length), schema)
+    sums = np.sum([r["by"] for r in found.select("by").collect()], axis=0).tolist()  # a row of a few numbers a shard
+    by = [sums[4 * k : 4 * k + 4] for k in range(order)]
+    return KneserNey(vocabulary, order, shards, [discounts(n) for n in by], sums[-2], [*by[0][:2], sums[-1]])
+
+
+def train(docs: DataFrame, learn_from: Column, order: int = ORDER, shard_tokens: int = SHARD_TOKENS, shard_bytes: int = SHARD_BYTES) -> KneserNey:
     """Learns from the documents for which `learn_from` (of doc_id) holds; arrays go to the shared folder."""
-    spark = docs.sparkSession
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     texts = pick(docs, "doc_id", "text").filter(learn_from).select(text_bytes().alias("_bytes"))
-    bits = ceil(log2(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    vocabulary = count_words(texts, fresh_dir(spark, "lm"), bits)
-    return count_pairs(texts, vocabulary, max(1, ceil(vocabulary.tokens / shard_tokens)))
+    size = texts.agg(F.sum(F.octet_length("_bytes"))).first()[0] or 0
+    vocabulary = count_words(texts, fresh_dir(docs.sparkSession, "lm"), ceil(log2(max(2, size / shard_bytes))))
+    return count_runs(texts, vocabulary, order, max(1, ceil(vocabulary.tokens / shard_tokens)))
 
 
 def score(docs: DataFrame, model: KneserNey, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -375,12 +504,10 @@ def score(docs: DataFrame, model: KneserNey, carry: tuple[str, ...] = ("doc_id",
     def per_batch(texts: list[bytes]) -> dict[str, pa.Array]:
         parts = []
         for part in _slices(texts):
-            ids, sizes = v.encode(part)
+            ids, sizes, end = v.encode(part)
             starts = np.cumsum(sizes) - sizes
-            counts = v.counts(ids)
-            end = int(ids[-1])
+            found, counts = model.log10(ids, sizes, end)
             base = np.log10((counts + 1) / (v.tokens + v.types + 1))
-            found = model.log10(_bigrams(ids, sizes, end))
             parts.append((sizes, np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(found, starts)))
         n, known, base, found = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0),) * 4
         return {"n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(found, pa.float64())}

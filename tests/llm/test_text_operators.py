@@ -394,58 +394,65 @@ def test_license_bands_find_what_windows_hold():
                     assert found[i, name] == pytest.approx(best)
 
 
-def plain_kneser_ney(train: list[str], texts: list[str]):
+def plain_kneser_ney(train: list[str], texts: list[str], order: int):
+    """Scores by dictionaries of whole runs of words."""
     tokens = [[*t.encode().lower().split(), b"\n"] for t in train]
-    pairs = Counter((a, b) for t in tokens for a, b in zip([b"\n", *t], t))
+    windows = lambda t: [tuple([*[b"\n"] * (order - 1), *t][i : i + order]) for i in range(len(t))]
+    counts: dict[int, Counter] = {order: Counter(w for t in tokens for w in windows(t))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(w[1:] for w in counts[k + 1])
     unigrams = Counter(w for t in tokens for w in t)
-    before, after = Counter(b for _, b in pairs), {}
-    for (a, _), n in pairs.items():
-        after.setdefault(a, Counter())[min(n, 3)] += 1
     by = lambda c: [sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)]
-    d2, d1 = language_model.discounts(by(pairs)), language_model.discounts(by(before))
-    types, total = len(unigrams), len(pairs)
-    left = sum(d1[min(n, 3) - 1] for n in before.values())
-
-    def low(w):
-        n = before[w]
-        kept = max(n - ([0, *d1][min(n, 3)]), 0)
-        return (kept + left / (types + 1)) / total if total else 1 / (types + 1)
-
-    def p(a, w):
-        c = unigrams[a]
-        if not c:
-            return low(w)
-        n = pairs[a, w]
-        back = sum(d * after[a][k] for k, d in zip((1, 2, 3), d2))
-        return (max(n - [0, *d2][min(n, 3)], 0) + back * low(w)) / c
+    discount = {k: [0, *language_model.discounts(by(c))] for k, c in counts.items()}
+    context: dict[int, dict] = {}
+    for k, c in counts.items():
+        context[k] = {}
+        for w, n in c.items():
+            total, often = context[k].setdefault(w[:-1], (Counter(), Counter()))
+            total[()] += n
+            often[min(n, 3)] += 1
+
+    def p(run: tuple) -> float:
+        k = len(run)
+        lower = p(run[1:]) if k > 1 else 1 / (len(unigrams) + 1)
+        if run[:-1] not in context[k]:
+            return lower
+        total, often = context[k][run[:-1]]
+        n = counts[k][run]
+        return (max(n - discount[k][min(n, 3)], 0) + sum(discount[k][j] * often[j] for j in (1, 2, 3)) * lower) / total[()]
 
     out = []
     for t in texts:
         ws = [*t.encode().lower().split(), b"\n"]
-        out.append((len(ws), sum(unigrams[w] > 0 for w in ws), sum(np.log10((unigrams[w] + 1) / (sum(unigrams.values()) + types + 1)) for w in ws), sum(np.log10(p(a, w)) for a, w in zip([b"\n", *ws], ws))))
+        base = sum(np.log10((unigrams[w] + 1) / (sum(unigrams.values()) + len(unigrams) + 1)) for w in ws)
+        out.append((len(ws), sum(unigrams[w] > 0 for w in ws), base, sum(np.log10(p(w)) for w in windows(ws))))
     return out, p, unigrams
 
 
-def test_language_model(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, order):
     r = random.Random(8)
     vocabulary = [f"w{int(r.paretovariate(0.8)) % 80}" for _ in range(400)]
-    texts = [" ".join(r.choices(vocabulary, k=r.randrange(0, 50))) for _ in range(120)] + ["", "Unseen WORDS here", "W1 w2"]
+    texts = [" ".join(r.choices(vocabulary, k=r.randrange(0, 50))) for _ in range(120)] + ["", "Unseen WORDS here", "W1 w2", "w1 " * 900]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "w1 w2 w1"), (500, None)], "doc_id long, text string").withColumn("N_TOKENS", F.lit(0))
     learn = F.coalesce(F.col("doc_id"), F.lit(1)) % 3 != 0
-    model = language_model.train(df, learn, shard_tokens=500)
+    model = language_model.train(df, learn, order, shard_tokens=500, shard_bytes=900)
     got = {x.doc_id: x for x in language_model.score(df, model).collect()}
     train = [t for i, t in enumerate(texts) if i % 3] + ["w1 w2 w1", ""]
-    expected, p, unigrams = plain_kneser_ney(train, texts)
-    assert model.shards > 1 and model.vocabulary.tokens == sum(unigrams.values())
+    expected, p, unigrams = plain_kneser_ney(train, texts, order)
+    assert model.shards > 1 and model.vocabulary.bits > 2 and model.vocabulary.tokens == sum(unigrams.values())
     for i, (n, known, base, score) in enumerate(expected):
         assert (got[i].n_tokens, got[i].n_known) == (n, known)
         assert got[i].base_score == pytest.approx(base, abs=1e-9) and got[i].score == pytest.approx(score, abs=1e-9)
     # probabilities of all known words and the unknown one sum to 1 after any context
     for a in (b"w1", b"\n", b"never"):
-        assert sum(p(a, w) for w in unigrams) + p(a, b"never seen") == pytest.approx(1)
-    nothing = language_model.train(df, F.lit(False))
+        run = (b"w1",) * (order - 2) + (a,)
+        assert sum(p((*run, w)) for w in unigrams) + p((*run, b"never seen")) == pytest.approx(1)
+    nothing = language_model.train(df, F.lit(False), order)
     assert all(x.score == 0 and x.base_score == 0 for x in language_model.score(df, nothing).collect())
     assert language_model.score(empty(spark), model).count() == 0
+    with pytest.raises(ValueError):
+        language_model.train(df, learn, 1)
 
 
 def test_classifier(spark):
