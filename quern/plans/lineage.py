@@ -1,7 +1,8 @@
 """Cutting lineage in the folder that the cluster shares.
 
-The folder is `spark.checkpoint.dir`. Where it is unset (tests, a laptop) a temporary folder of this process is
-set once. Executor-local checkpoints are never used: their only copy goes with the executor.
+The folder is `spark.checkpoint.dir`. Where it is unset and the master is local (tests, a laptop) a temporary folder of
+this process is set once; on a cluster, whose executors have other disks, that is an error. Executor-local checkpoints
+are never used: their only copy goes with the executor.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI or path; sets a temporary one only where none is set."""
+    """The shared folder as a URI or path; sets a temporary one only where none is set and one machine does all."""
     folder = spark.sparkContext.getConf().get(_SETTING) or spark.conf.get(_SETTING, None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
@@ -45,3 +49,9 @@ def written(df: DataFrame) -> DataFrame:
     folder = fresh_dir(df.sparkSession, "table")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Removes what `fresh_dir` and `written` left below the shared folder; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

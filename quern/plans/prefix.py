@@ -30,27 +30,33 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 
 def running_total(df: DataFrame, group: list[str], order: str, ties: list[str], value: Column, out: str, bits: int) -> DataFrame:
-    """Adds `out`: the sum of `value` over earlier rows of the same group.
+    """Adds `out`: the sum of `value` over earlier rows of the same group, as `running_totals` does."""
+    return running_totals(df, group, order, ties, {out: value}, bits)
+
+
+def running_totals(df: DataFrame, group: list[str], order: str, ties: list[str], values: dict[str, Column], bits: int) -> DataFrame:
+    """Adds for each name in `values` the sum of its column over earlier rows of the same group.
 
     Earlier means smaller (unsigned `order`, then `ties`). `order` names a long column that spreads evenly, such
     as a hash; equal values of it share a bucket, so callers hash in whatever tells repeated rows apart.
     """
-    rows = df.withColumn("_v", value.cast("long")).withColumn("_b", F.shiftrightunsigned(F.col(order), 64 - bits))
-    inner = W.partitionBy(*group, "_b").orderBy(order, *ties)
-    rows = rows.withColumn("_in", F.sum("_v").over(inner.rowsBetween(W.unboundedPreceding, -1)))
+    at = {f"_v{i}": c.cast("long") for i, c in enumerate(values.values())}
+    bucket = F.shiftrightunsigned(F.col(order), 64 - bits)
+    rows = df.withColumns({**at, "_b": bucket})
+    inner = W.partitionBy(*group, "_b").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_in{v}": F.sum(v).over(inner) for v in at})
 
     half = bits // 2
-    buckets = df.select(*group, F.shiftrightunsigned(F.col(order), 64 - bits).alias("_b"), value.cast("long").alias("_v"))
-    buckets = buckets.groupBy(*group, "_b").agg(F.sum("_v").alias("_t")).withColumn("_s", F.shiftright("_b", half))
+    buckets = df.select(*group, bucket.alias("_b"), *[c.alias(v) for v, c in at.items()])
+    buckets = buckets.groupBy(*group, "_b").agg(*[F.sum(v).alias(v) for v in at]).withColumn("_s", F.shiftright("_b", half))
     mid = W.partitionBy(*group, "_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    before = buckets.withColumn("_mid", F.coalesce(F.sum("_t").over(mid), F.lit(0)))
-    top = buckets.groupBy(*group, "_s").agg(F.sum("_t").alias("_t"))
+    before = buckets.withColumns({f"_mid{v}": F.coalesce(F.sum(v).over(mid), F.lit(0)) for v in at})
+    top = buckets.groupBy(*group, "_s").agg(*[F.sum(v).alias(v) for v in at])
     high = (W.partitionBy(*group) if group else W.partitionBy(F.lit(0))).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    top = top.withColumn("_top", F.coalesce(F.sum("_t").over(high), F.lit(0)))
-    top = top.select(*[F.col(k).alias(f"_r_{k}") for k in [*group, "_s"]], "_top")
-    before = before.join(top, _same(before, top, [*group, "_s"])).withColumn("_off", F.col("_mid") + F.col("_top"))
-    before = before.select(*[F.col(k).alias(f"_r_{k}") for k in [*group, "_b"]], "_off")
+    top = top.withColumns({f"_top{v}": F.coalesce(F.sum(v).over(high), F.lit(0)) for v in at})
+    top = top.select(*[F.col(k).alias(f"_r_{k}") for k in [*group, "_s"]], *[f"_top{v}" for v in at])
+    before = before.join(top, _same(before, top, [*group, "_s"]))
+    before = before.select(*[F.col(k).alias(f"_r_{k}") for k in [*group, "_b"]], *[(F.col(f"_mid{v}") + F.col(f"_top{v}")).alias(f"_off{v}") for v in at])
 
     joined = rows.join(before, _same(rows, before, [*group, "_b"]))
-    joined = joined.withColumn(out, F.coalesce(F.col("_in"), F.lit(0)) + F.col("_off"))
-    return joined.select(*df.columns, out)
+    return joined.select(*df.columns, *[(F.coalesce(F.col(f"_in{v}"), F.lit(0)) + F.col(f"_off{v}")).alias(out) for out, v in zip(values, at)])
