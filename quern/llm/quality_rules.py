@@ -1,11 +1,13 @@
 """Compression bands: zstandard ratios of whole documents and of fixed chunks, within limits for their length.
 
 Text that compresses too well is repetitive, text that hardly compresses is noise. The limits widen as texts get
-shorter, since a short text gives the compressor little to work on. Simple counts go along: words, symbols, repeated
-lines and words inside repeated eight-word windows, with the two base rules on them.
+shorter, since a short text gives the compressor little to work on. Every chunk is judged by the band of its own length,
+the last one too, and a text fails if chunks outside their bands make up too large a share of its bytes. Simple counts
+go along: words, symbols, repeated lines and words inside repeated eight-word windows, with the two base rules on them.
 
 Defined cases: null counts as empty; a text without words has zero counts and fails the base rules; repeated rows
-are judged alike, each on its own; an empty table gives no rows; other columns are left behind unless carried.
+are judged alike, each on its own; a text of any length is judged whole; an empty table gives no rows; other columns are
+left behind unless carried.
 """
 
 from __future__ import annotations
@@ -21,10 +23,15 @@ from quern.llm.text import map_texts
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-#: From so many bytes on, the least and the largest ratio of compressed to raw bytes of a whole text.
-BANDS = ((0, 0.0, 3.0), (64, 0.30, 1.30), (256, 0.25, 0.95), (512, 0.25, 0.85), (1024, 0.20, 0.75), (4096, 0.18, 0.70), (65536, 0.15, 0.70))
-#: The same for chunks of CHUNK bytes; a text fails if more than CHUNK_SHARE of its chunks lie outside.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (0.15, 0.75), 0.25
+#: From so many bytes on, the least and the largest ratio of compressed to raw bytes. Prose lies well inside: at 1 KB
+#: near 0.55, at 64 KB near 0.4. Up to 128 bytes the frame of the compressor hides whether text is noise.
+BANDS = (
+    (0, 0.0, float("inf")), (16, 1.15, float("inf")), (32, 0.75, float("inf")), (64, 0.50, float("inf")), (128, 0.40, 1.00), (160, 0.38, 0.94), (192, 0.36, 0.90), (256, 0.33, 0.86),
+    (384, 0.30, 0.82), (512, 0.28, 0.79), (768, 0.26, 0.74), (1024, 0.24, 0.71), (2048, 0.22, 0.65), (4096, 0.20, 0.59), (16384, 0.18, 0.57), (65536, 0.16, 0.57),
+)
+#: Bytes of a chunk, and the share of a text's bytes that may lie in chunks outside their bands.
+CHUNK, CHUNK_SHARE = 1024, 0.25
+MIN_WORDS = 20
 LEVEL = 3
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -82,40 +89,39 @@ def band(length: int) -> tuple[float, float]:
     return next((lo, hi) for start, lo, hi in reversed(BANDS) if length >= start)
 
 
-def _measure(texts: list[bytes]) -> dict[str, list]:
+def _inside(size: int, compressed: int) -> bool:
+    lo, hi = band(size)
+    return lo * size <= compressed <= hi * size
+
+
+def _measure(texts: list[bytes], min_words: int = MIN_WORDS) -> dict[str, pa.Array]:
     import zstandard
 
     compressor = zstandard.ZstdCompressor(level=LEVEL)
-    size = lambda raw: len(compressor.compress(raw))
     out: dict[str, list] = {part.split()[0]: [] for part in SCHEMA.split(", ")}
     for text in texts:
         words = text.split()
         n = len(words)
         repeats = repeated_words(words)
-        failed = n < 20 or 100 * repeats > 30 * n
-        ratio = size(text) / len(text) if text else None
-        # a last chunk of less than half the size is left to the whole-text ratio
-        chunks = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK) if len(text) - i >= CHUNK // 2]
-        bad = sum(not CHUNK_BAND[0] <= size(c) / len(c) <= CHUNK_BAND[1] for c in chunks)
-        lo, hi = band(len(text))
-        inside = ratio is not None and lo <= ratio <= hi and bad <= CHUNK_SHARE * len(chunks)
-        row = (n, _code_points(b"".join(words)), sum(text.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS))), repeated_lines(text), repeats, failed, ratio, len(chunks), bad, not failed and inside)
+        failed = n < min_words or 100 * repeats > 30 * n
+        whole = len(compressor.compress(text)) if text else 0
+        chunks = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
+        sizes = [len(compressor.compress(c)) for c in chunks] if len(chunks) > 1 else [whole] * len(chunks)
+        bad = [len(c) for c, size in zip(chunks, sizes) if not _inside(len(c), size)]
+        good = bool(text) and _inside(len(text), whole) and sum(bad) <= CHUNK_SHARE * len(text)
+        symbols = sum(text.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS)))
+        row = (n, _code_points(b"".join(words)), symbols, repeated_lines(text), repeats, failed, whole / len(text) if text else None, len(chunks), len(bad), not failed and good)
         for name, value in zip(out, row):
             out[name].append(value)
-    out["ratio"] = pa.array(out["ratio"], pa.float64())
-    for name in ("base_failed", "kept"):
-        out[name] = pa.array(out[name], pa.bool_())
-    for name, values in out.items():
-        if isinstance(values, list):
-            out[name] = pa.array(values, pa.int64())
-    return out
+    kinds = {"ratio": pa.float64(), "base_failed": pa.bool_(), "kept": pa.bool_()}
+    return {name: pa.array(values, kinds.get(name, pa.int64())) for name, values in out.items()}
 
 
-def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), min_words: int = MIN_WORDS) -> DataFrame:
     """The carried columns, the counts, the ratios and the verdict `kept` of every document. One pass, no shuffle."""
-    return map_texts(docs, list(carry), SCHEMA, _measure)
+    return map_texts(docs, list(carry), SCHEMA, lambda texts: _measure(texts, min_words))
 
 
-def keep_good(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+def keep_good(docs: DataFrame, columns: tuple[str, ...], min_words: int = MIN_WORDS) -> DataFrame:
     """`columns` of the documents that pass all rules."""
-    return judge(docs, columns).filter("kept").select(*columns)
+    return judge(docs, columns, min_words).filter("kept").select(*columns)
