@@ -4,7 +4,9 @@ A source's share of all tokens, raised to an exponent between 0 and 1 and normal
 bisected: either the largest whose weights reach a target entropy, or the smallest whose weights repeat no source
 more than `repetition_limit` times. Weights become token budgets, and a budget becomes whole and partial passes over
 a source, each pass in a seeded permutation of its own; the passes of all sources are cut into blocks that each hold
-every source in its weight, and each block is permuted in turn. The same files and seed give the same result.
+every source in its weight, and each block is permuted in turn. A document's place among the blocks is the mean of its
+shares of the tokens and of the rows before it, so that a source of few words in few documents fills no block with all
+the others. The same files and seed give the same result.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens, come with every pass that
 reaches their place in the permutation, and a source of nothing but those takes its single pass; repeated rows are
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.text import WORD
 from quern.plans.lineage import cut
-from quern.plans.prefix import bucket_bits, running_total
+from quern.plans.prefix import bucket_bits, running_totals
 from quern.plans.rows import numbered
 
 #: Tokens that a block holds on average.
@@ -114,7 +116,7 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit:
     n, total = n or 0, max(1, total or 0)
 
     weight = F.when(F.col("n_tokens") > 0, F.pow(F.col("n_tokens") / F.lit(float(total)), F.lit(t.exponent)) / F.lit(t.norm)).otherwise(F.lit(0.0))
-    budgets = sizes.select(F.col("source").alias("_s"), F.col("n_tokens").alias("_all"), weight.alias("weight"))
+    budgets = sizes.select(F.col("source").alias("_s"), F.col("n_tokens").alias("_all"), F.col("n_docs").alias("_docs"), weight.alias("weight"))
     # rounding must not add a pass of nothing, nor leave out the last document of a whole one
     tokens = F.round(F.col("weight") * F.lit(t.budget)).cast("long")
     budgets = budgets.withColumn("_budget", F.when(F.abs(tokens - F.col("_all")) <= 1, F.col("_all")).otherwise(tokens))
@@ -125,16 +127,19 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit:
     dealt = counted.join(budgets, F.col("source").eqNullSafe(F.col("_s")))
     dealt = dealt.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)))
     dealt = dealt.withColumn("_h", F.xxhash64(F.lit(seed), "epoch", "doc_id", "_row"))
-    placed = running_total(dealt.drop("_s", "_passes"), ["source", "epoch"], "_h", ["_row"], F.col("tokens"), "_in", bucket_bits(n))
+    placed = running_totals(dealt.drop("_s", "_passes"), ["source", "epoch"], "_h", ["_row"], {"_in": F.col("tokens"), "_before": F.lit(1)}, bucket_bits(n))
     placed = placed.withColumn("start", F.col("epoch") * F.col("_all") + F.col("_in"))
     # a budget that ends with a pass also has the empty texts at its end
     last = (F.col("start") == F.col("_budget")) & (F.col("_budget") == (F.col("epoch") + 1) * F.col("_all"))
     placed = placed.filter((F.col("start") < F.col("_budget")) | (F.col("_all") == 0) | last)
 
     blocks = max(1, ceil(t.budget / block_tokens), ceil(n / BLOCK_ROWS))
-    block = F.least(F.lit(blocks - 1), F.floor(F.col("start") / F.greatest(F.lit(1), F.col("_budget")) * blocks))
-    # documents without tokens share a place: the hash spreads those of a source without any
-    block = F.when(F.col("_all") == 0, F.pmod(F.col("_h"), F.lit(blocks))).otherwise(block)
+    reached = placed.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("_rows"))
+    placed = placed.join(F.broadcast(reached) if sources <= BROADCAST_SOURCES else reached, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # by tokens, which fill blocks evenly, and by rows, of which many may share one start
+    rows = (F.col("epoch") * F.col("_docs") + F.col("_before")) / F.col("_rows")
+    share = F.when(F.col("_all") > 0, (F.col("start") / F.greatest(F.col("_budget"), F.lit(1)) + rows) / 2).otherwise(rows)
+    block = F.least(F.lit(blocks - 1), F.floor(share * blocks))
     placed = placed.withColumn("block", block.cast("long"))
     order = W.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), "_h"), "_row")
     placed = placed.withColumn("slot", (F.row_number().over(order) - 1).cast("long")).withColumn("exponent", F.lit(t.exponent))
@@ -143,4 +148,3 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repetition_limit:
         return out.drop("_row")
     texts = docs.select(*carry, "doc_id", "_row").withColumnsRenamed({"_row": "_r", "doc_id": "_d"})
     return out.join(texts, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select(*carry, *[c for c in out.columns if c != "_row"])
-
