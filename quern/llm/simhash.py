@@ -15,6 +15,7 @@ the class are null; an empty table gives no rows; other columns are left behind.
 from __future__ import annotations
 
 from itertools import combinations, repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from quern.plans.lineage import cut
 from quern.plans.rows import numbered
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Hashes whose bits are counted at a time.
-BLOCK = 1 << 14
+#: Hashes whose bits are counted at a time, and fingerprints whose variants one task emits.
+BLOCK, EMITTED = 1 << 14, 50_000
 
 
 def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -74,7 +75,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius % 2:
         raise ValueError("the radius is even")
-    variants = distinct.select("fp", F.explode(F.array(*[F.lit(m) for m in ball(radius // 2)])).alias("_m"))
+    # few partitions hold the fingerprints, but not what they emit
+    spread = distinct.repartition(max(1, ceil(distinct.count() / EMITTED)), "fp")
+    variants = spread.select("fp", F.explode(F.array(*[F.lit(m) for m in ball(radius // 2)])).alias("_m"))
     variants = variants.select("fp", F.col("fp").bitwiseXOR(F.col("_m")).alias("_v"))
     smallest = F.min("fp").over(W.partitionBy("_v"))
     pairs = variants.select(smallest.alias("a"), F.col("fp").alias("b")).filter("a < b")
@@ -83,7 +86,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _named(rows: DataFrame, least: str, radius: int) -> DataFrame:
     """_f and `first`: each distinct fingerprint of `rows` and the smallest `least` of its class."""
-    distinct = rows.groupBy("fp").agg(F.min(least).alias("_least"))
+    distinct = cut(rows.groupBy("fp").agg(F.min(least).alias("_least")))
     classes = connected_components(links(distinct.select("fp"), radius))  # only fingerprints that have a link
     named = distinct.join(classes, distinct["fp"] == classes["node"], "left").select("fp", "_least", F.coalesce("component", "fp").alias("_class"))
     firsts = named.groupBy("_class").agg(F.min("_least").alias("first"))
