@@ -1,7 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are grouped by length into buckets, longest first. Queries first meet the bucket of the longest vectors,
-which gives each a score to beat; then blocks of queries meet every bucket. Inside a bucket the score to beat, divided
+which gives each a score to beat; then they meet, in blocks, those of the other buckets whose longest vector can reach
+that score, and no other pair of bucket and block is shuffled. Inside a bucket the score to beat, divided
 by the lengths, is a cosine: above 1 the bucket is skipped, a low one prunes by length (the bucket is sorted), a high
 one prunes by the query's largest coordinate, where a candidate's must lie in a narrow range. What is left is verified
 by whole integer products.
@@ -131,23 +132,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE)
     buckets, blocks = max(1, ceil(n / BUCKET)), max(1, ceil(asked / BLOCK))
     ranged = whole.repartitionByRange(buckets, F.col("norm").desc(), F.col("vec_id"))
     rows = cut(ranged.withColumn("bucket", F.spark_partition_id()))
-    last = rows.agg(F.max("bucket")).first()[0] or 0
 
-    queries = rows.filter(is_query).select("vec_id", "v").distinct()
+    queries = rows.filter(is_query).select("vec_id", "v", "norm").distinct()
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    key = ["bucket", "block"]
-    spread = rows.select("vec_id", "v", "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     out = "query_id long, vec_id long, score long"
 
     def met(candidates: DataFrame, asking: DataFrame) -> DataFrame:
-        asking = asking.select("vec_id", "v", "beat", *key).toDF("query_id", "v", "beat", "at_bucket", "at_block")
-        return candidates.groupBy(*key).cogroup(asking.groupBy("at_bucket", "at_block")).applyInArrow(_search(k), out)
+        asking = asking.select("vec_id", "v", "beat", "bucket", "block").toDF("query_id", "v", "beat", "at_bucket", "at_block")
+        return candidates.groupBy("bucket", "block").cogroup(asking.groupBy("at_bucket", "at_block")).applyInArrow(_search(k), out)
 
     first = queries.withColumn("bucket", F.lit(0)).withColumn("beat", F.lit(float("-inf")))
-    seeds = met(spread.filter("bucket = 0"), first)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    seeds = cut(met(rows.filter("bucket = 0").select("vec_id", "v", "bucket").withColumn("block", every), first))
     beats = seeds.groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("_beat"))
+
+    # one row: a number for each bucket
+    longest = rows.filter("bucket > 0").groupBy("bucket").agg(F.max("norm").alias("longest")).agg(F.collect_list(F.struct("bucket", "longest")).alias("_buckets"))
     asking = queries.join(beats, F.col("vec_id") == F.col("_q"), "left").withColumn("beat", F.coalesce("_beat", F.lit(float("-inf"))))
-    asking = asking.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(last)))).select("vec_id", "v", "block", "bucket", "beat")
-    found = met(spread, asking)
+    reached = F.filter("_buckets", lambda b: b["longest"] * F.col("norm") * (1 + 1e-9) + 1e-6 >= F.col("beat"))
+    asking = asking.crossJoin(F.broadcast(longest)).withColumn("bucket", F.explode(F.transform(reached, lambda b: b["bucket"])))
+    wanted = asking.select(F.col("bucket").alias("_b"), "block").distinct()
+    found = seeds.union(met(rows.select("vec_id", "v", "bucket").join(wanted, F.col("bucket") == F.col("_b")).drop("_b"), asking))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
