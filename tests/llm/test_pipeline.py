@@ -10,9 +10,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import quality_rules
 from quern.llm.packing import WordIds
 from quern.llm.queries import queries
+from tests.llm.test_plain_versions import plain_kept
 from tests.llm.test_text_operators import DOCS, plain_fingerprint
 
 
@@ -52,20 +52,21 @@ def test_stages(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     ruled, good, single, mixed, packed = tables
 
-    verdict = quality_rules._measure([(t or "").encode() for t in whole.values()])["kept"].to_pylist()
-    assert {r.doc_id for r in ruled} == {i for i, ok in zip(whole, verdict) if ok}
+    assert {r.doc_id for r in ruled} == {i for i, t in whole.items() if plain_kept(t or "", min_words=1)}
+    assert None in {r.doc_id for r in ruled}, "a short text is no reason to go"
     assert not any(known.get((r.doc_id or 0) % 1000, ("", ""))[0] == "spam" for r in ruled)
 
-    kinds = Counter(known[r.doc_id % 1000][0] for r in good)
-    assert kinds["good"] == sum(known[r.doc_id % 1000][0] == "good" for r in ruled) and kinds["table"] <= 1
+    kind = lambda i: "short" if i is None else known[i % 1000][0]
+    kinds = Counter(kind(r.doc_id) for r in good)
+    assert kinds["good"] == sum(kind(r.doc_id) == "good" for r in ruled) and kinds["table"] <= 1
 
     reach = {r.doc_id: plain_fingerprint(r.text) for r in good}
     first = {}
-    for i in sorted(reach):
+    for i in sorted(reach, key=lambda i: -1 if i is None else i):
         first.setdefault(reach[i], i)
     near = [(a, b) for a in first for b in first if a < b and (a ^ b).bit_count() <= 2]
     assert not near, "random texts have no near copies but the planted ones"
-    assert sorted(r.doc_id for r in single) == sorted(first.values())
+    assert len(single) == len(first) and {r.doc_id for r in single} == set(first.values())
 
     times = Counter(r.doc_id for r in mixed)
     assert set(times) == set(first.values())
