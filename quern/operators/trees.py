@@ -1,8 +1,10 @@
-"""Trees kept as parent references: reachability by levels, with joins that shrink as they go down."""
+"""Trees kept as parent references, of any depth: each round doubles how far up every node is known.
 
-from __future__ import annotations
+A round joins the table of jumps (a node and the one 2^k above it) with itself and with what has been found, so a chain
+of n nodes takes about log2(n) rounds. Jumps are at most a row a node; what is found is no larger than the result.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,38 +12,50 @@ from pyspark.sql import functions as F
 from quern.plans.lineage import written
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def _doubled(jumps: DataFrame) -> DataFrame:
+    above = jumps.select(F.col("id").alias("up"), F.col("up").alias("_up"))
+    return written(jumps.join(above, "up").select("id", F.col("_up").alias("up")))
+
+
+def _closed(found: DataFrame, more: DataFrame, keys: list[str], distance: str) -> tuple[DataFrame, int]:
+    """Both, each pair at its least distance, and how many pairs there are."""
+    rows = written(found.union(more).groupBy(*keys).agg(F.min(distance).alias(distance)))
+    return rows, rows.count()
+
+
+def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """root, id and depth of every live node below each root, the root included.
 
-    `nodes` has id, parent_id and deleted. A level that meets only nodes already seen ends the walk, so cycles do.
+    `nodes` has id, parent_id and deleted. A node in a cycle is below every node of it, once.
     """
     live = written(nodes.filter("NOT deleted").select("id", "parent_id"))
-    front = written(roots.join(live.select("id"), "id").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
-    levels, seen = [front], front.select("root", "id")
-    for depth in range(1, max_depth + 1):
-        step = front.select("root", F.col("id").alias("_p")).join(live, F.col("_p") == F.col("parent_id")).select("root", "id").distinct()
-        front = written(step.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+    jumps = written(live.join(live.select(F.col("id").alias("up")), F.col("parent_id") == F.col("up")).select("id", "up"))
+    keys = ["root", "id"]
+    found = written(roots.select("id").distinct().join(live.select("id"), "id").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
+    n, reach = found.count(), 1
+    while not jumps.isEmpty():
+        below = jumps.join(found.select("root", F.col("id").alias("up"), "depth"), "up").select("root", "id", (F.col("depth") + reach).alias("depth"))
+        found, now = _closed(found, below, keys, "depth")
+        # what lies further up has a way through what is nearer, so nothing new now means nothing new ever
+        if now == n:
             break
-        levels.append(front)
-        seen = seen.union(front.select("root", "id"))
-    return reduce(DataFrame.union, levels)
+        jumps, reach, n = _doubled(jumps), reach * 2, now
+    return found.select("root", "id", "depth")
 
 
-def ancestors(nodes: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """id, ancestor and distance (0 for itself) for every seed; deleted ancestors included, cycles end."""
-    all_nodes = written(nodes.select(F.col("id").alias("_id"), "parent_id"))
-    known = seeds.select("id").distinct().join(all_nodes.select("_id").distinct(), F.col("id") == F.col("_id"))
-    front = written(known.select("id", F.col("_id").alias("ancestor"), F.lit(0).alias("distance")))
-    levels, seen = [front], front.select("id", "ancestor")
-    for distance in range(1, max_depth + 1):
-        step = front.join(all_nodes, F.col("ancestor") == F.col("_id")).filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor"))
-        front = written(step.join(seen, ["id", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)))
-        if front.isEmpty():
+    links = written(nodes.select("id", F.col("parent_id").alias("up")))
+    jumps = links.filter("up IS NOT NULL")
+    found = written(seeds.select("id").distinct().join(links.select("id").distinct(), "id").select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")))
+    n, reach = found.count(), 1
+    while not jumps.isEmpty():
+        further = found.join(jumps.select(F.col("id").alias("ancestor"), "up"), "ancestor").select("id", F.col("up").alias("ancestor"), (F.col("distance") + reach).alias("distance"))
+        found, now = _closed(found, further, ["id", "ancestor"], "distance")
+        if now == n:
             break
-        levels.append(front)
-        seen = seen.union(front.select("id", "ancestor"))
-    return reduce(DataFrame.union, levels)
+        jumps, reach, n = _doubled(jumps), reach * 2, now
+    return found.select("id", "ancestor", "distance")
 
 
 def paths(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
