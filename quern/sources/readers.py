@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: What may be read as a table, and how much.
@@ -26,8 +27,17 @@ def sniff(extension: str | None, name: str | None, mime: str | None = None) -> s
     return mimes.get(mime or "")
 
 
-def read_table(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A table with types inferred from all of its rows."""
+def check_size(spark: SparkSession, path: str, most: int = MAX_BYTES) -> None:
+    """Raises ValueError if a file at `path` is larger than `most` bytes; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    if large := files.filter(F.col("length") > most).first():
+        raise ValueError(f"{large['path']} has {large['length']} bytes, more than {most}")
+
+
+def read_table(spark: SparkSession, path: str, kind: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """A user's table with types inferred from all of its rows; None in `max_bytes` lifts the limit on files."""
+    if max_bytes is not None:
+        check_size(spark, path, max_bytes)
     if kind in ("csv", "tsv"):
         return spark.read.csv(path, header=True, inferSchema=True, samplingRatio=1.0, sep="\t" if kind == "tsv" else ",", multiLine=True, escape='"')
     if kind == "json":
@@ -58,13 +68,28 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, limit: int = 100_000) -> bool:
-    """Writes the first `limit` rows with a header; True if there were more."""
-    df.limit(limit).write.mode("overwrite").csv(path, header=True)
+    """Writes the first `limit` rows as one file with a byte order mark and a header; True if there were more."""
+    first, *others = df.columns
+    df.limit(limit).coalesce(1).toDF(f"\ufeff{first}", *others).write.mode("overwrite").csv(path, header=True)
     return df.offset(limit).limit(1).count() > 0
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line_no (from 1 in each file) and text of every line of plain UTF-8 files of any size.
+
+    Files are split as Spark splits them; a window numbers the lines of one split, and splits are counted before.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("_id"))
+    counts = rows.groupBy("path", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("path").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(F.col("path").alias("_p"), F.col("_at").alias("_a"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("path", "_at").orderBy("_id"))
+    numbered = rows.withColumn("_in", inside).join(before, (F.col("path") == F.col("_p")) & (F.col("_at") == F.col("_a")))
+    return numbered.select("path", (F.col("_before") + F.col("_in")).cast("long").alias("line_no"), "text")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1 in each file), text and path of every line; gzip is read as it is.
+    """line_no (from 1 in each file), text and path of every line; gzip is read as it is. For large plain files `read_lines`.
 
     Bytes are decoded as UTF-8 with or without mark, else UTF-16 with mark, else Latin-1.
     """
@@ -105,12 +130,13 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 def read_judgements(spark: SparkSession, path: str) -> DataFrame:
     """query_id, entry_id, rel from three columns, or four with an ignored second one; the last of repeats wins.
 
-    A header and lines that can't be read are skipped; a decimal judgement is cut to a whole one.
+    A header and lines that can't be read are skipped; of a decimal judgement the digits behind the point go.
     """
     parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p"), F.monotonically_increasing_id().alias("line"))
     at = F.size("p")
     rows = parts.filter(at.isin(3, 4)).select("line", F.col("p")[0].alias("query_id"), F.element_at("p", -2).alias("entry_id"), F.element_at("p", -1).try_cast("double").alias("r"))
-    return rows.filter("r IS NOT NULL").groupBy("query_id", "entry_id").agg(F.max_by(F.floor("r").cast("int"), "line").alias("rel"))
+    rows = rows.filter("NOT isnan(r) AND abs(r) < 2147483648")
+    return rows.groupBy("query_id", "entry_id").agg(F.max_by(F.col("r").cast("int"), "line").alias("rel"))
 
 
 def archive_members(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
