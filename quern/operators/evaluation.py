@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.quantiles import percentiles
+
 
 def per_query(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """hit, recall, ndcg at k, reciprocal rank and counts, for every query with a positive judgement."""
@@ -53,8 +55,8 @@ def ablation(runs: dict[str, DataFrame], qrels: DataFrame, k: int) -> DataFrame:
 
 def latency(requests: DataFrame, group: list[str], limits: dict[str, float]) -> DataFrame:
     """p50, p95, p99 (linear between ranks), error rate, and whether any limit is passed."""
-    p = [F.round(F.percentile("latency_ms", q), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    rows = requests.groupBy(*group).agg(F.count(F.lit(1)).alias("requests"), *p, F.round(F.avg(F.col("error").cast("double")), 6).alias("error_rate"))
+    p = percentiles(requests, group, "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).select(*group, *[F.round(n, 6).alias(n) for n in ("p50", "p95", "p99")])
+    rows = requests.groupBy(*group).agg(F.count(F.lit(1)).alias("requests"), F.round(F.avg(F.col("error").cast("double")), 6).alias("error_rate")).join(p, group, "left")
     broken = F.lit(0)
     for column, most in limits.items():
         broken = broken + (F.col(column) > most).cast("int")

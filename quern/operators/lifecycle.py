@@ -56,10 +56,10 @@ def orphans(files: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def dedupe_content(files: DataFrame) -> DataFrame:
-    """file_id, seed and copies: each file with the oldest live one of the same bytes."""
-    w = W.partitionBy("sha256")
-    seed = F.first("file_id").over(w.orderBy("ingested_at", "file_id"))
-    return files.filter("deleted_at IS NULL").select("file_id", seed.alias("seed"), F.count(F.lit(1)).over(w).alias("copies"))
+    """file_id, seed and copies: each file with the oldest live one of the same bytes, which is found in one pass."""
+    live = files.filter("deleted_at IS NULL").select("file_id", "sha256", "ingested_at")
+    seeds = live.groupBy(F.col("sha256").alias("_s")).agg(F.min_by("file_id", F.struct("ingested_at", "file_id")).alias("seed"), F.count(F.lit(1)).alias("copies"))
+    return live.join(seeds, F.col("sha256").eqNullSafe(F.col("_s"))).select("file_id", "seed", "copies")
 
 
 def recover(tasks: DataFrame, now: str, grace_seconds: int = 10, max_attempts: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.text import hits, recall_weight
+from quern.plans.lineage import cut
 
 RRF_K = 60
 #: Share of each bucket in the evidence, in order; what is left goes to the others.
@@ -27,7 +28,7 @@ def bm25(texts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     lengths = texts.select("entry_id", F.regexp_count(F.lower("text"), F.lit(TOKEN)).alias("dl"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     asked = terms_of(queries, "query_id", "text").select("query_id", "term")
-    index = terms_of(texts, "entry_id", "text").join(asked.select("term").distinct(), "term", "left_semi")
+    index = cut(terms_of(texts, "entry_id", "text").join(asked.select("term").distinct(), "term", "left_semi"))  # read twice: counts and weights
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = index.join(df, "term").join(lengths, "entry_id").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -35,10 +36,10 @@ def bm25(texts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     return asked.join(weighed.select("term", "entry_id", (idf * tf).alias("w")), "term").groupBy("query_id", "entry_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
-def ranked(scores: DataFrame, n: int, rank: str) -> DataFrame:
-    """The n best entries of each query with their rank."""
+def ranked(scores: DataFrame, n: int, rank: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The n best entries of each query with their rank, and the columns to keep."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "entry_id"))
-    return scores.withColumn(rank, place).filter(F.col(rank) <= n).select("query_id", "entry_id", rank)
+    return scores.withColumn(rank, place).filter(F.col(rank) <= n).select("query_id", "entry_id", *keep, rank)
 
 
 def merge(*sources: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def overlap_bonus() -> Column:
 
 
 def field_match(terms: list[str], fields: dict[str, float] | None = None) -> Column:
-    """At most 2 for weighted hits (two a field at most), plus the share of terms found."""
+    """The weights of fields and the limits. At most 2 for weighted hits (two a field at most), plus the share of terms found."""
     fields = {"display_name": 2.4, "summary": 1.4, "kind": 0.2} if fields is None else fields
     raw, covered = F.lit(0.0), F.lit(0.0)
     for t in terms:
@@ -84,7 +85,7 @@ def field_match(terms: list[str], fields: dict[str, float] | None = None) -> Col
 
 
 def evidence_utility(summary: Column, partial: Column, chunks: Column, cut: Column) -> Column:
-    """0.4 for a summary, 0.3 for a whole index, 0.2 for chunks or pages, less 0.2 for a cut or sampled text."""
+    """0.4 for a summary, 0.3 for a whole index, 0.2 for chunks or pages, less 0.2 for a cut or sampled text."""
     has = F.when(F.trim(F.coalesce(summary, F.lit(""))) != "", 0.4).otherwise(0.0)
     whole = F.when(~partial, 0.3).otherwise(0.0)
     return has + whole + F.when(chunks > 0, 0.2).otherwise(0.0) - F.when(cut, 0.2).otherwise(0.0)

@@ -29,6 +29,16 @@ def unit(v: Column) -> Column:
     return F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / n))
 
 
+def _cells(records: DataFrame, queries: DataFrame, columns: list[str]):
+    """Records and queries grouped so that each lane of entries meets each block of queries once, and their types."""
+    records, queries = records.filter("vector IS NOT NULL"), queries.filter("query IS NOT NULL")
+    lanes, blocks = max(1, ceil(records.count() / LANE)), max(1, ceil(queries.count() / BLOCK))
+    lane, block = F.pmod(F.xxhash64("entry_id"), F.lit(lanes)), F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    left = records.select(*columns, "vector", lane.alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = queries.select("query_id", "query", block.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"))
+    return left.groupBy("block", "lane").cogroup(right.groupBy("_block", "_lane")), dict(left.dtypes) | dict(right.dtypes)
+
+
 def search(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, entry_id, score, rank: the k best entries of each query, an entry by its best record.
 
@@ -36,12 +46,7 @@ def search(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     of queries. A cell multiplies two matrices and passes on the k best entries of each query. Rows with a null vector
     are left out; all vectors have one length.
     """
-    records, queries = records.filter("vector IS NOT NULL"), queries.filter("query IS NOT NULL")
-    lanes, blocks = max(1, ceil(records.count() / LANE)), max(1, ceil(queries.count() / BLOCK))
-    lane, block = F.pmod(F.xxhash64("entry_id"), F.lit(lanes)), F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    left = records.select("entry_id", "vector", lane.alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.select("query_id", "query", block.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"))
-    types = dict(left.dtypes) | dict(right.dtypes)
+    met, types = _cells(records, queries, ["entry_id"])
 
     def cell(r: pa.Table, q: pa.Table) -> pa.Table:
         out = ([], [], [])
@@ -58,18 +63,32 @@ def search(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         column.append(value)
         return pa.table({"query_id": pa.array(out[0], q.schema.field("query_id").type), "entry_id": pa.array(out[1], r.schema.field("entry_id").type), "score": pa.array(out[2], pa.float64())})
 
-    met = left.groupBy("block", "lane").cogroup(right.groupBy("_block", "_lane"))
     found = met.applyInArrow(cell, f"query_id {types['query_id']}, entry_id {types['entry_id']}, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "entry_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def best_sections(records: DataFrame, query: list[float], scope: DataFrame, least: float = 0.45) -> DataFrame:
-    """The best section of each entry in scope, where it reaches the threshold."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = records.join(scope, "entry_id", "left_semi").withColumn("score", F.round(dot(F.col("vector"), q), 6))
-    best = scored.groupBy("entry_id").agg(F.max(F.struct("score", "section_id")).alias("_b"))
-    return best.select("entry_id", F.col("_b.section_id").alias("section_id"), F.col("_b.score").alias("score")).filter(F.col("score") >= least)
+def best_sections(records: DataFrame, queries: DataFrame, least: float = 0.45) -> DataFrame:
+    """query_id, entry_id, section_id and score: each entry's best section for each query, where it reaches the threshold.
+
+    `records` has entry_id, section_id and vector. Cells pass on only what reaches the threshold; of equal scores the
+    last section by name is taken.
+    """
+    met, types = _cells(records, queries, ["entry_id", "section_id"])
+
+    def cell(r: pa.Table, q: pa.Table) -> pa.Table:
+        at, of, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if r.num_rows and q.num_rows:
+            rows, asked = (np.stack(t.column(c).to_numpy()).astype(np.float64) for t, c in ((r, "vector"), (q, "query")))
+            product = np.round(asked @ rows.T, 6)
+            of, at = np.nonzero(product >= least)
+            scores = product[of, at]
+        found = r.select(["entry_id", "section_id"]).take(pa.array(at))
+        return pa.table({"query_id": q.column("query_id").take(pa.array(of)), "entry_id": found.column(0), "section_id": found.column(1), "score": pa.array(scores)})
+
+    found = met.applyInArrow(cell, f"query_id {types['query_id']}, entry_id {types['entry_id']}, section_id {types['section_id']}, score double")
+    best = found.groupBy("query_id", "entry_id").agg(F.max(F.struct("score", "section_id")).alias("_b"))
+    return best.select("query_id", "entry_id", F.col("_b.section_id").alias("section_id"), F.col("_b.score").alias("score"))
 
 
 def refresh(index: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
