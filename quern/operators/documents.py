@@ -103,10 +103,21 @@ def citations(answers: DataFrame, key: str = "id", text: str = "text") -> DataFr
     ).filter("entry_id IS NOT NULL")
 
 
+class _Plain(dict):
+    """What becomes of each character: nothing of blanks, marks and control characters, else its case-folded form."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kept = self[code] = "" if c.isspace() or unicodedata.category(c)[0] in "PZC" else c.casefold()
+        return kept
+
+
+_PLAIN = _Plain()
+
+
 def plain_quote(text: str) -> str:
     """Compatibility form without blanks, punctuation and control characters, case-folded."""
-    folded = unicodedata.normalize("NFKC", text)
-    return "".join(c.casefold() for c in folded if not c.isspace() and unicodedata.category(c)[0] not in "PZC")
+    return unicodedata.normalize("NFKC", text).translate(_PLAIN)
 
 
 @F.pandas_udf(BooleanType())
@@ -115,7 +126,8 @@ def quote_in(source: pd.Series, quote: pd.Series) -> pd.Series:
     found = []
     for s, q in zip(source, quote):
         needle = plain_quote(q or "")
-        found.append(bool(needle) and needle in plain_quote(s or ""))
+        # a text that holds the quote as it stands needs no plain form
+        found.append(bool(needle) and (q in (s or "") or needle in plain_quote(s or "")))
     return pd.Series(found)
 
 
@@ -188,10 +200,25 @@ def directory_lines(paths: DataFrame, depth: int = 4) -> DataFrame:
     return rows.groupBy("path", "depth", "name").agg(F.count(F.lit(1)).alias("files"))
 
 
+#: Labels of an answer, and the words that stand for each where none is stated, in order.
+VERDICT_WORDS = (
+    ("INSUFFICIENT", ("insufficient", "cannot be verified", "not possible to")),
+    ("CONTRADICT", ("contradict", "incorrect", "does not support")),
+    ("SUPPORT", ("support", "accurate", "consistent with")),
+)
+
+
 def verdict(text: Column) -> Column:
-    """Label of an answer: a stated one first, else the words it uses."""
-    stated = F.upper(F.regexp_extract(text, r"(?i)\b(?:verdict|label|answer)\s*[:=]\s*\**\s*(SUPPORTS?|CONTRADICTS?|REFUTES?|NOT[_ ]ENOUGH[_ ]INFO|NEI)", 1))
-    return F.when(stated.startswith("SUPPORT"), "SUPPORT").when(stated.rlike("^(CONTRADICT|REFUTE)"), "CONTRADICT").when(stated != "", "NOT_ENOUGH_INFO")
+    """Label of an answer: the one that a line states, else by the words it uses, else null."""
+    text = F.coalesce(text, F.lit(""))
+    stated = F.upper(F.regexp_extract(text, r"(?im)^\s*(?:\*\*)?\s*verdict\s*:\s*(support|contradict|insufficient)\b", 1))
+    low, label = F.lower(text), F.when(stated != "", stated)
+    for name, words in VERDICT_WORDS:
+        said = F.lit(False)
+        for w in words:
+            said = said | F.contains(low, F.lit(w))
+        label = label.when(said, name)
+    return label
 
 
 def sections_digest(rows: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:

@@ -126,7 +126,8 @@ def fail_ingest(files: DataFrame, ids: DataFrame, now: str) -> DataFrame:
 
 
 def tags_of(entry_tags: DataFrame, tags: DataFrame, ids: DataFrame) -> DataFrame:
-    """entry_id, tag_id, name, facet and source of every tag on the entries."""
+    """entry_id, tag_id, name, facet and source of every tag on the entries; aliases aren't told, where the table has any."""
+    tags = tags.filter("alias_of IS NULL") if "alias_of" in tags.columns else tags
     return by_ids(entry_tags, ids, "entry_id").join(tags.select(F.col("id").alias("tag_id"), "name", "facet"), "tag_id").select("entry_id", "tag_id", "name", "facet", "source")
 
 
