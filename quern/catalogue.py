@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.binding import Store
 from quern.queries import QUERIES, SQL
+from quern.queries import answers as _answers  # noqa: F401  registers
 from quern.queries import metadata as _metadata  # noqa: F401  registers
 from quern.queries import more as _more  # noqa: F401  registers
 from quern.queries import parts as _parts  # noqa: F401  registers

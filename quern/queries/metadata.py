@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.binding import NOW, Store, with_store
 from quern.functions.text import ENTITIES, FACET_WEIGHTS, contains_any, embedding_text, has_cjk, heuristic_tags, hits, html_text, inner_name, safe_name, search_weight
 from quern.operators import store as ops
+from quern.plans.quantiles import percentiles as percentiles_of
 from quern.queries import query
 
 _LIVE = """live AS (SELECT e.*, f.sha256, f.size_bytes, f.kind, f.summary, f.ingest_status, f.ingested_at, f.original_ext FROM entries e JOIN files f ON e.file_id = f.file_id
@@ -291,15 +292,17 @@ def cache_ratio(s: Store) -> DataFrame:
     )
 
 
-@query("a20_mentions", with_store("SELECT entry_id, CAST(count(*) AS BIGINT) AS n, list_sort(list(id)) AS notes FROM mentions GROUP BY entry_id HAVING count(*) >= 3", "mentions").replace("list_sort(list(id))", "array_to_string(list_sort(list(id)), ',')"))
+@query("a20_mentions", with_store("SELECT entry_id, CAST(n AS BIGINT) AS n, id AS note FROM (SELECT entry_id, id, count(*) OVER (PARTITION BY entry_id) AS n FROM mentions) WHERE n >= 3", "mentions"))
 def mention_lists(s: Store) -> DataFrame:
-    rows = s.mentions.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("notes")).filter("n >= 3")
-    return rows.withColumn("notes", F.array_join(F.transform("notes", lambda x: x.cast("string")), ","))
+    """A row for each note of an entry that enough of them mention: no row holds a list as long as an entry is popular."""
+    often = s.mentions.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return s.mentions.join(often, "entry_id").select("entry_id", "n", F.col("id").alias("note"))
 
 
 @query("a24_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def percentiles(s: Store) -> DataFrame:
-    return s.raw("events").groupBy("event_type").agg(*[F.round(F.percentile("value", q), 6).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    names = ("p50", "p95", "p99")
+    return percentiles_of(s.raw("events"), ["event_type"], "value", dict(zip(names, (0.5, 0.95, 0.99)))).select("event_type", *[F.round(n, 6).alias(n) for n in names])
 
 
 @query("a27_grouping_sets", "SELECT l_returnflag AS flag, l_linestatus AS status, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")

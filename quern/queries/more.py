@@ -34,9 +34,9 @@ def at_least(s: Store) -> DataFrame:
     return logs.at_least(s.log_lines, "warn").select("line_no")
 
 
-@query("g03_direct_weight", with_store("SELECT a AS seed, b AS node, CAST(observation_count AS BIGINT) AS direct FROM edges WHERE a % 25 = 0", "edges"))
+@query("g03_direct_weight", with_store("SELECT a AS seed, b AS node, CAST(observation_count AS BIGINT) AS direct FROM edges", "edges"))
 def direct_weight(s: Store) -> DataFrame:
-    return graph.adjacency(s.edges).filter("src % 25 = 0 AND src < dst").select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.col("weight").alias("direct"))
+    return graph.adjacency(s.edges).filter("src < dst").select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.col("weight").alias("direct"))
 
 
 @query("g07_component_tags", """WITH g AS (SELECT min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component, c_custkey AS node FROM customer),

@@ -140,9 +140,10 @@ def due_kinds(s: Store) -> DataFrame:
     return lifecycle.due(kinds, e.select(F.col("event_type").alias("kind"), F.col("ts").alias("at")), "2024-02-01 00:00:00")
 
 
-@query("a02_recounted_tags", with_store("SELECT t.name, CAST(count(DISTINCT e.entry_id) AS BIGINT) AS doc_count FROM (SELECT DISTINCT name FROM entry_tags) t LEFT JOIN (SELECT * FROM entry_tags WHERE entry_id % 40 = 1) e ON e.name = t.name GROUP BY t.name", "entry_tags"))
+@query("a02_recounted_tags", with_store("SELECT t.name, CAST(count(DISTINCT e.entry_id) AS BIGINT) AS doc_count FROM (SELECT DISTINCT name FROM entry_tags UNION ALL SELECT 'unused') t LEFT JOIN entry_tags e ON e.name = t.name GROUP BY t.name", "entry_tags"))
 def recounted(s: Store) -> DataFrame:
-    return lifecycle.usage_counts(s.entry_tags.select("name").distinct(), s.entry_tags.filter("entry_id % 40 = 1"))
+    names = s.entry_tags.select("name").distinct()
+    return lifecycle.usage_counts(names.union(names.select(F.lit("unused")).distinct()), s.entry_tags)
 
 
 @query("a07_task_counts", with_store("SELECT status, CAST(count(*) AS BIGINT) AS n FROM tasks GROUP BY status", "tasks"))
