@@ -15,6 +15,7 @@ from quern.operators import evaluation, graph, lifecycle, logs, retrieval, store
 from quern.operators.components import connected_components
 from quern.plans.columns import pick
 from quern.plans.prefix import running_total
+from quern.plans.quantiles import percentiles
 from quern.sources import adhoc, readers
 
 LOG = [
@@ -121,6 +122,55 @@ def test_trees(spark):
     assert {r.id: r.cycle for r in trees.would_cycle(nodes, moves).collect()} == {"a": True, "c": False}
 
 
+def test_deep_trees(spark):
+    """A chain of 200, a cycle that hangs below nothing and one with a tail."""
+    rows = [(i, i - 1 if i else None, f"n{i}", False) for i in range(200)] + [(300, 302, "a", False), (301, 300, "b", False), (302, 301, "c", False), (303, 302, "d", False), (400, 999, "orphan", False)]
+    nodes = spark.createDataFrame(rows, "id long, parent_id long, name string, deleted boolean")
+    below = trees.subtree(nodes, spark.createDataFrame([(0,), (150,), (300,)], "id long")).collect()
+    got = {(r.root, r.id): r.depth for r in below}
+    assert len(got) == len(below) == 200 + 50 + 4
+    assert all(got[0, i] == i for i in range(200)) and all(got[150, i] == i - 150 for i in range(150, 200))
+    assert {i: got[300, i] for i in (300, 301, 302, 303)} == {300: 0, 301: 1, 302: 2, 303: 3}
+    up = trees.ancestors(nodes, spark.createDataFrame([(199,), (303,), (400,), (77777,)], "id long")).collect()
+    far = {(r.id, r.ancestor): r.distance for r in up}
+    assert len(far) == len(up) == 200 + 4 + 2 and all(far[199, i] == 199 - i for i in range(200))
+    assert {a: d for (i, a), d in far.items() if i == 303} == {303: 0, 302: 1, 301: 2, 300: 3} and far[400, 999] == 1
+    assert trees.paths(nodes, nodes.filter("id = 199").select("id")).first().path == "/".join(f"n{i}" for i in range(200))
+    assert trees.would_cycle(nodes, spark.createDataFrame([(0, 199), (199, 0)], "id long, parent_id long")).filter("cycle").first().id == 0
+
+
+def test_pairs_of_large_groups(spark):
+    rows = [("big", i) for i in range(60)] + [("small", i) for i in (1, 2, 70)] + [("other", i) for i in range(0, 60, 7)]
+    m = spark.createDataFrame(rows, "id string, entry_id long")
+    whole = {(r.a, r.b): r.observation_count for r in graph.pair_counts(m, 1).collect()}
+    assert whole == {(r.a, r.b): r.observation_count for r in graph.pair_counts(m, 1, cell=7).collect()}
+    assert len(whole) == 60 * 59 // 2 + 2 and whole[1, 2] == 2 and whole[0, 7] == 2
+
+
+def test_percentiles(spark):
+    rows = [("a", float(v)) for v in (5, 1, 1, 1, 9, 3.5)] + [("b", 2.0)] + [(None, float(i % 10)) for i in range(1000)] + [("c", None)]
+    got = {r.g: (r.p, r.q, r.top) for r in percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"p": 0.5, "q": 0.9, "top": 1.0}).collect()}
+    assert got.keys() == {"a", "b", None}
+    assert got["a"] == pytest.approx((2.25, 7.0, 9.0)) and got["b"] == (2.0, 2.0, 2.0) and got[None] == pytest.approx((4.5, 8.1, 9.0))
+
+
+def test_judgements_lines_and_limits(spark, tmp_path):
+    (tmp_path / "q.tsv").write_text("query-id\tcorpus-id\tscore\n1\ta\t-0.5\n1\tb\t1.9\n1 0 c 2\n1\td\tnan\n1\ta\t-1.2\n")
+    assert {r.entry_id: r.rel for r in readers.read_judgements(spark, str(tmp_path / "q.tsv")).collect()} == {"a": -1, "b": 1, "c": 2}
+    (tmp_path / "logs").mkdir()
+    for name, n in (("x.log", 2000), ("y.log", 3)):
+        (tmp_path / "logs" / name).write_text("".join(f"{name} line {i}\n" for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    got = readers.read_lines(spark, str(tmp_path / "logs")).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 2003 and all(r.text.endswith(f" line {r.line_no}") and r.text.split()[0] in r.path for r in got)
+    with pytest.raises(ValueError, match="more than 1000"):
+        readers.read_table(spark, str(tmp_path / "logs" / "x.log"), "csv", max_bytes=1000)
+    assert readers.write_csv(spark.range(5), str(tmp_path / "out"), 3)
+    (part,) = (tmp_path / "out").glob("*.csv")
+    assert part.read_bytes() == b"\xef\xbb\xbfid\n0\n1\n2\n"
+
+
 def test_quota_and_rerank(spark):
     rows = []
     for i in range(5):
@@ -170,8 +220,8 @@ def test_vectors(spark):
     records = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 1.0]), ("b", 1, [0.6, 0.8])], "entry_id string, section_id int, vector array<float>")
     queries = spark.createDataFrame([(0, [0.0, 1.0])], "query_id int, query array<float>")
     assert [(r.entry_id, r.score) for r in vectors.search(records, queries, 2).orderBy("rank").collect()] == [("a", 1.0), ("b", 0.8)]
-    scope = records.select("entry_id").distinct()
-    assert {(r.entry_id, r.section_id) for r in vectors.best_sections(records, [0.0, 1.0], scope).collect()} == {("a", 2), ("b", 1)}
+    asked = spark.createDataFrame([(1, [0.0, 1.0])], "query_id int, query array<double>")
+    assert {(r.entry_id, r.section_id) for r in vectors.best_sections(records, asked).collect()} == {("a", 2), ("b", 1)}
 
 
 def test_index_refresh_and_log_hits(spark, lines):
@@ -223,9 +273,36 @@ def test_paths_and_prefixes(spark):
 
 def test_admission():
     assert adhoc.admit("SELECT replace(a, ';', 'set') FROM t1; ").endswith("t1")
-    for bad in ("DROP TABLE t1", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/x`", "SELECT * FROM csv.`x`", "INSERT INTO t1 VALUES (1)", "SELECT reflect('a', 'b')", "WITH x AS (SELECT 1) DELETE FROM t1"):
+    for bad in ("DROP TABLE t1", "SELECT 1; SELECT 2", "INSERT INTO t1 VALUES (1)", "SELECT reflect('a', 'b')", "EXPLAIN SELECT 1"):
         with pytest.raises(adhoc.RefusedSQL):
             adhoc.admit(bad)
+    assert adhoc.reconcile("""SELECT 'say "Name" now', "N ame", `"Name"` -- "Name"\n/* "Name" */""", ["name"]) == ("""SELECT 'say "Name" now', `name`, `"Name"` -- "Name"\n/* "Name" */""", ("N ame -> name",))
+
+
+def test_adhoc_sql_sees_its_tables_alone(spark):
+    mine = spark.createDataFrame([(1, "x", True)], "load long, use string, `set` boolean")
+    spark.range(3).createOrReplaceTempView("secret")
+    spark.range(7).createOrReplaceTempView("t1")
+    spark.range(2).createOrReplaceGlobalTempView("shared")
+    for bad in (
+        "SELECT count(*) FROM secret", "SELECT * FROM t1 JOIN t2", "SELECT * FROM global_temp.shared", "SELECT * FROM parquet.`/x`", "SELECT * FROM csv.`x`", "WITH x AS (SELECT 1) DELETE FROM t1",
+        "WITH x AS (SELECT 1) INSERT INTO secret SELECT * FROM x", "SELECT 1 WHERE EXISTS (SELECT 1 FROM secret)", "WITH s AS (SELECT * FROM secret) SELECT * FROM s", "SELECT * FROM (SELECT 1) s, LATERAL (SELECT * FROM secret)",
+    ):
+        with pytest.raises(adhoc.RefusedSQL):
+            adhoc.run_sql(spark, [mine], bad)
+    assert adhoc.run_sql(spark, [mine], "WITH s AS (SELECT load, use, `set` FROM t1) SELECT * FROM s, T1 WHERE s.use = 'FROM secret'").rows.count() == 0
+    assert adhoc.run_sql(spark, [mine], "SELECT load, use FROM t1 -- all of it").rows.collect() == [(1, "x")]
+    assert spark.table("t1").count() == 7 and not [t.name for t in spark.catalog.listTables() if t.name.startswith("bound_")]
+    for name in ("secret", "t1"):
+        spark.catalog.dropTempView(name)
+
+
+def test_adhoc_pages(spark):
+    page = adhoc.run_sql(spark, [spark.range(100, numPartitions=4)], "SELECT id FROM t1 ORDER BY id", limit=10, offset=85)
+    assert [r.id for r in page.rows.collect()] == list(range(85, 95)) and page.has_more()
+    assert not adhoc.run_sql(spark, [spark.range(5)], "SELECT id FROM t1", limit=5).has_more()
+    whole = adhoc.run_sql(spark, [spark.range(100, numPartitions=4)], "SELECT id + 1 AS n FROM t1", limit=None)
+    assert whole.rows.rdd.getNumPartitions() == 4 and whole.rows.count() == 100 and not whole.has_more()
 
 
 def test_adhoc_sql(spark):
@@ -312,8 +389,10 @@ def test_document_parts(spark):
     assert [r[0] for r in paths.select(parts.matches_glob(F.col("p"), "a/*.py")).collect()] == [False, True, False, False, False]
     assert [r[0] for r in paths.select(parts.matches_glob(F.col("p"), "**/*.py")).collect()] == [True, True, False, False, False]
     assert [r[0] for r in paths.select(parts.listable(F.col("p"))).collect()] == [True, True, False, False, False]
-    said = spark.createDataFrame([("Verdict: **SUPPORTS** it",), ("label=refutes",), ("Answer: NEI",), ("dunno",)], "t string")
-    assert [r[0] for r in said.select(parts.verdict(F.col("t"))).collect()] == ["SUPPORT", "CONTRADICT", "NOT_ENOUGH_INFO", None]
+    labels = {"**Verdict: support**": "SUPPORT", "x\n verdict : CONTRADICT.": "CONTRADICT", "Verdict: INSUFFICIENT, though accurate": "INSUFFICIENT", "Verdict: supported": "SUPPORT", "It cannot be verified.": "INSUFFICIENT"}
+    labels |= {"The study does not support this": "CONTRADICT", "Consistent with the data": "SUPPORT", "dunno": None, "": None, None: None, "not enough info": None}
+    said = spark.createDataFrame([(t,) for t in labels], "t string")
+    assert [r[0] for r in said.select(parts.verdict(F.col("t"))).collect()] == list(labels.values())
     with pytest.raises(ValueError):
         parts.chart(docs, "doc_id", "text", "mode")
 
