@@ -13,6 +13,8 @@ from quern.llm.text import held_out
 from quern.plans.columns import pick
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Byte-level ids, which are decoded to exactly the text they are of.
+CHAT_TOKENS = chat.tokens_of(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 #: Share of the largest entropy, log(sources), that mixing aims at.
 TARGET_ENTROPY = 0.9
 SHARDS = 40
@@ -57,7 +59,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     test = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    return chat.digests(chat.read_back(chat.prefix_trees(rows.unionByName(test))))
+    return chat.digests(chat.read_back(chat.prefix_trees(rows.unionByName(test), CHAT_TOKENS)))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,15 +104,15 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
         "op7_chat_format": rf"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]', NULL), (-1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL)
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
     sum(length('<|turn|><|text|><|end|>') + length(regexp_replace(role, '{_CONTROL}', '\1\\\2\3', 'g'))
       + length(regexp_replace(text, '{_CONTROL}', '\1\\\2\3', 'g'))) AS formatted
-  FROM c GROUP BY conv_id
+  FROM c GROUP BY conv_id, alone
 )
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM g

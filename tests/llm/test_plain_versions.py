@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import chat, language_model, licenses, mixing, near_copies, packing, quality_classifier, quality_rules, sharding, simhash, topk
 from quern.plans.rows import numbered
-from tests.llm.test_text_operators import DOCS, TOKENIZER, odd_docs
+from tests.llm.test_text_operators import CHAT_TOKENS, DOCS, TOKENIZER, odd_docs
 
 
 def plain_kept(text: str, min_words: int = 20) -> bool:
@@ -259,7 +259,7 @@ def test_texts_of_megabytes(spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (9, 1)], "doc_id long, quality int")
     assert quality_classifier.score(df, quality_classifier.train(df, labels, F.lit(True))).count() == 5
     said = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(long)], "conv_id long, turn long, role string, text string")
-    digest = chat.digests(chat.read_back(chat.prefix_trees(said))).first()
+    digest = chat.digests(chat.read_back(chat.prefix_trees(said, CHAT_TOKENS))).first()
     assert digest.n_turns == 4 and digest.loss_chars == len(long[1]) + len(long[3])
 
 

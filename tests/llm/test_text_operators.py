@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quern.llm import chat, language_model, licenses, mixing, packing, quality_classifier, quality_rules, sharding, simhash, topk
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+CHAT_TOKENS = chat.tokens_of(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " \n\t", "one", "Two words", "a b c", "<|endoftext|> it's 12,3 ÀÉ ß İ ΟΔΟΣ 漢字 é K", "x " * 9000, "same text here now", "same text here now", "line a b\nline a b\nline a b\n \n \n" * 9]
 
@@ -233,34 +234,39 @@ def test_pruning_keeps_the_best(monkeypatch, sharp):
 def test_chat(spark):
     said = "</s>[INST] ok [/INST] <|turn|> <\\|end|> <<SYS>>\\"
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (2, 2, "user", said), (2, 3, "assistant", said), (3, 0, "user", "hi"), (3, 1, "assistant", "other")]
-    rows += [(4, 0, "user", None), (4, None, None, "x"), (None, 0, "assistant", "alone"), (5, 1, "assistant", "b"), (5, 1, "assistant", "b"), (5, 0, "<|text|>", ""), (6, 0, "user", "hi"), (6, 1, "assistant", "yo")]
+    rows += [(4, 0, "user", None), (4, None, None, "x"), (None, 0, "assistant", "alone"), (None, 3, "assistant", "alone"), (None, None, "user", "alone"), (5, 1, "assistant", "b"), (5, 1, "assistant", "b"), (5, 0, "<|text|>", ""), (6, 0, "user", "hi"), (6, 1, "assistant", "yo")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("NODE", F.lit(1)).withColumn("start", F.lit(1))
-    trees = chat.prefix_trees(df)
+    trees = chat.prefix_trees(df, CHAT_TOKENS)
     nodes = trees.nodes.collect()
     read = chat.read_back(trees)
     formatted = {r.conv_id: r.formatted for r in read.collect()}
+    assert sorted(r.conv_id or 0 for r in read.collect()) == [0, 0, 0, 1, 2, 3, 4, 5, 6]
     assert chat.read_turns(formatted[2]) == [("user", "hi"), ("assistant", "yo"), ("user", said), ("assistant", said)]
     assert formatted[1] == formatted[6] and chat.read_turns(formatted[4]) == [("", "x"), ("user", "")]
     # one node for each different beginning, laid end to end without gaps
-    assert len(nodes) == 2 + 2 + 1 + 2 + 1 + 3
+    assert len(nodes) == 2 + 2 + 1 + 2 + 2 + 3
     at = 0
     for n in sorted(nodes, key=lambda n: n.start):
         assert n.start == at
         at += n.length
-    by = {n.node: n for n in nodes}
+    by = {bytes(n.node): n for n in nodes}
+    whole = CHAT_TOKENS.encode("x")  # ids come from the tokenizer itself
+    assert whole == CHAT_TOKENS._encoding.encode_ordinary("x")
+    for n in nodes:
+        assert n.length == len(n.token_ids) and CHAT_TOKENS.decode(np.array(n.token_ids)).startswith(chat.TURN)
     for n in nodes:
         inside, up = 0, n.parent
         covered = {x for s in n.ancestors for x in range(s.start, s.end)}
         while up:
-            inside += by[up].length
-            assert set(range(by[up].start, by[up].start + by[up].length)) <= covered
-            up = by[up].parent
+            inside += by[bytes(up)].length
+            assert set(range(by[bytes(up)].start, by[bytes(up)].start + by[bytes(up)].length)) <= covered
+            up = by[bytes(up)].parent
         assert n.position == inside == len(covered)
         # children lie behind their parent, before anything of another branch
-        assert n.parent is None or by[n.parent].start < n.start
+        assert n.parent is None or by[bytes(n.parent)].start < n.start
     got = {r.conv_id: r for r in chat.digests(read).collect()}
-    assert got[2].n_turns == 4 and got[2].loss_chars == len("yo" + said) and got[None].loss_chars == 5 and got[5].n_turns == 3
-    assert chat.digests(chat.read_back(chat.prefix_trees(df.limit(0)))).count() == 0
+    assert got[2].n_turns == 4 and got[2].loss_chars == len("yo" + said) and sorted(r.loss_chars for r in chat.digests(read).collect() if r.conv_id is None) == [0, 5, 5] and got[5].n_turns == 3
+    assert chat.digests(chat.read_back(chat.prefix_trees(df.limit(0), CHAT_TOKENS))).count() == 0
 
 
 @settings(max_examples=200, deadline=None)
@@ -269,8 +275,9 @@ def test_escaping_is_reversible(parts):
     text = "".join(parts)
     assert chat.unescape(chat.escape(text)) == text
     assert not any(c in chat.escape(text) for c in chat.CONTROL)
-    segment, _, _ = chat.format_turn(text, text)
+    segment = "".join(chat.format_turn(text, text))
     assert chat.read_turns(segment * 2) == [(text, text)] * 2
+    assert CHAT_TOKENS.decode(np.array(CHAT_TOKENS.encode(segment), np.int64)) == segment
 
 
 def test_sharding(spark):
