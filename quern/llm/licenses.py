@@ -4,10 +4,11 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; a s
 template that has fewer). Templates of like size form a class with its own window: long enough that a template which
 starts anywhere lies whole in one window, and with as many bands as make the chance of missing a match at the
 threshold at most MISS. A window that collides with a template is verified by the share of the template's distinct
-shingles that it holds.
+shingles that it holds. Of matches in one place the fullest is told.
 
 Defined cases: null and empty texts match nothing; texts shorter than a window are one window; repeated rows are
-scanned each on its own; an empty table or no templates give no rows; other columns are left behind.
+scanned each on its own; texts of any length are scanned whole, a block of shingles at a time; an empty table or no
+templates give no rows; other columns are left behind.
 """
 
 from __future__ import annotations
@@ -15,19 +16,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.text import text_bytes
+from quern.llm.text import bounded, text_bytes
 from quern.plans.columns import pick
 
 SHINGLE, THRESHOLD, MISS = 5, 0.8, 1e-5
+#: Templates that may come from a table.
+MAX_TEMPLATES = 5000
 #: Shingles whose minima are taken at a time, and texts that are scanned together.
 BLOCK, TEXTS = 1 << 15, 256
 
-#: Fixed texts: common license statements and notices.
+#: Fixed texts: common license statements, notices and short licenses. Whole texts of longer ones are in license_texts/.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "mit-statement": "Released under the MIT License.",
@@ -67,8 +71,100 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
         "obtain one at https://mozilla.org/MPL/2.0/."
     ),
+    "mit-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "isc-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY '
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+        "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd-warranty": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+        "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+        "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "bsd-3-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+        "of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute "
+        "it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+        "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source "
+        "versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any "
+        "source distribution."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that "
+        "recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+        "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+        "relinquishment in perpetuity of all present and future rights to this software under copyright law."
+    ),
+    "boost-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this "
+        'license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to '
+        "permit third-parties to whom the Software is furnished to do so, all subject to the following:"
+    ),
+    "gpl-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but "
+        "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "lgpl-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free "
+        "Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, "
+        "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "agpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, "
+        "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
+    "epl-2.0-notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "cc-by-4.0-statement": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-statement": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0-long-statement": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa-4.0-statement": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nd-4.0-statement": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "cc0-statement": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "mit-license-statement": "Licensed under the MIT license.",
+    "bsd-statement": "Licensed under the BSD license.",
+    "gpl-3.0-short": "Licensed under the GNU General Public License v3.0.",
+    "lgpl-3.0-statement": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-statement": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "mpl-2.0-statement": "Licensed under the Mozilla Public License, Version 2.0.",
 }
 
+
+def whole_texts() -> dict[str, str]:
+    """Full texts of longer licenses by name."""
+    folder = Path(__file__).parent / "license_texts"
+    return {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted(folder.glob("*.txt"))}
+
+
+def from_table(templates: DataFrame, most: int = MAX_TEMPLATES) -> dict[str, str]:
+    """Templates of a table with name and text; raises ValueError for more than `most`, since they go along with the code."""
+    rows = pick(templates, "name", "text").filter("name IS NOT NULL AND text IS NOT NULL").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates")
+    return {r["name"]: r["text"] for r in rows}
+
+
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -108,6 +204,8 @@ class WindowClass:
     sets: list[np.ndarray]
     window: int
     stride: int
+    #: Shingles below which a text can't match any of them.
+    least: int
     bands: int
     rows: int
     mult: np.ndarray
@@ -128,7 +226,7 @@ class WindowClass:
         random = np.random.default_rng(seed + max(lengths))
         mult = random.integers(0, 1 << 31, (bands, rows)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
         add = random.integers(0, 1 << 32, (bands, rows)).astype(np.uint32)
-        made = WindowClass(size, names, sets, window, stride, bands, rows, mult, add, [{} for _ in range(bands)], np.zeros((bands, 1 << 16), bool))
+        made = WindowClass(size, names, sets, window, stride, min(need), bands, rows, mult, add, [{} for _ in range(bands)], np.zeros((bands, 1 << 16), bool))
         for t, s in enumerate(sets):
             for b in range(bands):
                 value = 0
@@ -150,7 +248,7 @@ class WindowClass:
         group: list[tuple[int, int, np.ndarray]] = []
         held = 0
         for i, hashes in enumerate(hashed):
-            windows = max(1, -(-(len(hashes) - self.window) // self.stride) + 1) if len(hashes) else 0
+            windows = max(1, -(-(len(hashes) - self.window) // self.stride) + 1) if len(hashes) >= self.least else 0
             step = max(1, BLOCK // self.stride)
             for first in range(0, windows, step):
                 last = min(windows, first + step)
@@ -241,22 +339,32 @@ def scan_texts(texts: list[bytes], classes: list[WindowClass], table: _Hashes, t
     return [(i, name, -row[0], row[1], row[2], n) for (i, name), (row, n) in sorted(best.items())]
 
 
+def best_of_alike(found: list[tuple[int, str, float, int, int, int]]) -> list[tuple[int, str, float, int, int, int]]:
+    """Matches less those most of whose words a fuller match of the same text covers: notices of one family are alike."""
+    kept: list[tuple[int, str, float, int, int, int]] = []
+    for m in sorted(found, key=lambda m: (m[0], -m[2], m[1])):
+        covered = (min(m[4], k[4]) - max(m[3], k[3]) for k in reversed(kept) if k[0] == m[0] and k[2] > m[2])
+        if all(5 * c < 4 * (m[4] - m[3]) for c in covered):
+            kept.append(m)
+    return sorted(kept)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document and template that it holds: doc_id, license, containment, first_word, end_word, n_windows.
 
     One pass, no shuffle; the templates go along with the code and are bounded by their table.
     """
     source = pick(docs, "doc_id", "text").select("doc_id", text_bytes().alias("_bytes"))
-    classes = window_classes(TEMPLATES if templates is None else templates, threshold)
+    classes = window_classes({**TEMPLATES, **whole_texts()} if templates is None else templates, threshold)
     kind = dict(source.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Hashes()
-        for batch in batches:
+        for batch in bounded(batches, "_bytes"):
             found = []
             texts = batch.column("_bytes").to_pylist()
             for at in range(0, len(texts), TEXTS):
-                found += [(at + m[0], *m[1:]) for m in scan_texts(texts[at : at + TEXTS], classes, table, threshold)]
+                found += [(at + m[0], *m[1:]) for m in best_of_alike(scan_texts(texts[at : at + TEXTS], classes, table, threshold))]
             rows, name, share, first, end, n = list(zip(*found)) or [()] * 6
             arrays = [pa.array(name, pa.string()), pa.array(share, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), *arrays], names=["doc_id", "license", "containment", "first_word", "end_word", "n_windows"])
