@@ -237,6 +237,54 @@ def test_features_are_those_of_the_words():
     assert q.features(" ".join(parts).encode(), words)[0][:9].tolist() == want
 
 
+def plain_shingles(text: str, size: int) -> list[tuple[str, ...]]:
+    words = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", text.lower())
+    return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+
+
+def test_license_matches_against_plain_containment():
+    """By sets of words alone: a stretch as long as the template that holds enough of it is found, and what is found is held."""
+    templates = {**licenses.TEMPLATES, **{n: t for n, t in licenses.whole_texts().items() if n in ("apache-2.0-text", "cc0-1.0-text")}}
+    classes = licenses.window_classes(templates)
+    r = random.Random(9)
+    texts = []
+    for name in sorted(templates) * 2:
+        words = templates[name].split()
+        changed = [w if r.random() > 0.03 else f"edit{r.randrange(99)}" for w in words]
+        lost = r.randrange(max(1, len(words) // 3))
+        filler = [f"f{r.randrange(300)}" for _ in range(r.randrange(80))]
+        texts.append(" ".join([*filler, *changed[lost:], *filler]))
+    found = {(m[0], m[1]): m for m in licenses.scan_texts([t.encode() for t in texts], classes, licenses._Hashes())}
+    must = 0
+    for i, text in enumerate(texts):
+        for name, template in templates.items():
+            words = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", template.lower())
+            size = min(5, len(words))
+            want, there = plain_shingles(template, size), plain_shingles(text, size)
+            need, distinct = 0.8 * len(set(want)), set(want)
+            length = len(want)
+            if len(distinct & set(there)) < need - 1e-9:
+                assert (i, name) not in found
+                continue
+            near = max(len(distinct & set(there[k : k + length])) for k in range(max(1, len(there) - length + 1)))
+            if near >= need - 1e-9:
+                must += 1
+                assert (i, name) in found
+            if (i, name) in found:
+                _, _, share, first, end, _ = found[i, name]
+                assert share == pytest.approx(len(distinct & set(plain_shingles(" ".join(re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", text.lower())[first:end]), size))) / len(distinct))
+    assert must > 30
+
+
+def test_templates_from_a_table(spark):
+    rows = spark.createDataFrame([("own", "one two three four five six seven"), ("none", None)], "name string, text string")
+    own = licenses.from_table(rows)
+    docs = spark.createDataFrame([(1, "x one two three four five six seven y"), (2, "all rights reserved")], "doc_id int, text string")
+    assert [(x.doc_id, x.license) for x in licenses.scan(docs, own).collect()] == [(1, "own")]
+    with pytest.raises(ValueError):
+        licenses.from_table(rows, 0)
+
+
 def test_texts_of_megabytes(spark):
     """Several megabytes in one text, of one word, of distinct words and of one endless word."""
     r = random.Random(8)
@@ -249,7 +297,7 @@ def test_texts_of_megabytes(spark):
     kept = {x.doc_id: x for x in quality_rules.judge(df).collect()}
     assert kept[0].n_words == len(long[0].split()) and kept[0].kept and not kept[1].kept and not kept[2].kept
     assert kept[0].n_chunks == -(-len(long[0]) // quality_rules.CHUNK)
-    assert [(x.doc_id, x.license) for x in licenses.scan(df).collect()] == [(0, "isc-permission")]
+    assert [(x.doc_id, x.license) for x in licenses.scan(df).collect()] == [(0, "isc-permission")]  # the end of the longest
     assert mixing.mix(df, target_entropy=0.9).agg(F.sum("tokens")).first()[0] == sum(len(t.split()) for t in long) + 2
     assert {x.doc_id: x.component_id for x in simhash.near_duplicates(df).collect()}.keys() == {0, 1, 2, 3, 9}
     assert near_copies.keep_one(df, ("doc_id",)).count() == 5

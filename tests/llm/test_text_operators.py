@@ -250,10 +250,12 @@ def test_chat(spark):
         assert n.start == at
         at += n.length
     by = {bytes(n.node): n for n in nodes}
-    whole = CHAT_TOKENS.encode("x")  # ids come from the tokenizer itself
-    assert whole == CHAT_TOKENS._encoding.encode_ordinary("x")
     for n in nodes:
-        assert n.length == len(n.token_ids) and CHAT_TOKENS.decode(np.array(n.token_ids)).startswith(chat.TURN)
+        assert n.length * CHAT_TOKENS.width == len(n.ids) and CHAT_TOKENS.decode(bytes(n.ids)).startswith(chat.TURN)
+    for r in trees.training_rows().collect():
+        n = by[bytes(r.node)]
+        assert r.token_ids == CHAT_TOKENS.ids(bytes(n.ids)).tolist() and r.position_ids == list(range(n.position, n.position + n.length))
+        assert sum(r.loss_mask) == (n.body_length if n.trained else 0)
     for n in nodes:
         inside, up = 0, n.parent
         covered = {x for s in n.ancestors for x in range(s.start, s.end)}
@@ -277,7 +279,8 @@ def test_escaping_is_reversible(parts):
     assert not any(c in chat.escape(text) for c in chat.CONTROL)
     segment = "".join(chat.format_turn(text, text))
     assert chat.read_turns(segment * 2) == [(text, text)] * 2
-    assert CHAT_TOKENS.decode(np.array(CHAT_TOKENS.encode(segment), np.int64)) == segment
+    assert CHAT_TOKENS.decode(CHAT_TOKENS.encode(segment)) == segment
+    assert CHAT_TOKENS.ids(CHAT_TOKENS.encode(segment)).tolist() == CHAT_TOKENS._encoding.encode_ordinary(segment)
 
 
 def test_sharding(spark):
