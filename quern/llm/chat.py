@@ -265,7 +265,8 @@ def prefix_trees(conversations: DataFrame, tokens: Tokens) -> PrefixTrees:
     step = F.arrays_zip(F.col("nodes").alias("node"), F.transform("turns", lambda t: F.octet_length(t["ids"]) / tokens.width).alias("length"))
     light = known.select("key", "conv_id", "copies", "nodes", F.posexplode(step).alias("depth", "_t"))
     light = light.select("key", "conv_id", "copies", "depth", F.col("_t.node").alias("node"), F.get("nodes", F.col("depth") - 1).alias("parent"), F.col("_t.length").cast("long").alias("length"))
-    owners = light.groupBy(F.col("node").alias("_n")).agg(F.min("key").alias("_owner"))
+    # a table of its own, so that Spark can split the join at a node that very many conversations pass
+    owners = cut(light.groupBy(F.col("node").alias("_n")).agg(F.min("key").alias("_owner")))
     owned = light.join(owners, F.col("node") == F.col("_n")).withColumn("own", F.col("key") == F.col("_owner")).drop("_n", "_owner")
     below = F.sum(F.when(F.col("own"), F.col("length")).otherwise(0)).over(W.partitionBy("key").orderBy(F.col("depth").desc()))
     owned = written(owned.withColumn("_below", below))
@@ -288,12 +289,13 @@ def prefix_trees(conversations: DataFrame, tokens: Tokens) -> PrefixTrees:
 def read_back(trees: PrefixTrees) -> DataFrame:
     """conv_id, `formatted` (its segments from the root, decoded) and `trained` (texts under the loss mask), a row a conversation.
 
-    Nodes that a conversation owns come with it; only those that it shares with their owner are looked up.
+    Nodes that a conversation owns come with it; only those that it shares with their owner are looked up, in a table of
+    shared nodes that is written first.
     """
     said = F.struct("depth", "ids", "body_start", "body_length", "trained")
     own = trees.nodes.select("key", "conv_id", "copies", said.alias("t"))
     others = trees.paths.filter("NOT own").select("key", "conv_id", "copies", F.col("depth").alias("_d"), F.col("node").alias("_n"))
-    shared = others.select("_n").distinct().join(trees.nodes.select("node", "ids", "body_start", "body_length", "trained"), F.col("_n") == F.col("node")).drop("_n")
+    shared = written(others.select("_n").distinct().join(trees.nodes.select("node", "ids", "body_start", "body_length", "trained"), F.col("_n") == F.col("node")).drop("_n"))
     found = others.join(shared, F.col("_n") == F.col("node")).withColumnRenamed("_d", "depth").select("key", "conv_id", "copies", said.alias("t"))
     ways = own.union(found).groupBy("key", "conv_id", "copies").agg(F.array_sort(F.collect_list("t")).alias("way"))
     tokens, kind = trees.tokens, dict(trees.paths.dtypes)["conv_id"]
