@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, language_model, licenses, mixing, packing, quality_classifier, quality_rules, sharding, simhash, topk
+from quern.llm import chat, collocations, language_model, licenses, mixing, packing, quality_classifier, quality_rules, sharding, simhash, topk
 from quern.llm.text import held_out
 from quern.plans.columns import pick
 
@@ -78,8 +78,12 @@ def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_lm_scores, op3_pack_sequences, op4_quality_scores, op5_near_duplicates, op6_top_k, op7_chat_format, op8_quality_rules, op9_license_scan, op10_shuffle_shards)
+    found = (op1_mix_sources, op2_lm_scores, op3_pack_sequences, op4_quality_scores, op5_near_duplicates, op6_top_k, op7_chat_format, op8_quality_rules, op9_license_scan, op10_shuffle_shards, op11_collocations)
     return {f.__name__: f for f in found}
 
 
@@ -116,5 +120,30 @@ WITH c AS (
 )
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM g
+""",
+        "op11_collocations": r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+o AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f1 AS (SELECT lang, ws[i] AS x, count(*) AS f FROM o GROUP BY ALL),
+f2 AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, count(*) AS f FROM o WHERE i + 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z, count(*) AS f FROM o WHERE i + 2 <= len(ws) GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+c2 AS (
+  SELECT p.lang, p.x || ' ' || p.y AS phrase, p.f AS a, l.f AS l, r.f AS r, 1 AS k
+  FROM f2 p JOIN f1 l ON l.lang = p.lang AND l.x = p.x JOIN f1 r ON r.lang = p.lang AND r.x = p.y
+  WHERE NOT EXISTS (SELECT 1 FROM f3 q WHERE q.lang = p.lang AND ((q.x = p.x AND q.y = p.y) OR (q.y = p.x AND q.z = p.y)) AND 100 * q.f >= 50 * p.f)
+), c3 AS (
+  SELECT p.lang, p.x || ' ' || p.y || ' ' || p.z AS phrase, p.f AS a, l.f AS l, r.f AS r, 1 AS k
+  FROM f3 p JOIN f1 l ON l.lang = p.lang AND l.x = p.x JOIN f2 r ON r.lang = p.lang AND r.x = p.y AND r.y = p.z
+  UNION ALL
+  SELECT p.lang, p.x || ' ' || p.y || ' ' || p.z, p.f, l.f, r.f, 2
+  FROM f3 p JOIN f2 l ON l.lang = p.lang AND l.x = p.x AND l.y = p.y JOIN f1 r ON r.lang = p.lang AND r.x = p.z
+), s AS (
+  SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM (SELECT * FROM c2 UNION ALL SELECT * FROM c3)
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT t.lang, t.rank, t.phrase, t.a, t.l, t.r, CAST(n.n AS BIGINT) AS n, t.score FROM t JOIN n ON n.lang = t.lang WHERE t.rank <= 2000
 """,
     }
