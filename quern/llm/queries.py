@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, collocations, language_model, licenses, mixing, packing, quality_classifier, quality_rules, sharding, simhash, topk
+from quern.llm import chat, collocations, language_model, licenses, mixing, packing, quality_classifier, quality_rules, repeats, sharding, simhash, topk
 from quern.llm.text import held_out
 from quern.plans.columns import pick
 
@@ -82,8 +82,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy goes, the first one too; `repeats.remove_repeats` keeps the first unless told otherwise."""
+    cleaned = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep="none", digest_only=True)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_lm_scores, op3_pack_sequences, op4_quality_scores, op5_near_duplicates, op6_top_k, op7_chat_format, op8_quality_rules, op9_license_scan, op10_shuffle_shards, op11_collocations)
+    found = (op1_mix_sources, op2_lm_scores, op3_pack_sequences, op4_quality_scores, op5_near_duplicates, op6_top_k, op7_chat_format, op8_quality_rules, op9_license_scan, op10_shuffle_shards, op11_collocations, op12_repeats)
     return {f.__name__: f for f in found}
 
 
