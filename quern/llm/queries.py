@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, collocations, language_model, licenses, mixing, packing, quality_classifier, quality_rules, repeats, sharding, simhash, topk
+from quern.llm import alignment, chat, collocations, language_model, licenses, mixing, packing, quality_classifier, quality_rules, repeats, sharding, simhash, topk
 from quern.llm.text import held_out
 from quern.plans.columns import pick
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Byte-level ids, which are decoded to exactly the text they are of.
 CHAT_TOKENS = chat.tokens_of(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+#: A byte-level BPE's ranks and pattern, and a piece model.
+ALIGNED = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
 #: Share of the largest entropy, log(sources), that mixing aims at.
 TARGET_ENTROPY = 0.9
 SHARDS = 40
@@ -88,8 +90,12 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op13_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), ALIGNED, digest_only=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mix_sources, op2_lm_scores, op3_pack_sequences, op4_quality_scores, op5_near_duplicates, op6_top_k, op7_chat_format, op8_quality_rules, op9_license_scan, op10_shuffle_shards, op11_collocations, op12_repeats)
+    found = (op1_mix_sources, op2_lm_scores, op3_pack_sequences, op4_quality_scores, op5_near_duplicates, op6_top_k, op7_chat_format, op8_quality_rules, op9_license_scan, op10_shuffle_shards, op11_collocations, op12_repeats, op13_align_tokenizers)
     return {f.__name__: f for f in found}
 
 
