@@ -10,7 +10,7 @@ relation is one array of them in order of pieces and positions, and -1 stands wh
 
 A phrase of k + 1 words is known by the exact ids of its first and its last k words, so no hash stands for a phrase. Only
 phrases that occur in a slice leave it, once each, whatever their number of occurrences: a word that a third of all
-rows hold is a row for each slice. Buckets have a bounded share of all phrases and grow in number with the input.
+rows hold is a row for each slice. Buckets grow in number with the input, so each has a bounded share of all phrases.
 
 Defined cases: a null text is empty, a null language is `und`; texts without words, and languages without candidates,
 give no rows; repeated rows count as often as they are there; a very long text is a slice of its own, cut into words by
@@ -37,9 +37,9 @@ from quern.plans.columns import pick
 from quern.plans.lineage import written
 
 #: Bytes of text in a slice, and of text that is split into words at a time.
-SLICE_BYTES, PART_BYTES = 16 << 20, 1 << 20
-#: Distinct phrases of slices in a bucket, about, and the fewest buckets.
-BUCKET_KEYS, LEAST_BUCKETS = 1 << 19, 64
+SLICE_BYTES, PART_BYTES = 4 << 20, 1 << 20
+#: Occurrences for which there is a bucket, and the fewest buckets.
+BUCKET_WORDS, LEAST_BUCKETS = 1 << 20, 64
 #: Parts that rank their best phrases before a language's are ranked, and what is left of them by rounds.
 RANK_PARTS = (512, 16, 1)
 
@@ -106,27 +106,26 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[part[0]]), part
 
 
-def _sent(relation: DataFrame, buckets: int, level: int) -> DataFrame:
-    """What slices send to buckets: numbers of phrases in the slice, their keys and counts."""
+_SENT = "bucket long, slice long, lang string, index binary, keys binary, counts binary"
+_SENT_TYPE = [("bucket", pa.int64()), ("slice", pa.int64()), ("lang", pa.string()), ("index", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())]
+
+
+def _sent(words: DataFrame, buckets: int) -> DataFrame:
+    """What slices send to buckets: numbers of words in the slice, the words and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                counts = np.frombuffer(row["counts"], np.int64)
-                if level == 1:
-                    words = row["keys"].split(b" ")
-                    hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-                else:
-                    keys = np.frombuffer(row["keys"], np.int64).reshape(2, -1)
-                    hashes = _spread(_spread(keys[0]) + keys[1].astype(np.uint64))
-                out = []
-                for bucket, part in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64)):
-                    sent = b" ".join([words[i] for i in part.tolist()]) if level == 1 else keys[:, part].tobytes()
-                    out.append({"bucket": bucket, "slice": row["slice"], "lang": row["lang"], "index": part.astype(np.int32).tobytes(), "keys": sent, "counts": counts[part].tobytes()})
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    schema = pa.schema([("bucket", pa.int64()), ("slice", pa.int64()), ("lang", pa.string()), ("index", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
-    return relation.select("slice", "lang", "keys", "counts").mapInArrow(run, "bucket long, slice long, lang string, index binary, keys binary, counts binary")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                keys, counts = row["keys"].split(b" "), np.frombuffer(row["counts"], np.int64)
+                hashes = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys))
+                out = [
+                    {"bucket": bucket, "slice": row["slice"], "lang": row["lang"], "index": part.astype(np.int32).tobytes(), "keys": b" ".join([keys[i] for i in part.tolist()]), "counts": counts[part].tobytes()}
+                    for bucket, part in _by_bucket(hashes % buckets)
+                ]
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema(_SENT_TYPE))
+
+    return words.select("slice", "lang", "keys", "counts").mapInArrow(run, _SENT)
 
 
 def _counted(sent: DataFrame, level: int, min_count: int, tell: bool) -> DataFrame:
@@ -184,8 +183,9 @@ def _counted(sent: DataFrame, level: int, min_count: int, tell: bool) -> DataFra
     return sent.groupBy("bucket").applyInArrow(add_up, _MARKS)
 
 
-def _extended(relation: DataFrame, marks: DataFrame, last: bool) -> DataFrame:
-    """The occurrences one word longer: frequent phrases at neighbouring positions of a piece."""
+def _extended(relation: DataFrame, marks: DataFrame, buckets: int, last: bool) -> DataFrame:
+    """The occurrences one word longer, where frequent phrases are at neighbouring positions of a piece: what slices send to
+    buckets, and unless phrases grow no longer a row for each slice (without a bucket) with the occurrences in order."""
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -202,17 +202,22 @@ def _extended(relation: DataFrame, marks: DataFrame, last: bool) -> DataFrame:
         pair = items[at].astype(np.int64) * row["n_keys"] + items[at + 1]
         unique, local, counts = np.unique(pair, return_inverse=True, return_counts=True)
         keys = np.stack([ids[unique // row["n_keys"]], ids[unique % row["n_keys"]]])
-        longer = b""
+        hashes = _spread(_spread(keys[0]) + keys[1].astype(np.uint64))
+        own = {"slice": row["slice"], "lang": row["lang"]}
+        out = [
+            own | {"bucket": bucket, "index": part.astype(np.int32).tobytes(), "keys": keys[:, part].tobytes(), "counts": counts[part].astype(np.int64).tobytes()}
+            for bucket, part in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64))
+        ]
         if not last:
             longer = np.full(len(items), -1, np.int32)
             longer[at] = local
-            longer = longer[(longer >= 0) | np.r_[False, longer[:-1] >= 0]].tobytes()
-        made = {"slice": row["slice"], "lang": row["lang"], "n_keys": len(unique), "items": longer, "keys": keys.tobytes(), "counts": counts.astype(np.int64).tobytes()}
-        return pa.Table.from_pylist([made], schema=schema)
+            longer = longer[(longer >= 0) | np.r_[False, longer[:-1] >= 0]]
+            out.append(own | {"n_keys": len(unique), "items": longer.tobytes()})
+        return pa.Table.from_pylist(out, schema=schema)
 
-    schema = pa.schema([("slice", pa.int64()), ("lang", pa.string()), ("n_keys", pa.int64()), ("items", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([*_SENT_TYPE, ("n_keys", pa.int64()), ("items", pa.binary())])
     rows = relation.select("slice", "lang", "n_keys", "items").groupBy("slice").cogroup(marks.groupBy("slice"))
-    return rows.applyInArrow(extend, "slice long, lang string, n_keys long, items binary, keys binary, counts binary")
+    return rows.applyInArrow(extend, _SENT + ", n_keys long, items binary")
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> tuple[list[DataFrame], DataFrame]:
@@ -224,10 +229,10 @@ def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10) -
     relation = written(_words(docs))
     totals = relation.groupBy("lang").agg(F.sum("n").alias("n"))
     levels: list[DataFrame] = []
+    buckets = max(LEAST_BUCKETS, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
+    sent = _sent(relation, buckets)
     for level in range(1, max_words + 1):
-        keys = relation.agg(F.sum("n_keys")).first()[0] or 0
-        buckets = max(LEAST_BUCKETS, -(-keys // BUCKET_KEYS))
-        marks = written(_counted(_sent(relation, buckets, level), level, min_count, level < max_words))
+        marks = written(_counted(sent, level, min_count, level < max_words))
         found = marks.filter("id IS NOT NULL")
         if level == 1:
             one = F.array("f")
@@ -242,7 +247,10 @@ def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10) -
                 written(rows.select("id", "lang", F.concat_ws(" ", "_head", "_word").alias("phrase"), "f", "left", "right", F.concat("_starts", own).alias("starts"), F.concat("_ends", own).alias("ends")))
             )
         if level < max_words:
-            relation = written(_extended(relation, marks.filter("slice IS NOT NULL").select("slice", "index", "ids"), level + 1 == max_words))
+            last = level + 1 == max_words
+            made = _extended(relation, marks.filter("slice IS NOT NULL").select("slice", "index", "ids"), buckets, last)
+            made = made if last else written(made)
+            relation, sent = made.filter("bucket IS NULL"), made.filter("bucket IS NOT NULL").select(*[n for n, _ in _SENT_TYPE])
     return levels, totals
 
 
