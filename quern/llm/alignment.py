@@ -37,7 +37,7 @@ from quern.llm.text import bounded, text_bytes
 from quern.plans.columns import pick
 from quern.plans.lineage import written
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 #: Two ids in one long: B ids take the low bits.
 _B_BITS = 24
 
@@ -177,9 +177,8 @@ def _slices(source: DataFrame, carry: int, tokenizers: tuple[str, str, str], dig
             good = (_sums(made["good"][segments], sizes) == sizes) & (sizes > 0)
             sums = {k: _sums(made[k][segments], sizes) * good for k in _NAMES}
             said = made["said"]
-            texts = [b"".join([said[i] for i in s.tolist()])[:-1] if g else b"" for s, g in zip(found, good)]
-            if digest_only:
-                texts = [hashlib.sha256(x).hexdigest() if x else "" for x in texts]
+            last = (lambda x: hashlib.sha256(x).hexdigest()) if digest_only else bytes.decode
+            texts = [last(b"".join([said[i] for i in s.tolist()])[:-1]) if g else "" for s, g in zip(found, good)]
             kept = np.repeat(good, sizes)
             segments, sizes = segments[kept], sizes * good
             # how often the good documents hold each segment, so how often its links are there
