@@ -51,7 +51,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def clear(spark: SparkSession) -> bool:
-    """Removes what `fresh_dir` and `written` left below the shared folder; call it when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern")
+def stored(df: DataFrame, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """`written` with a denser codec, and the folder, for `clear` when no plan reads it any more."""
+    folder = fresh_dir(df.sparkSession, "table")
+    df.write.option("compression", compression).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def clear(spark: SparkSession, folder: str) -> bool:
+    """Removes one folder that `fresh_dir` named, and nothing else; call it when nothing reads it any more."""
+    if not folder.startswith(f"{shared_dir(spark)}/quern/"):
+        raise ValueError(f"{folder} isn't a folder of this library")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
