@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.text import bounded, text_bytes
 from quern.plans.columns import pick
-from quern.plans.lineage import written
+from quern.plans.lineage import clear, stored, written
 
 #: Bytes of text in a slice, and of text that is split into words at a time.
 SLICE_BYTES, PART_BYTES = 4 << 20, 1 << 20
@@ -81,7 +81,7 @@ def _words(docs: DataFrame) -> DataFrame:
                 counts = np.bincount(items[items >= 0], minlength=len(local) - 2)
                 if len(counts):
                     yield pa.RecordBatch.from_pylist(
-                        [{"slice": number, "lang": lang, "n": int(counts.sum()), "n_keys": len(counts), "items": items.tobytes(), "keys": b" ".join(list(local)[2:]), "counts": counts.astype(np.int64).tobytes()}], schema=schema
+                        [{"slice": number, "lang": lang, "n": int(counts.sum()), "n_keys": len(counts), "items": items.tobytes(), "keys": b" ".join(list(local)[2:]), "counts": counts.astype(np.int32).tobytes()}], schema=schema
                     )
                     number += 1
 
@@ -117,7 +117,7 @@ def _sent(words: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                keys, counts = row["keys"].split(b" "), np.frombuffer(row["counts"], np.int64)
+                keys, counts = row["keys"].split(b" "), np.frombuffer(row["counts"], np.int32)
                 hashes = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys))
                 out = [
                     {"bucket": bucket, "slice": row["slice"], "lang": row["lang"], "index": part.astype(np.int32).tobytes(), "keys": b" ".join([keys[i] for i in part.tolist()]), "counts": counts[part].tobytes()}
@@ -128,28 +128,31 @@ def _sent(words: DataFrame, buckets: int) -> DataFrame:
     return words.select("slice", "lang", "keys", "counts").mapInArrow(run, _SENT)
 
 
-def _counted(sent: DataFrame, level: int, min_count: int, tell: bool) -> DataFrame:
-    """The frequent phrases (those with an id), and for each slice the numbers and ids of those it has."""
+def _counted(sent: DataFrame, level: int, min_count: int, buckets: int, kind: str, tell: bool) -> DataFrame:
+    """The frequent phrases (those with an id), and for each slice the numbers and ids of those it has.
+
+    Frequent phrases of all buckets are numbered in turn, so ids are dense. `kind` is the type of the ids in keys.
+    """
 
     def add_up(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        base = rows[0]["bucket"] << 32
+        bucket = rows[0]["bucket"]
         index = [np.frombuffer(r["index"], np.int32) for r in rows]
-        counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
+        counts = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows]).astype(np.int64)
         if level == 1:
             known: dict[str, defaultdict] = {}
             numbers, names = [], []
             number = iter(range(len(counts))).__next__
             for r in rows:
-                ids = known.setdefault(r["lang"], defaultdict(number))
+                local = known.setdefault(r["lang"], defaultdict(number))
                 words = r["keys"].split(b" ")
-                numbers.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+                numbers.append(np.fromiter(map(local.__getitem__, words), np.int64, len(words)))
             numbers = np.concatenate(numbers)
-            names = {n: (lang, word) for lang, ids in known.items() for word, n in ids.items()}
+            names = {n: (lang, word) for lang, local in known.items() for word, n in local.items()}
             total = np.zeros(len(names), np.int64)
             np.add.at(total, numbers, counts)
         else:
-            keys = np.concatenate([np.frombuffer(r["keys"], np.int64).reshape(2, -1) for r in rows], axis=1)
+            keys = np.concatenate([np.frombuffer(r["keys"], kind).reshape(2, -1) for r in rows], axis=1).astype(np.int64)
             order = np.lexsort(keys[::-1])
             ordered = keys[:, order]
             starts = np.flatnonzero(np.r_[True, (np.diff(ordered) != 0).any(axis=0)])
@@ -164,18 +167,19 @@ def _counted(sent: DataFrame, level: int, min_count: int, tell: bool) -> DataFra
                 out[name].append(values.get(name))
 
         frequent = total >= min_count
+        ids = (np.cumsum(frequent) - 1) * buckets + bucket
         for n in np.flatnonzero(frequent).tolist():
             if level == 1:
-                add(id=base + n, f=int(total[n]), lang=names[n][0], word=names[n][1])
+                add(id=int(ids[n]), f=int(total[n]), lang=names[n][0], word=names[n][1])
             else:
-                add(id=base + n, f=int(total[n]), left=int(unique[0, n]), right=int(unique[1, n]))
+                add(id=int(ids[n]), f=int(total[n]), left=int(unique[0, n]), right=int(unique[1, n]))
         at = 0
         for r, places in zip(rows, index):
             own = numbers[at : at + len(places)]
             at += len(places)
             kept = frequent[own]
             if tell and kept.any():
-                add(slice=r["slice"], index=places[kept].tobytes(), ids=(base + own[kept]).tobytes())
+                add(slice=r["slice"], index=places[kept].tobytes(), ids=ids[own[kept]].tobytes())
         return pa.table(out, schema=schema)
 
     kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
@@ -183,7 +187,7 @@ def _counted(sent: DataFrame, level: int, min_count: int, tell: bool) -> DataFra
     return sent.groupBy("bucket").applyInArrow(add_up, _MARKS)
 
 
-def _extended(relation: DataFrame, marks: DataFrame, buckets: int, last: bool) -> DataFrame:
+def _extended(relation: DataFrame, marks: DataFrame, buckets: int, kind: str, last: bool) -> DataFrame:
     """The occurrences one word longer, where frequent phrases are at neighbouring positions of a piece: what slices send to
     buckets, and unless phrases grow no longer a row for each slice (without a bucket) with the occurrences in order."""
 
@@ -205,7 +209,7 @@ def _extended(relation: DataFrame, marks: DataFrame, buckets: int, last: bool) -
         hashes = _spread(_spread(keys[0]) + keys[1].astype(np.uint64))
         own = {"slice": row["slice"], "lang": row["lang"]}
         out = [
-            own | {"bucket": bucket, "index": part.astype(np.int32).tobytes(), "keys": keys[:, part].tobytes(), "counts": counts[part].astype(np.int64).tobytes()}
+            own | {"bucket": bucket, "index": part.astype(np.int32).tobytes(), "keys": keys[:, part].astype(kind).tobytes(), "counts": counts[part].astype(np.int32).tobytes()}
             for bucket, part in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64))
         ]
         if not last:
@@ -226,13 +230,15 @@ def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10) -
     Phrases have id, lang, phrase, f, left and right (ids of the phrases without their last and first word; null for
     words), and starts and ends: the counts of their first and last 1, 2, ... words.
     """
-    relation = written(_words(docs))
-    totals = relation.groupBy("lang").agg(F.sum("n").alias("n"))
+    spark = docs.sparkSession
+    relation, folder = stored(_words(docs))
+    before = folder
+    totals = written(relation.groupBy("lang").agg(F.sum("n").alias("n")))
     levels: list[DataFrame] = []
     buckets = max(LEAST_BUCKETS, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
-    sent = _sent(relation, buckets)
+    sent, kind = _sent(relation, buckets), "<i8"
     for level in range(1, max_words + 1):
-        marks = written(_counted(sent, level, min_count, level < max_words))
+        marks = written(_counted(sent, level, min_count, buckets, kind, level < max_words))
         found = marks.filter("id IS NOT NULL")
         if level == 1:
             one = F.array("f")
@@ -248,9 +254,18 @@ def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10) -
             )
         if level < max_words:
             last = level + 1 == max_words
-            made = _extended(relation, marks.filter("slice IS NOT NULL").select("slice", "index", "ids"), buckets, last)
-            made = made if last else written(made)
+            # ids take four bytes while they can
+            kind = "<u4" if (found.agg(F.max("id")).first()[0] or 0) < 1 << 32 else "<i8"
+            made = _extended(relation, marks.filter("slice IS NOT NULL").select("slice", "index", "ids"), buckets, kind, last)
+            before = folder
+            if last:
+                folder = None
+            else:
+                made, folder = stored(made)
+                clear(spark, before)  # shorter occurrences are in the longer ones, as far as they matter
             relation, sent = made.filter("bucket IS NULL"), made.filter("bucket IS NOT NULL").select(*[n for n, _ in _SENT_TYPE])
+        elif before:
+            clear(spark, before)
     return levels, totals
 
 
