@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import FACET_WEIGHTS, RANK_STOP_WORDS
-from quern.operators.documents import HEADING, quote_in
+from quern.operators.documents import plain
+from quern.plans.lineage import cut
 
 #: Words that mark a sentence as a constraint, a decision or a next step.
 CONSTRAINT_TERMS = ("must", "never", "required", "cannot", "必须", "不要", "不能", "要求")
@@ -78,47 +79,44 @@ def expand_patterns(requests: DataFrame) -> DataFrame:
     return requests.select(*kept, F.posexplode(wanted).alias("read", "pattern"))
 
 
-def read_segments(docs: DataFrame, requests: DataFrame, max_chars: int = 8000) -> DataFrame:
-    """request_id, how and part: what each request reads of its document; the first locator that it names decides.
+#: Lines that say which page or slide the text behind them is of.
+PAGE_MARK = r"^(?:\[(?:OCR )?Page (\d+)\]|#{1,3} (?:OCR )?Page (\d+)|# Slide (\d+)(?::[^\n]*)?)\s*$"
 
-    `docs` has doc_id and text; `requests` has request_id, doc_id and pattern, heading, line_start, line_end, offset (null:
-    not named). A pattern (a Java regular expression, looked for line by line) gives the matching lines, in the range of
-    lines where one is named; a heading its section up to the next one of the same depth or less; lines a range, whose end
-    is its start unless named; else a piece from the offset. Reads but those of patterns are cut to `max_chars`.
-    """
-    rows = requests.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), "doc_id")
-    first = F.greatest(F.coalesce("line_start", F.lit(1)), F.lit(1))
-    last = F.coalesce("line_end", F.when(F.col("line_start").isNull(), F.lit(2**31 - 2)).otherwise(F.col("line_start")))
-    window = F.slice(F.split("_text", "\n"), first, F.greatest(last - first + 1, F.lit(0)))
-    matching = F.array_join(F.filter(window, lambda x: F.regexp_like(x, F.col("pattern"))), "\n")
-    lines = F.split("_text", "\n")
-    depth = lambda x: F.length(F.regexp_extract(x, HEADING, 1))
-    wanted = F.lower(F.trim(F.col("heading")))
-    at = F.array_position(F.transform(lines, lambda x: F.lower(F.trim(F.regexp_extract(x, HEADING, 2)))), wanted).cast("int")
-    behind = F.slice(lines, at + 1, F.size(lines))
-    level = depth(F.element_at(lines, at))
-    ends = F.filter(F.transform(behind, lambda x, i: F.when((depth(x) > 0) & (depth(x) <= level), i)), lambda i: i.isNotNull())
-    section = F.when(at > 0, F.array_join(F.slice(lines, at, F.coalesce(F.array_min(ends) + 1, F.size(lines))), "\n")).otherwise("")
-    start = F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0))
-    cut = lambda x: F.substring(x, 1, max_chars)
-    named = F.trim(F.coalesce("pattern", F.lit(""))) != ""
-    titled = F.trim(F.coalesce("heading", F.lit(""))) != ""
-    how = F.when(named, "pattern").when(titled, "heading").when(F.col("line_start").isNotNull(), "lines").otherwise("chunk")
-    part = F.when(named, matching).when(titled, cut(section)).when(F.col("line_start").isNotNull(), cut(F.array_join(window, "\n")))
-    return rows.select("request_id", how.alias("how"), part.otherwise(F.substring(F.col("_text"), (start + 1).cast("int"), F.lit(max_chars))).alias("part"))
+
+def page_spans(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, page (null before the first mark) and span: a text parted at the lines that mark pages and slides."""
+    cut = F.split(F.col(text), rf"(?m)(?={PAGE_MARK})")
+    rows = texts.filter(F.col(text).isNotNull()).select(key, F.explode(cut).alias("_span"))
+    mark = rf"(?m)\A{PAGE_MARK}"
+    number = F.coalesce(*[F.nullif(F.regexp_extract("_span", mark, i), F.lit("")) for i in (1, 2, 3)]).cast("long")
+    return rows.select(key, number.alias("page"), F.regexp_replace("_span", mark, "").alias("span"))
 
 
 def quoted_evidence(citations: DataFrame, reads: DataFrame) -> DataFrame:
-    """cite_id, supported and page for each citation: whether a read of the same turn and entry holds its quote, and where.
+    """cite_id, supported, page_supported and page of each citation: is its quote in a read of the same turn and entry, and where.
 
-    `citations` has cite_id, turn, entry_id and quote; `reads` has turn, entry_id, page_start, page_end and text. A read of
-    several pages supports a quote but tells no page; of several pages that hold it the first is told.
+    `citations` has cite_id, turn, entry_id, quote and page (null: none is claimed); `reads` has turn, entry_id, page_start,
+    page_end, slide_start, slide_end and text. Where marks in the text part it by pages, the parts that hold the quote tell
+    the page; else a read of one page or slide tells it, and one of several tells none. A claimed page must be one of
+    those; without a claim the page is told if it is the only one. A quote without letters or digits is nowhere.
     """
-    met = citations.join(reads.filter("trim(text) <> ''").select("turn", "entry_id", "page_start", "page_end", F.col("text").alias("_read")), ["turn", "entry_id"])
-    met = met.filter(quote_in("_read", "quote"))
-    page = F.when(F.col("page_start") == F.coalesce("page_end", "page_start"), F.col("page_start"))
-    found = met.groupBy("cite_id").agg(F.min(page).alias("page")).withColumn("_s", F.lit(True))
-    return citations.select("cite_id").join(found, "cite_id", "left").select("cite_id", F.coalesce("_s", F.lit(False)).alias("supported"), "page")
+    read = reads.filter("trim(text) <> ''").withColumn("_read", F.monotonically_increasing_id())
+    read = cut(read.select("_read", "turn", "entry_id", "page_start", "page_end", "slide_start", "slide_end", "text"))
+    asked = citations.select("cite_id", "turn", "entry_id", "page", plain("quote").alias("_quote")).filter("_quote <> ''")
+    one = lambda a, b: F.when((F.col(a) > 0) & (F.col(a) == F.coalesce(b, a)), F.col(a))
+    whole_range = (F.col("page_start") > 0) & (F.coalesce("page_end", "page_start") >= F.col("page_start"))
+    named = F.when(whole_range, one("page_start", "page_end")).otherwise(one("slide_start", "slide_end")).cast("long")
+    whole = read.select("_read", "turn", "entry_id", named.alias("_named"), plain("text").alias("_whole"))
+    met = asked.join(whole, ["turn", "entry_id"]).filter(F.contains("_whole", "_quote")).select("cite_id", "_quote", "_read", "_named")
+    spans = page_spans(read, "_read").filter("page IS NOT NULL").select("_read", F.col("page").alias("_marked"), plain("span").alias("_span"))
+    marked = met.join(spans, "_read").filter(F.contains("_span", "_quote")).groupBy("cite_id", "_read").agg(F.collect_set("_marked").alias("_marked"))
+    pages = met.join(marked, ["cite_id", "_read"], "left").select("cite_id", F.coalesce("_marked", F.array_compact(F.array("_named"))).alias("_pages"))
+    found = pages.groupBy("cite_id").agg(F.array_distinct(F.flatten(F.collect_set("_pages"))).alias("_pages"))
+    rows = citations.select("cite_id", F.col("page").cast("long").alias("_claimed")).join(found, "cite_id", "left")
+    supported = F.col("_pages").isNotNull()
+    right = F.array_contains("_pages", F.col("_claimed"))
+    only = F.when(F.size("_pages") == 1, F.element_at("_pages", 1))
+    return rows.select("cite_id", supported.alias("supported"), F.coalesce(right | ~supported, F.lit(True)).alias("page_supported"), F.when(F.col("_claimed").isNull(), only).when(right, F.col("_claimed")).alias("page"))
 
 
 def _sentences(text: Column) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StringType
 
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*$"
 
@@ -120,6 +120,12 @@ def plain_quote(text: str) -> str:
     return unicodedata.normalize("NFKC", text).translate(_PLAIN)
 
 
+@F.pandas_udf(StringType())
+def plain(text: pd.Series) -> pd.Series:
+    """`plain_quote` of a column, once for each text; null stays null."""
+    return text.map(plain_quote, na_action="ignore")
+
+
 @F.pandas_udf(BooleanType())
 def quote_in(source: pd.Series, quote: pd.Series) -> pd.Series:
     """True where the quote's characters stand in the source in order; an empty quote is nowhere."""

@@ -84,16 +84,36 @@ def enqueue(tasks: DataFrame, new: DataFrame) -> DataFrame:
     return tasks.unionByName(fresh)
 
 
-def throughput(tasks: DataFrame, group: list[str]) -> DataFrame:
-    """Finished, dead, pending, success rate, mean seconds and the oldest pending time."""
-    seconds = F.unix_micros(F.col("finished_at").cast("timestamp")) / 1e6 - F.unix_micros(F.col("scheduled_at").cast("timestamp")) / 1e6
-    done, dead = F.count_if(F.col("status") == "done"), F.count_if(F.col("status") == "running")
-    return tasks.groupBy(*group).agg(
-        done.alias("done"), dead.alias("running"), F.count_if(F.col("status") == "pending").alias("pending"),
-        F.round(F.try_divide(done, done + dead), 6).alias("success_rate"),
-        F.round(F.avg(F.when(F.col("status") == "done", seconds)), 6).alias("avg_seconds"),
-        F.min(F.when(F.col("status") == "pending", F.col("scheduled_at"))).alias("oldest_pending"),
+#: The kinds of tasks that throughput tells of, and the longest window in minutes.
+THROUGHPUT_KINDS = ("ingest_file", "reprocess_file")
+LONGEST_WINDOW = 24 * 60
+
+
+def throughput(tasks: DataFrame, now: str, window_minutes: int = 60) -> DataFrame:
+    """A row for each kind: what waits and runs now, what ended in the window, and how well and how fast.
+
+    `tasks` has kind, scheduled_by, status, scheduled_at, started_at and finished_at. A task of ingestion that something else
+    scheduled counts as reprocessing; other kinds don't count. done and failed (dead) are those that finished in the last
+    `window_minutes` (1 to a day); the success rate is done / (done + failed), the mean duration is from start to end of
+    both, a negative one being 0, and both are null where nothing ended. Kinds without tasks have zeros.
+    """
+    minutes = min(max(window_minutes, 1), LONGEST_WINDOW)
+    moment = F.lit(now).cast("timestamp_ntz")
+    seconds = lambda first, last: F.unix_seconds(last.cast("timestamp")) - F.unix_seconds(first.cast("timestamp"))
+    by = F.when(F.coalesce("scheduled_by", F.lit("")) != "", "reprocess_file").otherwise(F.col("kind"))
+    ended = F.col("status").isin("done", "dead") & (F.col("finished_at") >= moment - F.expr(f"INTERVAL {minutes} MINUTE"))
+    took = F.greatest(F.lit(0.0), (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6)
+    waits = F.col("status") == "pending"
+    done, failed = F.count_if(ended & (F.col("status") == "done")), F.count_if(ended & (F.col("status") == "dead"))
+    counted = tasks.filter(F.col("kind").isin(*THROUGHPUT_KINDS)).groupBy(by.alias("kind")).agg(
+        F.count_if(waits).alias("pending"), F.count_if(F.col("status") == "running").alias("running"), done.alias("done"), failed.alias("failed"),
+        F.greatest(F.lit(0), F.max(F.when(waits, seconds(F.col("scheduled_at"), moment)))).alias("oldest_pending_age_seconds"),
+        F.avg(F.when(ended & F.col("started_at").isNotNull(), took)).alias("average_duration_seconds"),
     )
+    kinds = tasks.sparkSession.createDataFrame([(k,) for k in THROUGHPUT_KINDS], "kind string")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    rows = kinds.join(counted, "kind", "left").select("kind", *[zero(c) for c in ("pending", "running", "done", "failed", "oldest_pending_age_seconds")], "average_duration_seconds")
+    return rows.withColumn("success_rate", F.try_divide("done", F.col("done") + F.col("failed"))).withColumn("completed_per_minute", F.col("done") / minutes)
 
 
 def backoff(attempts: Column, base: float = 2.0, most: float = 300.0) -> Column:

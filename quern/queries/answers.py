@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.binding import NOW, Store, with_store
 from quern.functions.text import FACET_WEIGHTS, any_time_stamp
-from quern.operators import answers, documents, graph, repository
+from quern.operators import answers, documents, graph, repository, segments
 from quern.operators.store import ACTIVE
 from quern.queries import query
 
@@ -80,34 +80,49 @@ def expanded(s: Store) -> DataFrame:
 
 @query(
     "d02b_read_segments",
-    """WITH d AS (SELECT doc_id, '# ' || lang || chr(10) || replace(text, '#', '') || chr(10) || '## tail ##' || chr(10) || 'end' AS t FROM documents), l AS (SELECT *, string_split(t, chr(10)) AS x FROM d)
-  SELECT doc_id AS request_id, CASE doc_id % 4 WHEN 0 THEN 'pattern' WHEN 1 THEN 'heading' WHEN 2 THEN 'lines' ELSE 'chunk' END AS how,
-    CASE doc_id % 4 WHEN 0 THEN array_to_string(list_filter(x[2:3], lambda y: regexp_matches(y, 'e[nr]')), chr(10)) WHEN 1 THEN '## tail ##' || chr(10) || 'end' WHEN 2 THEN substring(x[2], 1, 300) ELSE substring(t, 11, 300) END AS part FROM l""",
+    """WITH d AS (SELECT doc_id, '# ' || lang || chr(10) || replace(text, '#', '') || chr(10) || '## tail ##' || chr(10) || 'end' AS t FROM documents), l AS (SELECT *, string_split(t, chr(10)) AS x, string_split(t, chr(10))[2:3] AS w FROM d),
+  m AS (SELECT doc_id, i, k, regexp_extract_all(w[i], '(?i)e[nr]')[k] AS said, array_to_string(w[greatest(1, i - 1):i + 1], chr(10)) AS around FROM l, unnest(range(1, len(w) + 1)) a(i), unnest(range(1, len(regexp_extract_all(w[i], '(?i)e[nr]')) + 1)) b(k) WHERE doc_id % 6 = 0),
+  n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS place, count(*) OVER (PARTITION BY doc_id) AS total FROM m),
+  h AS (SELECT doc_id, string_agg('[L' || (i + 1) || '] ' || said || chr(10) || '  ┊ ' || around, chr(10) || chr(10) ORDER BY place) AS part, min(i) + 1 AS first, max(i) + 1 AS last, any_value(total) AS total FROM n WHERE place IN (2, 3) GROUP BY doc_id),
+  s AS (SELECT l.doc_id, l.doc_id % 6 AS kind, t, x, h.part, h.first, h.last, h.total, (SELECT count(*) FROM m WHERE m.doc_id = l.doc_id) AS found FROM l LEFT JOIN h ON h.doc_id = l.doc_id)
+  SELECT doc_id AS request_id, ['pattern', 'heading', 'lines', 'chunk', 'pattern', 'lines'][kind + 1] AS how,
+    CASE kind WHEN 0 THEN coalesce(part, '') WHEN 1 THEN substring('## tail ##' || chr(10) || 'end', 4, 300) WHEN 2 THEN substring(array_to_string(x[1:1], chr(10)), 4, 300) WHEN 3 THEN substring(t, 11, 300) ELSE '' END AS part,
+    CASE kind WHEN 0 THEN CASE WHEN found = 0 THEN 'no matches' WHEN found = 1 THEN 'match_offset 1 exceeds total_matches 1' END WHEN 4 THEN 'invalid regex' WHEN 5 THEN 'line_end must be >= line_start' END AS error,
+    CAST(CASE kind WHEN 0 THEN first WHEN 1 THEN len(x) - 1 WHEN 2 THEN 1 WHEN 3 THEN 1 + length(substring(t, 1, 10)) - length(replace(substring(t, 1, 10), chr(10), '')) END AS INTEGER) AS first_line,
+    CAST(CASE kind WHEN 0 THEN last WHEN 1 THEN len(x) WHEN 2 THEN 1 WHEN 3 THEN 1 + length(substring(t, 1, 310)) - length(replace(substring(t, 1, 310), chr(10), '')) END AS INTEGER) AS last_line,
+    CAST(CASE kind WHEN 0 THEN total WHEN 1 THEN 14 WHEN 2 THEN length(x[1]) WHEN 3 THEN length(t) END AS INTEGER) AS total,
+    CAST(CASE WHEN kind = 0 AND total > 3 THEN 3 WHEN kind = 3 AND length(t) > 310 THEN 310 END AS INTEGER) AS next FROM s""",
 )
-def segments(s: Store) -> DataFrame:
+def read_parts(s: Store) -> DataFrame:
     d = s.raw("documents")
     docs = d.select("doc_id", F.concat(F.lit("# "), "lang", F.lit("\n"), F.replace("text", F.lit("#"), F.lit("")), F.lit("\n## tail ##\nend")).alias("text"))
-    kind = F.col("doc_id") % 4
+    kind = F.col("doc_id") % 6
     asked = d.select(
-        F.col("doc_id").alias("request_id"), "doc_id", F.when(kind == 0, "e[nr]").alias("pattern"), F.when(kind == 1, " TAIL ").alias("heading"),
-        F.when(kind.isin(0, 2), 2).alias("line_start"), F.when(kind == 0, 3).alias("line_end"), F.when(kind == 3, 10).alias("offset"),
+        F.col("doc_id").alias("request_id"), "doc_id", F.when(kind == 0, "e[nr]").when(kind == 4, "(").alias("pattern"), F.when(kind == 1, " TAIL ").alias("heading"), F.when(kind == 0, 2).when(kind == 5, 9).alias("line_start"),
+        F.when(kind == 0, 3).when(kind == 2, 1).when(kind == 5, 4).alias("line_end"), F.when(kind.isin(1, 2), 3).when(kind == 3, 10).alias("offset"), F.lit(300).alias("max_chars"), F.lit(1).alias("context_lines"), F.lit(2).alias("max_matches"), F.lit(1).alias("match_offset"),
     )
-    return answers.read_segments(docs, asked, 300)
+    rows = segments.read_segments(docs, asked)
+    return rows.withColumn("error", F.when(F.col("error").startswith("invalid regex"), "invalid regex").otherwise(F.col("error")))
 
 
 _QUOTE = "CASE doc_id % 3 WHEN 0 THEN upper(substring(text, 11, 40)) WHEN 1 THEN 'never said so' ELSE substring(text, 3, 30) END"
 
 
+_READS = """SELECT doc_id AS turn, source AS entry_id, CASE WHEN doc_id % 4 < 2 THEN n_chars % 5 + 1 END AS page_start, CASE doc_id % 4 WHEN 0 THEN n_chars % 5 + 3 END AS page_end, CASE WHEN doc_id % 4 = 2 THEN 9 END AS slide_start,
+  CASE WHEN doc_id % 3 = 0 THEN concat('[Page 4]', {nl}, 'first', {nl}, '[OCR Page 6]', {nl}, replace(text, '#', ''), {nl}, '# Slide 8: last', {nl}, 'end') ELSE replace(text, '#', '') END AS text FROM {t}"""
+
+
 @query(
     "d19_quoted_evidence",
-    rf"""WITH c AS (SELECT doc_id, n_chars % 5 + 1 AS first, doc_id % 3 <> 1 AND regexp_replace({_QUOTE}, '[\s\p{{P}}\p{{Z}}\p{{C}}]', '', 'g') <> '' AS supported FROM documents)
-  SELECT doc_id AS cite_id, supported, CASE WHEN supported AND doc_id % 2 = 0 THEN CAST(first AS BIGINT) END AS page FROM c""",
+    rf"""WITH c AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 7 = 2 THEN 4 WHEN doc_id % 7 = 5 THEN 6 END AS claimed, doc_id % 3 <> 1 AND regexp_replace(replace({_QUOTE}, '#', ''), '[\s\p{{P}}\p{{Z}}\p{{C}}]', '', 'g') <> '' AS supported FROM documents),
+  p AS (SELECT *, CASE WHEN NOT supported THEN NULL WHEN doc_id % 3 = 0 THEN 6 WHEN doc_id % 4 = 1 THEN n_chars % 5 + 1 WHEN doc_id % 4 = 2 THEN 9 END AS seen FROM c)
+  SELECT doc_id AS cite_id, supported, NOT supported OR claimed IS NULL OR coalesce(claimed = seen, false) AS page_supported, CAST(CASE WHEN claimed IS NULL OR claimed = seen THEN seen END AS BIGINT) AS page FROM p""",
 )
 def evidence(s: Store) -> DataFrame:
     d = s.raw("documents")
-    first = (F.col("n_chars") % 5 + 1).cast("long")
-    reads = d.select(F.col("doc_id").alias("turn"), F.col("source").alias("entry_id"), first.alias("page_start"), (first + F.col("doc_id") % 2).alias("page_end"), "text")
-    cites = d.select(F.col("doc_id").alias("cite_id"), F.col("doc_id").alias("turn"), F.col("source").alias("entry_id"), F.expr(_QUOTE).alias("quote"))
+    reads = s.spark.sql(_READS.format(t="{t}", nl="chr(10)"), t=d).withColumn("slide_end", F.lit(None).cast("int"))
+    claimed = F.when(F.col("doc_id") % 7 == 2, 4).when(F.col("doc_id") % 7 == 5, 6)
+    cites = d.select(F.col("doc_id").alias("cite_id"), F.col("doc_id").alias("turn"), F.col("source").alias("entry_id"), F.replace(F.expr(_QUOTE), F.lit("#"), F.lit("")).alias("quote"), claimed.alias("page"))
     return answers.quoted_evidence(cites, reads)
 
 

@@ -196,17 +196,27 @@ def dedupe(s: Store) -> DataFrame:
     return lifecycle.dedupe_content(s.files.drop("body"))
 
 
+_WORK = """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'reprocess_file' WHEN 1 THEN 'prune' ELSE 'ingest_file' END AS kind, CASE WHEN o_orderkey % 10 = 3 THEN 'user' END AS scheduled_by,
+  CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_custkey % 5 = 0 THEN 'dead' ELSE 'done' END WHEN 'O' THEN CASE WHEN o_custkey % 7 = 0 THEN 'running' ELSE 'pending' END ELSE 'cancelled' END AS status,
+  {minus}(o_custkey % 3000 - 60) AS scheduled_at, CASE WHEN o_custkey % 11 > 0 THEN {minus}(o_orderkey % 1900 + o_custkey % 13 - 1) END AS started_at, {minus}(o_orderkey % 1900) AS finished_at FROM {t}"""
+
+
 @query(
     "a09_throughput",
-    with_store(
-        """SELECT priority, CAST(count(*) FILTER (WHERE status = 'done') AS BIGINT) AS done, CAST(count(*) FILTER (WHERE status = 'running') AS BIGINT) AS running, CAST(count(*) FILTER (WHERE status = 'pending') AS BIGINT) AS pending,
-      round(count(*) FILTER (WHERE status = 'done') / nullif(count(*) FILTER (WHERE status IN ('done', 'running')), 0), 6) AS success_rate,
-      round(avg(epoch(finished_at) - epoch(scheduled_at)) FILTER (WHERE status = 'done'), 6) AS avg_seconds, min(scheduled_at) FILTER (WHERE status = 'pending') AS oldest_pending FROM tasks GROUP BY priority""",
-        "tasks",
-    ),
+    f"""WITH k(kind) AS (VALUES ('ingest_file'), ('reprocess_file')), w AS ({_WORK.format(t="orders", minus=f"TIMESTAMP '{NOW}' - to_minutes(1) * ")}),
+  s AS (SELECT * REPLACE (CASE WHEN kind = 'reprocess_file' OR scheduled_by <> '' THEN 'reprocess_file' ELSE 'ingest_file' END AS kind) FROM w WHERE kind IN ('ingest_file', 'reprocess_file')),
+  active AS (SELECT kind, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'running') AS running,
+    max(greatest(0, date_diff('second', scheduled_at, TIMESTAMP '{NOW}'))) FILTER (WHERE status = 'pending') AS oldest FROM s WHERE status IN ('pending', 'running') GROUP BY kind),
+  terminal AS (SELECT kind, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'dead') AS failed,
+    avg(greatest(0.0, date_diff('second', started_at, finished_at))) FILTER (WHERE started_at IS NOT NULL) AS seconds FROM s WHERE status IN ('done', 'dead') AND finished_at >= TIMESTAMP '{NOW}' - INTERVAL 720 MINUTE GROUP BY kind)
+  SELECT k.kind, coalesce(pending, 0) AS pending, coalesce(running, 0) AS running, coalesce(done, 0) AS done, coalesce(failed, 0) AS failed, CAST(coalesce(oldest, 0) AS BIGINT) AS oldest_pending_age_seconds,
+    round(seconds, 6) AS average_duration_seconds, round(done / nullif(done + failed, 0), 6) AS success_rate, round(coalesce(done, 0) / 720, 6) AS completed_per_minute
+  FROM k LEFT JOIN active ON active.kind = k.kind LEFT JOIN terminal ON terminal.kind = k.kind""",
 )
 def throughput(s: Store) -> DataFrame:
-    return lifecycle.throughput(s.tasks, ["priority"])
+    work = s.spark.sql(_WORK.format(t="{t}", minus=f"TIMESTAMP_NTZ '{NOW}' - INTERVAL 1 MINUTE * "), t=s.raw("orders"))
+    rows = lifecycle.throughput(work, NOW, 720)
+    return rows.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in rows.dtypes])
 
 
 @query("x43_backoff", "SELECT event_id, least(2.0 * pow(2.0, user_id % 12 - 1), 300.0) AS seconds FROM events")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.text import any_time_stamp, cluster_id, contains_any, has_level, hits, html_text, level, query_terms, rank_terms, recall_weight, safe_name, search_terms, search_weight, time_stamp
-from quern.operators import evaluation, graph, lifecycle, logs, retrieval, store, trees, vectors
+from quern.operators import answers, evaluation, graph, lifecycle, logs, retrieval, segments, store, trees, vectors
 from quern.operators.components import connected_components
 from quern.plans.columns import pick
 from quern.plans.prefix import running_total
@@ -297,6 +297,27 @@ def test_adhoc_sql_sees_its_tables_alone(spark):
         spark.catalog.dropTempView(name)
 
 
+def test_adhoc_sql_is_judged_on_resolved_names(spark, tmp_path):
+    mine = spark.createDataFrame([(1,)], "a int")
+    spark.range(3).createOrReplaceTempView("secret")
+    spark.range(3).write.parquet(str(tmp_path / "hidden"))
+    spark.udf.register("spy", lambda x: x, "int")
+    for bad in (
+        "SELECT 'CTE [secret]' AS x, secret.* FROM secret", "SELECT a AS `CTE [secret]`, s.* FROM t1, secret s", "SELECT o.* FROM (WITH secret AS (SELECT 1 AS k) SELECT k FROM secret) i, secret o",
+        "SELECT * FROM IDENTIFIER('sec' || 'ret')", "SELECT * FROM range(3)", f"SELECT * FROM parquet.`{tmp_path}/hidden`", "SELECT (SELECT max(id) FROM secret) AS m FROM t1", "SELECT a FROM t1 WHERE a IN (SELECT id FROM secret)",
+        "SELECT 1) UNION SELECT * FROM (SELECT id FROM secret", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT spy(a) FROM t1", "SELECT input_file_name() FROM t1",
+    ):
+        with pytest.raises(adhoc.RefusedSQL):
+            adhoc.run_sql(spark, [mine], bad)
+    good = {
+        "WITH secret AS (SELECT 7 AS k) SELECT k FROM secret": [(7,)], "SELECT * FROM VALUES (1, 2) v": [(1, 2)], "SELECT e FROM t1 LATERAL VIEW explode(array(a, 5)) x AS e": [(1,), (5,)],
+        "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT n FROM r": [(1,), (2,), (3,)], "SELECT reflect FROM (SELECT 'input_file_name()' AS reflect)": [("input_file_name()",)],
+    }
+    for text, rows in good.items():
+        assert sorted(tuple(r) for r in adhoc.run_sql(spark, [mine], text).rows.collect()) == rows
+    spark.catalog.dropTempView("secret")
+
+
 def test_adhoc_pages(spark):
     page = adhoc.run_sql(spark, [spark.range(100, numPartitions=4)], "SELECT id FROM t1 ORDER BY id", limit=10, offset=85)
     assert [r.id for r in page.rows.collect()] == list(range(85, 95)) and page.has_more()
@@ -410,3 +431,67 @@ def test_vetting_and_strength(spark):
     s = {"tag": 1, "note": 2}
     pairs = spark.createDataFrame([("note", "tag"), ("tag", "note"), ("tag", None)], "a string, b string")
     assert [r[0] for r in pairs.select(graph.stronger(F.col("a"), F.col("b"), s)).collect()] == [True, False, True]
+
+
+def test_throughput(spark):
+    at = lambda minute: f"2024-01-01 10:{minute:02d}:00"
+    rows = [
+        (1, "ingest_file", None, "done", at(0), at(1), at(3)), (2, "ingest_file", None, "done", at(0), at(1), at(2)), (3, "ingest_file", None, "dead", at(0), None, at(4)),
+        (4, "ingest_file", None, "running", at(1), at(2), None), (5, "ingest_file", None, "running", at(1), at(2), None), (6, "ingest_file", None, "running", at(1), at(2), None),
+        (7, "ingest_file", None, "pending", at(5), None, None), (8, "ingest_file", None, "pending", "2024-01-01 12:00:00", None, None), (9, "ingest_file", "user", "done", at(0), at(5), at(4)),
+        (10, "ingest_file", None, "done", at(0), at(0), "2023-12-31 10:00:00"), (11, "mine", None, "done", at(0), at(0), at(1)), (12, "reprocess_file", None, "failed", at(0), at(0), at(1)),
+    ]
+    tasks = spark.createDataFrame(rows, "id int, kind string, scheduled_by string, status string, scheduled_at string, started_at string, finished_at string")
+    tasks = tasks.select("id", "kind", "scheduled_by", "status", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("scheduled_at", "started_at", "finished_at")])
+    got = {r.kind: r for r in lifecycle.throughput(tasks, at(20), window_minutes=60).collect()}
+    assert set(got) == {"ingest_file", "reprocess_file"}
+    one = got["ingest_file"]
+    assert (one.pending, one.running, one.done, one.failed, one.oldest_pending_age_seconds, one.average_duration_seconds) == (2, 3, 2, 1, 900, 90.0)
+    assert round(one.success_rate, 3) == 0.667 and one.completed_per_minute == 2 / 60
+    two = got["reprocess_file"]
+    # a start after the end counts as no time
+    assert (two.pending, two.running, two.done, two.failed, two.oldest_pending_age_seconds, two.average_duration_seconds, two.success_rate) == (0, 0, 1, 0, 0, 0.0, 1.0)
+    empty = lifecycle.throughput(tasks.filter("false"), at(20)).collect()
+    assert [(r.done, r.success_rate, r.average_duration_seconds) for r in empty] == [(0, None, None)] * 2
+
+
+def test_quoted_evidence_tells_the_marked_page(spark):
+    reads = [
+        (1, "e", 1, 3, None, None, "[Page 1]\nnothing\n[Page 2]\nthe quote is here\n[Page 3]\nend"), (2, "e", 1, 3, None, None, "the quote is here, no marks"), (3, "e", 4, None, None, None, "the QUOTE, is here"),
+        (4, "e", None, None, 7, 7, "the quote is here"), (5, "e", None, None, None, None, "# Slide 3: intro\nx\n# Slide 4: more\nthe quote is here"), (6, "e", 9, 9, None, None, "## OCR Page 12\nthe quote is here"),
+        (7, "e", 1, 9, None, None, "[Page 1]\nthe quote is here\n[Page 5]\nthe quote is here"), (8, "other", 1, 1, None, None, "the quote is here"), (9, "e", 5, 2, None, None, "the quote is here"), (10, "e", 3, 3, None, None, "the quote is here\n[Page 9]\nx"),
+        (11, "e", 1, 1, None, None, None), (12, "e", 1, 2, None, None, "[Page 1]\nthe quote\n[Page 2]\nis here"),
+    ]
+    reads = spark.createDataFrame(reads, "turn int, entry_id string, page_start int, page_end int, slide_start int, slide_end int, text string")
+    cites = spark.createDataFrame([(t, t, "e", "The quote is here", None) for t in range(1, 14)] + [(20, 7, "e", "the quote is here", 5), (21, 7, "e", "the quote is here", 2), (22, 2, "e", "the quote is here", 2), (23, 1, "e", " ", None)], "cite_id int, turn int, entry_id string, quote string, page int")
+    got = {r.cite_id: (r.supported, r.page_supported, r.page) for r in answers.quoted_evidence(cites, reads).collect()}
+    seen = lambda page: (True, True, page)
+    assert got == {
+        1: seen(2), 2: seen(None), 3: seen(4), 4: seen(7), 5: seen(4), 6: seen(12), 7: seen(None), 8: (False, True, None), 9: seen(None), 10: seen(3), 11: (False, True, None), 12: (False, True, None), 13: (False, True, None),
+        20: seen(5), 21: (True, False, None), 22: (True, False, None), 23: (False, True, None),
+    }
+
+
+def test_reads_of_segments(spark):
+    text = "# One\r\nalpha beta\r\n## Two: more\nBETA gamma\nlast beta\n# Three\nend\n\n# 第 一章 start\nfin"
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    known = spark.createDataFrame([(1, 1, "s1", "Lines", ("lines", "2-3")), (1, 2, "s2", "Two", ("lines", "Two")), (1, 3, "s3", "nowhere", ("lines", "x"))], "doc_id int, position int, id string, title string, anchor struct<unit:string,value:string>")
+    ask = lambda **x: x
+    asked = [
+        ask(pattern="("), ask(pattern="beta"), ask(pattern="beta", max_matches=1, match_offset=1), ask(pattern="beta", line_start=4, context_lines=1), ask(pattern="beta", match_offset=9), ask(pattern="zzz"), ask(pattern="^last.*\n# T"),
+        ask(line_end=2), ask(line_start=2), ask(line_start=3, line_end=2), ask(line_start=99), ask(offset=5, max_chars=3), ask(section_id="s1"), ask(section_id="s2"), ask(section_id="s3"), ask(section_id="s9"), ask(heading="two"), ask(heading="third"),
+        ask(heading="第一章"), ask(line_start=1, line_end=2, offset=4, max_chars=5), ask(heading="Three", offset=3, max_chars=4),
+    ]
+    rows = [tuple([i, 1, *[a.get(n) for n in segments.ARGUMENTS]]) for i, a in enumerate(asked)] + [tuple([50, 2, *[None] * len(segments.ARGUMENTS)])]
+    requests = spark.createDataFrame(rows, "request_id int, doc_id int, " + ", ".join(f"{n} {t}" for n, t in segments.ARGUMENTS.items()))
+    got = {r.request_id: r for r in segments.read_segments(docs, requests, known).collect()}
+    assert len(got) == len(rows) and got[0].error.startswith("invalid regex") and got[0].how == "pattern"
+    assert got[1].part.startswith("[L2] beta\n  ┊ # One\nalpha beta\n## Two: more\nBETA gamma\n\n[L4] BETA") and (got[1].total, got[1].next, got[1].first_line, got[1].last_line) == (3, None, 2, 5)
+    assert (got[2].first_line, got[2].total, got[2].next) == (4, 3, 2) and got[3].part == "[L4] BETA\n  ┊ BETA gamma\nlast beta\n\n[L5] beta\n  ┊ BETA gamma\nlast beta\n# Three"
+    assert got[4].error == "match_offset 9 exceeds total_matches 3" and got[5].error == "no matches" and got[6].first_line == 5
+    assert (got[7].part, got[7].how, got[7].first_line, got[7].last_line) == ("# One\nalpha beta", "lines", 1, 2) and got[8].part == "alpha beta" and got[9].error == "line_end must be >= line_start" and got[10].error == "empty result"
+    assert (got[11].part, got[11].next, got[11].first_line) == ("\r\na", 8, 1) and got[12].part == "alpha beta\n## Two: more"
+    assert got[13].part == "Two: more\nBETA gamma\nlast beta" and (got[14].part, got[14].error) == ("", None) and got[15].error == "section not found: s9"
+    assert got[16].part == "Two: more\nBETA gamma\nlast beta" and got[17].error == "section not found: third" and got[18].part == "# 第 一章 start\nfin" and got[18].first_line == 9
+    assert (got[19].part, got[19].next) == ("e\nalp", 9) and (got[20].part, got[20].total) == ("hree", 11) and (got[50].part, got[50].total, got[50].error) == ("", 0, None)
+    assert segments.read_segments(docs, requests.filter("section_id = 's1'")).first().error == "section_id lookup needs a map of sections"
