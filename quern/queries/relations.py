@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.binding import NOW, STORE_SQL, Store, with_store
 from quern.functions.text import level, time_stamp
-from quern.operators import evaluation, graph, lifecycle, logs, retrieval, trees, vectors
+from quern.operators import evaluation, graph, lifecycle, logs, retrieval, search_index, trees, vectors
 from quern.operators.components import connected_components
 from quern.plans.lineage import written
 from quern.queries import query
@@ -330,18 +331,37 @@ _QUOTA = (
 _QRELS = "qr AS (SELECT item_id AS query_id, doc_id AS entry_id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def _lexical(s: Store) -> DataFrame:
-    texts = s.raw("documents").select(F.col("doc_id").alias("entry_id"), "text")
-    return retrieval.bm25(texts, s.raw("benchmark").select(F.col("item_id").alias("query_id"), "text"))
+#: Indexes of this process by application, table and the state of its files.
+_INDEXES: dict[tuple, search_index.Index] = {}
+
+
+def _index(s: Store) -> search_index.Index:
+    """The index of all documents, written once for all queries over the same files."""
+    documents = s.raw("documents")
+    files = sorted((r.file_path, r.file_size, r.file_modification_time) for r in documents.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect())
+    key = (s.spark.sparkContext.applicationId, *files)
+    if key not in _INDEXES:
+        _INDEXES[key] = search_index.build(documents.select(F.col("doc_id").alias("entry_id"), "text"))
+    return _INDEXES[key]
+
+
+def _asked_texts(s: Store) -> DataFrame:
+    return s.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _lexical(s: Store, k: int, rank: str) -> DataFrame:
+    return search_index.search(_index(s), _asked_texts(s), k, rank).results
 
 
 def _merged(s: Store) -> DataFrame:
     items = s.raw("benchmark").select(F.col("item_id").alias("query_id"))
     asked = s.raw("embeddings").join(items, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query"))
     semantic = vectors.search(_records(s), asked, 30).withColumnRenamed("rank", "semantic_rank")
-    tagged = s.raw("documents").select(F.col("doc_id").alias("entry_id"), "source", F.col("n_chars").alias("score"))
-    tagged = tagged.join(items.withColumn("source", F.concat(F.lit("src"), F.col("query_id") % 20)), "source")
-    return retrieval.scored(retrieval.merge(retrieval.ranked(tagged, 30, "tag_rank"), retrieval.ranked(_lexical(s), 30, "lexical_rank"), semantic))
+    # a document's tag score is its own, so a source's best are found before queries meet them
+    longest = F.row_number().over(W.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))
+    tagged = s.raw("documents").select("doc_id", "source", longest.alias("tag_rank")).filter("tag_rank <= 30").select(F.col("doc_id").alias("entry_id"), "source", "tag_rank")
+    tagged = tagged.join(items.withColumn("source", F.concat(F.lit("src"), F.col("query_id") % 20)), "source").select("query_id", "entry_id", "tag_rank")
+    return retrieval.scored(retrieval.merge(tagged, _lexical(s, 30, "lexical_rank"), semantic))
 
 
 def _evidence(s: Store) -> DataFrame:
@@ -349,8 +369,10 @@ def _evidence(s: Store) -> DataFrame:
 
 
 def _judgements(s: Store) -> DataFrame:
-    """Documents that hold a benchmark passage: candidates share the passage's longest word with the document."""
-    word = F.element_at(F.array_sort(F.split("item", r"\s+"), lambda x, y: F.length(x) - F.length(y)), -1)
+    """Documents that hold a benchmark passage: candidates share its longest word but the first and last, which the text may go on."""
+    words = F.split("item", r"\s+")
+    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))).otherwise(words)
+    word = F.element_at(F.array_sort(inner, lambda x, y: F.length(x) - F.length(y)), -1)
     items = s.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")).withColumn("w", word)
     docs = s.raw("documents").select(F.col("doc_id").alias("entry_id"), "text")
     words = docs.select("entry_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).join(items.select("w").distinct(), "w", "left_semi")
@@ -360,7 +382,12 @@ def _judgements(s: Store) -> DataFrame:
 
 @query("f10_bm25", f"WITH {_BM25} SELECT query_id, entry_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS INTEGER) AS rank FROM bm QUALIFY rank <= 10".replace(", score,", ", score,"))
 def bm25(s: Store) -> DataFrame:
-    return retrieval.ranked(_lexical(s), 10, "rank", keep=("score",))
+    return _lexical(s, 10, "rank").select("query_id", "entry_id", "score", "rank")
+
+
+@query("f10b_pruned_search", f"WITH {_BM25} SELECT query_id, entry_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS INTEGER) AS rank FROM bm QUALIFY rank <= 100")
+def pruned_search(s: Store) -> DataFrame:
+    return _lexical(s, 100, "rank").select("query_id", "entry_id", "score", "rank")
 
 
 @query("x07_rrf_scores", _MERGED + " SELECT query_id, entry_id, tag_rank, lexical_rank, semantic_rank, bucket, CAST(score AS DOUBLE) AS score FROM sc")
@@ -405,7 +432,7 @@ _PERQ = """, rel AS (SELECT query_id, count(*) AS relevant, list_sum(list_transf
 
 
 def _run(s: Store) -> DataFrame:
-    return retrieval.ranked(_lexical(s), 10, "place")
+    return _lexical(s, 10, "place").select("query_id", "entry_id", "place")
 
 
 @query("e01_per_query", _LEX10 + _PERQ + " SELECT query_id, CAST(relevant AS BIGINT) AS relevant, CAST(returned AS BIGINT) AS returned, CAST(first_rank AS INTEGER) AS first_rank, CAST(hits > 0 AS INTEGER) AS hit, round(hits / relevant, 6) AS recall, round(ndcg, 6) AS ndcg, round(coalesce(1.0 / first_rank, 0.0), 6) AS reciprocal_rank FROM pq")
@@ -438,7 +465,7 @@ _ABLATION += """), rel AS (SELECT query_id, count(*) AS relevant, list_sum(list_
 def ablation(s: Store) -> DataFrame:
     merged = written(_merged(s))  # four configurations read it
     place = {n: retrieval.ranked(merged.filter(f"{r} IS NOT NULL").withColumn("score", -F.col(r)), 10, "place") for n, r in (("lexical", "lexical_rank"), ("semantic", "semantic_rank"))}
-    return evaluation.ablation({**place, "fused": retrieval.ranked(merged, 10, "place"), "quota": retrieval.select_evidence(merged, 10)}, _judgements(s), 10)
+    return evaluation.ablation({**place, "fused": retrieval.ranked(merged, 10, "place"), "quota": retrieval.select_evidence(merged, 10)}, written(_judgements(s)), 10)
 
 
 @query("e09_latency", "SELECT user_id, CAST(count(*) AS BIGINT) AS requests, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(CAST(event_type = 'error' AS DOUBLE)), 6) AS error_rate, CAST(round(quantile_cont(value, 0.95), 6) > 30 AS INTEGER) + CAST(round(avg(CAST(event_type = 'error' AS DOUBLE)), 6) > 0.2 AS INTEGER) AS violations FROM events GROUP BY user_id")
