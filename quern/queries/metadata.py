@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from quern.binding import NOW, Store, with_store
 from quern.functions.text import ENTITIES, FACET_WEIGHTS, contains_any, embedding_text, has_cjk, heuristic_tags, hits, html_text, inner_name, safe_name, search_weight
+from quern.operators import intervals
 from quern.operators import store as ops
+from quern.plans import ordered
 from quern.plans.quantiles import percentiles as percentiles_of
 from quern.queries import query
 
@@ -215,10 +217,40 @@ def upsert_pairs(s: Store) -> DataFrame:
 
 @query("j18_asof_join", """SELECT e.event_id, o.event_id AS previous_error FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') o ON e.user_id = o.user_id AND e.ts >= o.ts""")
 def asof_join(s: Store) -> DataFrame:
-    """The last error of the same user before each purchase: one window over both, no pairs."""
-    e = s.raw("events").filter("event_type IN ('purchase', 'error')")
-    seen = F.last(F.when(F.col("event_type") == "error", F.col("event_id")), ignorenulls=True).over(W.partitionBy("user_id").orderBy("ts", F.col("event_type") == "purchase"))
-    return e.withColumn("previous_error", seen).filter("event_type = 'purchase'").select("event_id", "previous_error")
+    """The last error of the same user before each purchase, carried over ranges of time."""
+    e = s.raw("events").select("event_id", "user_id", "ts", "event_type")
+    of = lambda kind: e.filter(F.col("event_type") == kind).drop("event_type")
+    return intervals.asof_join(of("purchase"), of("error"), ["user_id"], "ts", "event_id", F.col("event_id"), "previous_error").select("event_id", "previous_error")
+
+
+@query(
+    "j18b_overlap_join",
+    """WITH o AS (SELECT o_orderkey AS order_id, o_custkey % 100 AS k, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS first, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + CASE WHEN o_orderkey % 997 = 5 THEN 900 ELSE o_custkey % 5 END AS last FROM orders),
+  l AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, l_suppkey % 100 AS k, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS first, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + l_linenumber AS last FROM lineitem)
+  SELECT order_id, count(*) AS lines, CAST(min(line_id) AS BIGINT) AS first_line, CAST(sum(least(o.last, l.last) - greatest(o.first, l.first) + 1) AS BIGINT) AS shared_days FROM o JOIN l ON o.k = l.k AND o.first <= l.last AND l.first <= o.last GROUP BY order_id""",
+)
+def overlap_join(s: Store) -> DataFrame:
+    """Orders whose days overlap those of lines of a supplier of the same class."""
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    o = s.raw("orders").select(F.col("o_orderkey").alias("order_id"), (F.col("o_custkey") % 100).alias("k"), day("o_orderdate").alias("o_first"), F.when(F.col("o_orderkey") % 997 == 5, 900).otherwise(F.col("o_custkey") % 5).alias("_d"))
+    o = o.select("order_id", "k", "o_first", (F.col("o_first") + F.col("_d")).alias("o_last"))
+    line = s.raw("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("line_id"), (F.col("l_suppkey") % 100).alias("k"), day("l_shipdate").alias("l_first"), (day("l_shipdate") + F.col("l_linenumber")).alias("l_last"))
+    met = intervals.overlap_join(o, line, ["k"], ("o_first", "o_last"), ("l_first", "l_last"), 4)
+    shared = F.least("o_last", "l_last") - F.greatest("o_first", "l_first") + 1
+    return met.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"), F.min("line_id").alias("first_line"), F.sum(shared).alias("shared_days"))
+
+
+@query("w14b_running_order", "SELECT l_orderkey, l_linenumber, row_number() OVER w AS place, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) OVER w AS BIGINT) AS cents FROM lineitem WINDOW w AS (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100) ROWS UNBOUNDED PRECEDING)")
+def running_order(s: Store) -> DataFrame:
+    """All lines as one group."""
+    rows = s.raw("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("_cents"))
+    return ordered.running(rows, [], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "_cents"], {"cents": F.col("_cents")}, count="place").select("l_orderkey", "l_linenumber", "place", "cents")
+
+
+@query("w14c_groups_frame", "SELECT l_orderkey, l_linenumber, CAST(dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS BIGINT) AS day_rank, count(*) OVER w AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) OVER w AS BIGINT) AS quantity FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def groups_of_days(s: Store) -> DataFrame:
+    rows = s.raw("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", F.col("l_quantity").cast("long").alias("_q"))
+    return ordered.groups_frame(rows, ["l_returnflag"], "l_shipdate", F.col("_q"), 2, "quantity", "lines", "day_rank").select("l_orderkey", "l_linenumber", "day_rank", "lines", "quantity")
 
 
 @query("j19_stuck", "SELECT c_custkey AS id FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
