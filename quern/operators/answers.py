@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quern.functions.text import FACET_WEIGHTS, RANK_STOP_WORDS
 from quern.operators.documents import plain
 from quern.plans.lineage import cut
+from quern.plans.ordered import running
 
 #: Words that mark a sentence as a constraint, a decision or a next step.
 CONSTRAINT_TERMS = ("must", "never", "required", "cannot", "必须", "不要", "不能", "要求")
@@ -136,30 +142,133 @@ def _mentions(text: Column, words: tuple[str, ...]) -> Column:
     return found
 
 
-def checkpoint_items(turns: DataFrame, most: int = 20) -> DataFrame:
-    """conv_id, kind, place and item: what a checkpoint keeps of a conversation's turns, newest last.
-
-    `turns` has conv_id, turn, role and text. Of users' texts goals and constraints are kept, of others' progress,
-    decisions and next steps; an item that a conversation repeats is kept where it first came, and of each kind the newest
-    `most`. Items are rows, so no conversation is one row.
+#: The lists of a checkpoint as it is written, and the order in which they give way, oldest item first.
+CHECKPOINT = {"version": 1, "goal": [], "constraints": [], "progress": [], "key_decisions": [], "next_steps": [], "critical_context": [], "evidence_entry_ids": [], "evidence": [], "scopes": [], "tool_history": []}
+DROP_ORDER = ("tool_history", "progress", "goal", "key_decisions", "constraints", "next_steps", "scopes", "evidence", "evidence_entry_ids")
+#: Lists that keep an item while anything else can go; a checkpoint's least budget; what critical context holds.
+KEPT_LISTS, LEAST_BUDGET, CRITICAL_ITEMS, CRITICAL_CHARS = ("goal", "progress"), 256, 20, 800
+#: What places a passage, what a call was limited to, and evidence of one call at most.
+LOCATORS = ("entry_id", "quote", "page", "page_start", "page_end", "line_start", "line_end", "paragraph_start", "paragraph_end", "section_id", "heading", "member_path", "sha256", "content_sha256", "file_sha256", "version")
+SCOPES, CALL_EVIDENCE = ("view_id", "catalog_id", "folder_id"), 100
+ENTRY_ID = r"entry_id=([0-9a-fA-F-]{8,})"
+
+
+def _json(value) -> str:
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _shortened(text: str, most: int) -> str:
+    return text if len(text) <= most else text[:most].rstrip() + "…"
+
+
+def call_items(turn: int, name: str | None, given: str | None, got: str | None, error: str | None) -> list[tuple[str, str]]:
+    """What a tool call adds to a checkpoint: (list, JSON of the item), in order. `given` and `got` are JSON, else plain text."""
+
+    def parsed(text):
+        try:
+            return json.loads(text) if text else None
+        except ValueError:
+            return text
+
+    def preview(value, most):
+        written = _json(value)
+        return value if value is None or len(written) <= most else {"preview": written[:most].rstrip() + "…", "truncated": True}
+
+    given, got = parsed(given) or None, parsed(got) or None
+    item = {"turn": turn, "name": name or "tool", "input": preview(given, 1000), "result": preview(got, 1500), "error": _shortened((error or "").strip(), 500) or None}
+    items = [("tool_history", _json(item))]
+    items += [("evidence_entry_ids", _json(i)) for i in re.findall(ENTRY_ID, _json(item))]
+    found: dict[str, None] = {}
+    held = [got]
+    while held:
+        value = held.pop()
+        if isinstance(value, dict):
+            if value.get("entry_id"):
+                found[_json({k: value[k] for k in LOCATORS if k in value and value[k] not in (None, "")})] = None
+            held += reversed(value.values())
+        elif isinstance(value, list):
+            held += reversed(value)
+    items += [("evidence", e) for e in list(found)[:CALL_EVIDENCE]]
+    scope = {k: given[k] for k in SCOPES if given.get(k) not in (None, "", [])} if isinstance(given, dict) else {}
+    return items + ([("scopes", _json(scope))] if scope else [])
+
+
+def _critical(lists: dict[str, list[str]]) -> list[str]:
+    """JSON of what matters most of the other lists: rules, decisions, steps, then where evidence is; the last of them."""
+    said = dict.fromkeys(_shortened(json.loads(x).strip(), CRITICAL_CHARS) for kind in ("constraints", "key_decisions", "next_steps") for x in lists.get(kind, ()))
+    ids = [json.loads(x) for x in lists.get("evidence_entry_ids", ())]
+    where = ["Evidence entry IDs: " + ", ".join(ids)] if ids else []
+    where += ["Evidence locator: " + e for e in lists.get("evidence", ())]
+    return [_json(x) for x in [*said, *where][-CRITICAL_ITEMS:]]
+
+
+def fit(lists: dict[str, list[str]], budget: int) -> dict[str, list[str]]:
+    """The lists (JSON of items, oldest first) without what has to go before all of them, written as JSON, take `budget` bytes."""
+    lists = {k: list(v) for k, v in lists.items()}
+    bytes_of = lambda items: sum(len(x.encode()) + 2 for x in items) - (2 if items else 0)
+    size = len(_json(CHECKPOINT)) + sum(bytes_of(v) for v in lists.values())
+    going = [(kind, n) for kind in DROP_ORDER for n in range(len(lists.get(kind, ())) - (kind in KEPT_LISTS))]
+    going += [(kind, 0) for kind in DROP_ORDER if kind in KEPT_LISTS and lists.get(kind)]
+    critical = _critical(lists)
+    for kind, _ in going:
+        if size + bytes_of(critical) <= budget:
+            break
+        size += bytes_of(lists[kind][1:]) - bytes_of(lists[kind])
+        del lists[kind][0]
+        if kind not in ("tool_history", "progress", "goal", "scopes"):
+            critical = _critical(lists)
+    return lists | {"critical_context": critical}
+
+
+def checkpoint_items(turns: DataFrame, budget: int, calls: DataFrame | None = None) -> DataFrame:
+    """conv_id, kind, place and item (JSON): the checkpoint of each conversation that takes `budget` bytes of JSON at most.
+
+    `turns` has conv_id, turn, role and text: users' texts are goals and hold constraints, others' are progress and hold
+    decisions, next steps and entry ids. `calls` has conv_id, turn, position, name, input, output (JSON) and error, the tool
+    calls. An item that a conversation repeats is kept where it first came. Items give way list by list, oldest first, until the
+    rest fits; a goal and a progress stay while anything else can go. Since what stays takes no more than the budget, older
+    items of a list than that are left out by running totals, so what a task holds of a conversation is a few budgets.
     """
-    user = F.col("role") == "user"
-
-    def picked(kind: str, where: Column, words: tuple[str, ...], size: int) -> DataFrame:
-        rows = turns.filter(where).select("conv_id", "turn", F.posexplode(_sentences(F.col("text"))).alias("_at", "_s")).filter(_mentions(F.col("_s"), words))
-        return rows.select("conv_id", F.lit(kind).alias("kind"), "turn", "_at", _bounded(F.col("_s"), size).alias("item"))
-
-    def whole(kind: str, where: Column, size: int) -> DataFrame:
-        rows = turns.filter(where & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-        return rows.select("conv_id", F.lit(kind).alias("kind"), "turn", F.lit(0).alias("_at"), _bounded(F.col("text"), size).alias("item"))
-
-    items = whole("goal", user, 2000).union(picked("constraint", user, CONSTRAINT_TERMS, 800)).union(whole("progress", ~user, 2500))
-    items = items.union(picked("decision", ~user, DECISION_TERMS, 1000)).union(picked("next step", ~user, NEXT_TERMS, 1000))
-    first = items.groupBy("conv_id", "kind", "item").agg(F.min(F.struct("turn", "_at")).alias("_first"))
-    newest = F.row_number().over(_order("conv_id", "kind").orderBy(F.col("_first").desc(), F.col("item").desc()))
-    kept = first.withColumn("_n", newest).filter(F.col("_n") <= most)
-    place = F.row_number().over(_order("conv_id", "kind").orderBy("_first", "item"))
-    return kept.select("conv_id", "kind", place.alias("place"), "item")
+    budget = max(LEAST_BUDGET, budget)
+    user, text = F.col("role") == "user", F.coalesce("text", F.lit(""))
+    whole = lambda kind, size: F.array(F.struct(F.lit(kind).alias("kind"), _bounded(text, size).alias("s")))
+
+    def picked(kind: str, words: tuple[str, ...], size: int) -> Column:
+        return F.transform(F.filter(F.col("_s"), lambda s: _mentions(s, words)), lambda s: F.struct(F.lit(kind).alias("kind"), _bounded(s, size).alias("s")))
+
+    ids = F.transform(F.regexp_extract_all(text, F.lit(ENTRY_ID), F.lit(1)), lambda i: F.struct(F.lit("evidence_entry_ids").alias("kind"), i.alias("s")))
+    said = F.when(user, F.concat(whole("goal", 2000), picked("constraints", CONSTRAINT_TERMS, 800))).otherwise(
+        F.concat(whole("progress", 2500), picked("key_decisions", DECISION_TERMS, 1000), picked("next_steps", NEXT_TERMS, 1000), ids)
+    )
+    rows = turns.withColumn("_s", _sentences(F.col("text"))).select("conv_id", "turn", F.lit(-1).alias("_call"), F.posexplode(said).alias("_at", "_i"))
+    rows = rows.filter("_i.s <> ''").select("conv_id", "turn", "_call", "_at", F.col("_i.kind").alias("kind"), _as_json("_i.s").alias("item"))
+    if calls is not None:
+        made = F.explode(_call_items("turn", "name", "input", "output", "error")).alias("_i")
+        used = calls.select("conv_id", "turn", F.col("position").alias("_call"), made)
+        rows = rows.unionByName(used.select("conv_id", "turn", F.col("_call").cast("int").alias("_call"), F.col("_i.at").alias("_at"), F.col("_i.kind").alias("kind"), F.col("_i.item").alias("item")))
+    first = rows.groupBy("conv_id", "kind", "item").agg(F.min(F.struct("turn", "_call", "_at")).alias("_f"))
+    newest = first.select("conv_id", "kind", "item", *[(-F.col(f"_f.{c}")).alias(f"_{i}") for i, c in enumerate(("turn", "_call", "_at"))], F.octet_length("item").alias("_size"))
+    near = running(newest, ["conv_id", "kind"], ["_0", "_1", "_2", "item"], {"_total": F.col("_size")}, count="_n").filter((F.col("_total") <= budget) | (F.col("_n") == 1))
+    kind = dict(turns.dtypes)["conv_id"]
+
+    def keep(items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values("_n", ascending=False)
+        lists = fit({k: list(g["item"]) for k, g in items.groupby("kind", sort=False)}, budget)
+        out = [(items["conv_id"].iloc[0], k, n, x) for k, v in lists.items() for n, x in enumerate(v, 1)]
+        return pd.DataFrame(out, columns=["conv_id", "kind", "place", "item"])
+
+    return near.select("conv_id", "kind", "item", "_n").groupBy("conv_id").applyInPandas(keep, f"conv_id {kind}, kind string, place int, item string")
+
+
+@F.pandas_udf(StringType())
+def _as_json(text: pd.Series) -> pd.Series:
+    return text.map(_json)
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("at", IntegerType()), StructField("kind", StringType()), StructField("item", StringType())])))
+def _call_items(turn: pd.Series, name: pd.Series, given: pd.Series, got: pd.Series, error: pd.Series) -> pd.Series:
+    rows = zip(turn.tolist(), name, given, got, error)
+    return pd.Series([[{"at": n, "kind": k, "item": x} for n, (k, x) in enumerate(call_items(*r))] for r in rows])
 
 
 def _order(*columns: str):

@@ -131,22 +131,33 @@ def _bounded(column: str, most: int) -> str:
 
 
 _LEAD = "CASE WHEN turn = 0 THEN 'You must answer. ' ELSE 'We decided so. Next: look! ' END || text"
+_EMPTY = '{"version": 1, "goal": [], "constraints": [], "progress": [], "key_decisions": [], "next_steps": [], "critical_context": [], "evidence_entry_ids": [], "evidence": [], "scopes": [], "tool_history": []}'
+_BUDGET = 1200
 _CHECKPOINT = rf"""WITH c AS (SELECT conv_id, turn, role, {_LEAD} AS text FROM conversations),
   l AS (SELECT *, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?。！？；])\s*', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM c),
-  s AS (SELECT conv_id, turn, role, i - 1 AS pos, l[i] AS s FROM l, unnest(range(1, len(l) + 1)) t(i)),
-  i AS (SELECT conv_id, 'goal' AS kind, turn, 0 AS pos, {_bounded("text", 2000)} AS item FROM c WHERE role = 'user'
-    UNION ALL SELECT conv_id, 'progress', turn, 0, {_bounded("text", 2500)} FROM c WHERE role <> 'user'
-    UNION ALL SELECT conv_id, 'constraint', turn, pos, {_bounded("s", 800)} FROM s WHERE role = 'user' AND {_any("s", answers.CONSTRAINT_TERMS)}
-    UNION ALL SELECT conv_id, 'decision', turn, pos, {_bounded("s", 1000)} FROM s WHERE role <> 'user' AND {_any("s", answers.DECISION_TERMS)}
-    UNION ALL SELECT conv_id, 'next step', turn, pos, {_bounded("s", 1000)} FROM s WHERE role <> 'user' AND {_any("s", answers.NEXT_TERMS)}),
-  f AS (SELECT conv_id, kind, item, min((turn, pos)) AS first FROM i GROUP BY ALL),
-  k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY conv_id, kind ORDER BY first DESC, item DESC) <= 3)
-  SELECT conv_id, kind, CAST(row_number() OVER (PARTITION BY conv_id, kind ORDER BY first, item) AS INTEGER) AS place, item FROM k"""
+  s AS (SELECT conv_id, turn, role, i AS pos, l[i] AS s FROM l, unnest(range(1, len(l) + 1)) t(i)),
+  i AS (SELECT conv_id, 'goal' AS kind, 0 AS phase, turn, 0 AS pos, {_bounded("text", 2000)} AS said FROM c WHERE role = 'user'
+    UNION ALL SELECT conv_id, 'progress', 0, turn, 0, {_bounded("text", 2500)} FROM c WHERE role <> 'user'
+    UNION ALL SELECT conv_id, 'constraints', 4, turn, pos, {_bounded("s", 800)} FROM s WHERE role = 'user' AND {_any("s", answers.CONSTRAINT_TERMS)}
+    UNION ALL SELECT conv_id, 'key_decisions', 3, turn, pos, {_bounded("s", 1000)} FROM s WHERE role <> 'user' AND {_any("s", answers.DECISION_TERMS)}
+    UNION ALL SELECT conv_id, 'next_steps', 5, turn, pos, {_bounded("s", 1000)} FROM s WHERE role <> 'user' AND {_any("s", answers.NEXT_TERMS)}),
+  f AS (SELECT conv_id, kind, phase, said, min((turn, pos)) AS first FROM i WHERE said <> '' GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, kind ORDER BY first DESC, said DESC) AS age FROM f),
+  p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE kind WHEN 'progress' THEN CASE age WHEN 1 THEN 8 ELSE 1 END WHEN 'goal' THEN CASE age WHEN 1 THEN 9 ELSE 2 END ELSE phase END, age DESC) AS gone FROM r),
+  d AS (SELECT conv_id, unnest(range(0, count(*) + 1)) AS d FROM p GROUP BY conv_id),
+  own AS (SELECT d.conv_id, d.d, sum(strlen(to_json(said)::VARCHAR) + 2) - 2 * count(DISTINCT kind) AS size FROM d JOIN p ON p.conv_id = d.conv_id AND gone > d GROUP BY ALL),
+  x AS (SELECT DISTINCT ON (d.conv_id, d.d, t) d.conv_id, d.d, CASE WHEN length(said) <= 800 THEN said ELSE rtrim(substring(said, 1, 800)) || '…' END AS t, CASE kind WHEN 'constraints' THEN 1 WHEN 'key_decisions' THEN 2 ELSE 3 END AS o, -age AS age
+    FROM d JOIN p ON p.conv_id = d.conv_id AND gone > d AND kind IN ('constraints', 'key_decisions', 'next_steps') ORDER BY d.conv_id, d.d, t, o, -age),
+  y AS (SELECT *, row_number() OVER (PARTITION BY conv_id, d ORDER BY o DESC, age DESC) AS back FROM x QUALIFY back <= 20),
+  z AS (SELECT conv_id, d, sum(strlen(to_json(t)::VARCHAR) + 2) - 2 AS size FROM y GROUP BY ALL),
+  cut AS (SELECT d.conv_id, coalesce(min(d.d) FILTER (WHERE {len(_EMPTY)} + coalesce(own.size, 0) + coalesce(z.size, 0) <= {_BUDGET}), max(d.d)) AS d FROM d LEFT JOIN own ON own.conv_id = d.conv_id AND own.d = d.d LEFT JOIN z ON z.conv_id = d.conv_id AND z.d = d.d GROUP BY d.conv_id),
+  kept AS (SELECT p.conv_id, kind, CAST(row_number() OVER (PARTITION BY p.conv_id, kind ORDER BY age DESC) AS INTEGER) AS place, to_json(said)::VARCHAR AS item FROM p JOIN cut ON cut.conv_id = p.conv_id AND gone > cut.d)
+  SELECT * FROM kept UNION ALL SELECT y.conv_id, 'critical_context', CAST(row_number() OVER (PARTITION BY y.conv_id ORDER BY back DESC) AS INTEGER), to_json(t)::VARCHAR FROM y JOIN cut ON cut.conv_id = y.conv_id AND cut.d = y.d"""
 
 
 @query("d20_checkpoint", _CHECKPOINT)
 def checkpoint(s: Store) -> DataFrame:
-    return answers.checkpoint_items(s.raw("conversations").select("conv_id", "turn", "role", F.expr(_LEAD).alias("text")), 3)
+    return answers.checkpoint_items(s.raw("conversations").select("conv_id", "turn", "role", F.expr(_LEAD).alias("text")), _BUDGET)
 
 
 _LOGS = "SELECT event_type AS path, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_no, props AS text FROM events"

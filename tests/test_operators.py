@@ -495,3 +495,50 @@ def test_reads_of_segments(spark):
     assert got[16].part == "Two: more\nBETA gamma\nlast beta" and got[17].error == "section not found: third" and got[18].part == "# 第 一章 start\nfin" and got[18].first_line == 9
     assert (got[19].part, got[19].next) == ("e\nalp", 9) and (got[20].part, got[20].total) == ("hree", 11) and (got[50].part, got[50].total, got[50].error) == ("", 0, None)
     assert segments.read_segments(docs, requests.filter("section_id = 's1'")).first().error == "section_id lookup needs a map of sections"
+
+
+def plain_checkpoint(lists, budget):
+    """Drops one item after another and writes the whole checkpoint again each time."""
+    state = {k: list(v) for k, v in answers.CHECKPOINT.items() if k != "version"} | {k: [json.loads(x) for x in v] for k, v in lists.items()}
+
+    def critical():
+        out = []
+        for kind in ("constraints", "key_decisions", "next_steps"):
+            for x in state[kind]:
+                x = x if len(x) <= 800 else x[:800].rstrip() + "…"
+                out += [x] if x not in out else []
+        out += ["Evidence entry IDs: " + ", ".join(state["evidence_entry_ids"])] if state["evidence_entry_ids"] else []
+        return (out + ["Evidence locator: " + json.dumps(e, ensure_ascii=False) for e in state["evidence"]])[-20:]
+
+    while True:
+        state["critical_context"] = critical()
+        if len(json.dumps({"version": 1} | state, ensure_ascii=False).encode()) <= budget:
+            break
+        spare = [k for k in answers.DROP_ORDER if len(state[k]) > (k in ("goal", "progress"))] or [k for k in answers.DROP_ORDER if state[k]]
+        if not spare:
+            break
+        state[spare[0]].pop(0)
+    return {k: v for k, v in state.items() if v}
+
+
+def test_checkpoints_fit_their_budget(spark):
+    said = [(1, t, "user" if t % 2 == 0 else "assistant", f"{'You must keep é ' + str(t % 6) + '. Never mind.' if t % 2 == 0 else 'We decided on plan ' + str(t % 7) + '. Next: do it. See entry_id=abcdef0' + str(t % 4)} {'x' * t}") for t in range(60)]
+    said += [(2, 0, "user", "y" * 3000), (2, 1, "assistant", None), (3, 0, "user", None), (4, 0, "user", "")]
+    calls = [(1, t, 0, "read", json.dumps({"view_id": f"v{t % 3}", "q": "z" * t * 30}), json.dumps({"results": [{"entry_id": "abcdef01", "page": t, "quote": ""}, {"deep": [{"entry_id": "abcdef02", "page": 2}]}], "said": "entry_id=abcdef0123"}), None) for t in range(1, 40, 2)]
+    calls += [(1, 41, 0, None, "not json", None, " broken "), (1, 43, 1, "read", None, "[]", None)]
+    turns = spark.createDataFrame(said, "conv_id int, turn int, role string, text string")
+    calls = spark.createDataFrame(calls, "conv_id int, turn int, position int, name string, input string, output string, error string")
+    read = lambda df: {c: {k: [json.loads(r.item) for r in sorted(g, key=lambda r: r.place)] for k, g in kinds.items()} for c, kinds in grouped(df).items()}
+
+    def grouped(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r.conv_id, {}).setdefault(r.kind, []).append(r)
+        return out
+
+    whole = read(answers.checkpoint_items(turns, 10**7, calls))
+    assert set(whole) == {1, 2} and len(whole[1]) == 10 and len(whole[1]["goal"]) == 30 and len(whole[1]["critical_context"]) == 20
+    assert whole[1]["tool_history"][-2]["error"] == "broken" and whole[1]["scopes"] == [{"view_id": "v1"}, {"view_id": "v0"}, {"view_id": "v2"}] and {"entry_id": "abcdef02", "page": 2} in whole[1]["evidence"]
+    lists = {k: [json.dumps(x, ensure_ascii=False) for x in v] for k, v in whole[1].items() if k != "critical_context"}
+    for budget in (300, 700, 1500, 4000, 9000, 20000):
+        assert read(answers.checkpoint_items(turns, budget, calls))[1] == plain_checkpoint(lists, budget), budget
