@@ -25,6 +25,10 @@ class Store:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of its files; named by a pattern, since a path that is one file can't be a stream's base."""
+        return self.spark.readStream.schema(self.raw(name).schema).parquet(f"{self.sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
     def _sql(self, query: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(query, **frames)
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.binding import Store, with_store
-from quern.operators import documents, graph, lifecycle, logs, store, vectors
+from quern.operators import documents, graph, kept, lifecycle, logs, store, vectors
+from quern.operators.components import connected_components
+from quern.plans.lineage import fresh_dir
 from quern.queries import query
-from quern.streaming import windows
+from quern.streaming import leases, ledger, windows
 
 
 @query("m02_cocitation", "WITH c AS (SELECT DISTINCT user_id AS id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, CAST(json_extract(props, '$.k') AS INT) AS e FROM events) SELECT CAST(x.e AS VARCHAR) AS a, CAST(y.e AS VARCHAR) AS b, CAST(count(*) AS BIGINT) AS observation_count FROM c x JOIN c y ON x.id = y.id AND x.day = y.day AND CAST(x.e AS VARCHAR) < CAST(y.e AS VARCHAR) GROUP BY ALL HAVING count(*) >= 2")
@@ -96,3 +98,68 @@ def collapse_hits(s: Store) -> DataFrame:
 @query("st4_first_in_slot", "SELECT DISTINCT event_type, CAST(floor(epoch(ts) / 600) AS BIGINT) AS slot FROM events")
 def first_in_slot(s: Store) -> DataFrame:
     return windows.first_in_slot(s.raw("events"))
+
+
+@query("st5_ledger", "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS cursor FROM events")
+def event_ledger(s: Store) -> DataFrame:
+    """The stream of all events, run to its end into a ledger."""
+    folder = fresh_dir(s.spark, "ledger")
+    events = s.stream("events").select("event_id", "user_id", "ts")
+    ledger.start(events, folder, f"{folder}/marks", "user_id", ["ts", "event_id"]).awaitTermination()
+    return ledger.read(s.spark, folder).select("event_id", "user_id", "cursor")
+
+
+@query(
+    "st6_leases",
+    """WITH m AS (SELECT max(o_orderdate) - INTERVAL 1 HOUR AS now FROM orders), t AS (SELECT o_orderkey AS task_id, o_orderkey % 5 AS attempts, o_orderdate + to_days(CAST(o_orderkey % 7 AS INT)) + INTERVAL 10 SECOND AS ended_at FROM orders WHERE o_orderstatus <> 'F')
+  SELECT task_id, CASE WHEN attempts >= 3 THEN 'dead' ELSE 'pending' END AS status, ended_at FROM t, m WHERE ended_at < m.now""",
+)
+def stream_of_leases(s: Store) -> DataFrame:
+    """The stream of all tasks' claims, run to its end: those whose lease ran out before the watermark."""
+    folder = fresh_dir(s.spark, "leases")
+    claims = s.stream("orders").select(
+        F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").alias("ts"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("running").alias("status"), (F.col("o_orderkey") % 5).alias("attempts"),
+        F.expr("timestampadd(DAY, CAST(o_orderkey % 7 AS INT), o_orderdate)").alias("lease_until"),
+    )
+    told = leases.expired(claims)
+    told.writeStream.format("parquet").option("path", f"{folder}/told").option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start().awaitTermination()
+    return s.spark.read.schema(told.schema).parquet(f"{folder}/told").select("task_id", "status", F.col("at").cast("timestamp_ntz").alias("ended_at"))
+
+
+_CHAINS = """WITH k AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 5 <> 2), n AS (SELECT k AS node FROM k UNION SELECT k + 1 FROM k),
+    f AS (SELECT node, CASE WHEN node - 1 NOT IN (SELECT k FROM k) THEN node END AS first FROM n) SELECT node, max(first) OVER (ORDER BY node) AS component FROM f"""
+
+
+@query("g06b_components_kept", _CHAINS)
+def components_kept(s: Store) -> DataFrame:
+    """Links of customers in three batches: most of them, then some new ones while others go, then the rest."""
+    orders = s.raw("orders").select((F.col("o_orderkey") % 5).alias("r"), F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1).alias("b"))
+    edges = lambda *r: orders.filter(F.col("r").isin(*r)).select("a", "b").distinct()
+    labels = connected_components(edges(0, 2))
+    gone = edges(2).join(edges(0, 1), ["a", "b"], "left_anti")
+    labels = kept.update_components(labels, edges(0, 1), edges(1), gone)
+    return kept.update_components(labels, edges(0, 1, 3, 4), edges(3, 4))
+
+
+@query("j14b_state_as_of", with_store("SELECT entry_id, CASE WHEN entry_id % 5 = 1 THEN 'demoted' WHEN entry_id % 3 = 1 THEN 'archived' ELSE lifecycle END AS lifecycle FROM entries WHERE entry_id % 7 <> 2", "entries"))
+def state_as_of(s: Store) -> DataFrame:
+    """Three versions of changes over all entries; the second takes a seventh out, a fourth isn't asked for."""
+    base = s.entries.select("entry_id", "lifecycle")
+    change = lambda where, to, version, deleted=False: base.filter(where).select("entry_id", F.lit(to).alias("lifecycle"), F.lit(version).alias("version"), F.lit(deleted).alias("deleted"))
+    log = change("entry_id % 3 = 1", "archived", 1).union(change("entry_id % 7 = 2", None, 2, True)).union(change("entry_id % 5 = 1 AND entry_id % 7 <> 2", "demoted", 3)).union(change("entry_id % 2 = 0", "lost", 4))
+    return kept.as_of(base, log, "entry_id", 3)
+
+
+@query("a27b_merged_summaries", "SELECT date_trunc('month', ts) AS start, event_type, count(*) AS n, min(ts) AS first, max(ts) AS last, true AS users_near, true AS median_near FROM events GROUP BY ALL")
+def merged_summaries(s: Store) -> DataFrame:
+    """Months from sketches of hours; the estimates are held against exact counts and ranks over all events."""
+    events = s.raw("events")
+    months = kept.told(kept.merged(kept.merged(kept.summaries(events), "day"), "month"))
+    month = F.date_trunc("month", "ts").cast("timestamp_ntz")
+    said = months.select(F.col("start").alias("_s"), F.col("event_type").alias("_e"), "p50")
+    exact = events.join(said, (month == F.col("_s")) & (F.col("event_type") == F.col("_e"))).groupBy(month.alias("start"), "event_type").agg(
+        F.countDistinct("user_id").alias("_users"), F.avg((F.col("value") < F.col("p50")).cast("int")).alias("_below"), F.avg((F.col("value") <= F.col("p50")).cast("int")).alias("_upto")
+    )
+    rows = months.join(exact, ["start", "event_type"])
+    near = F.abs(F.col("users") - F.col("_users")) <= F.greatest(F.lit(1.0), 0.06 * F.col("_users"))
+    return rows.select("start", "event_type", "n", "first", "last", near.alias("users_near"), ((F.col("_below") <= 0.52) & (F.col("_upto") >= 0.48)).alias("median_near"))
