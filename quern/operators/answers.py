@@ -64,12 +64,14 @@ def tag_seed(value: Column) -> Column:
 def resolve_labels(pages: DataFrame, asked: DataFrame) -> DataFrame:
     """ask_id and page: the only page of the document with the label asked for, else the page of that number, else null.
 
-    `pages` has doc_id, page (from 1) and label; `asked` has ask_id, doc_id and value, whose first number counts.
+    `pages` has doc_id, page (from 1) and label; `asked` has ask_id, doc_id and value: a number, which must be positive, or a
+    text, whose first number counts.
     """
     label = F.lower(F.trim(F.col("label")))
     named = pages.groupBy("doc_id", label.alias("_l")).agg(F.count(F.lit(1)).alias("_n"), F.min("page").alias("_page")).filter("_n = 1").select("doc_id", "_l", "_page")
     total = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_total"))
-    number = F.regexp_extract(F.col("value").cast("string"), r"\d+", 0).try_cast("long")
+    is_text = dict(asked.dtypes)["value"] == "string"
+    number = F.regexp_extract("value", r"\d+", 0).try_cast("long") if is_text else F.col("value").cast("long")
     rows = asked.withColumn("_number", F.when(number > 0, number)).withColumn("_l", F.col("_number").cast("string"))
     rows = rows.join(named, ["doc_id", "_l"], "left").join(total, "doc_id", "left")
     ordinal = F.when(F.col("_number") <= F.col("_total"), F.col("_number"))

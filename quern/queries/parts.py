@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quern.binding import Store, with_store
 from quern.functions.text import recall_weight
 from quern.operators import documents as parts
-from quern.operators import graph, lifecycle, store
+from quern.operators import graph, lifecycle, repository, store
 from quern.queries import query
+from quern.sources import readers
 
 
 @query("d01_lines", "SELECT doc_id, CAST(i AS BIGINT) AS line_no, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i) WHERE length(text) > 0")
@@ -192,3 +193,35 @@ def restructured(s: Store) -> DataFrame:
     ops = ops.union(f.filter("id = 'n3'").select(F.lit(3), F.lit("delete"), "id", F.lit("r1")))
     entries = f.select(F.col("id").alias("entry_id"), F.col("parent_id").alias("catalog_id"))
     return store.restructure(f, entries, ops)[0]
+
+
+#: A format whose logs are told by name before their general type, one by types, and one for the rest.
+_FORMATS = (
+    readers.Format("text", mimes=("text/plain",), mime_starts=("text/",), extensions=(".txt", ".md")), readers.Format("log", extensions=(".log",), patterns=(r"\.log[.-]\d+$",), by_name_first=True),
+    readers.Format("table", mimes=("text/csv",), extensions=(".csv", ".tsv")), readers.Format("backup", patterns=(r"~$",)), readers.Format("other", fallback=True),
+)
+_NAMED = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/csv' WHEN 2 THEN 'text/x-note' WHEN 3 THEN 'application/pdf' END AS mime, CASE doc_id % 6 WHEN 0 THEN '.LOG' WHEN 1 THEN 'csv' WHEN 2 THEN '.md' WHEN 3 THEN '' END AS ext,
+  concat('File', doc_id, CASE doc_id % 7 WHEN 0 THEN '.log.3' WHEN 1 THEN '.old~' ELSE '' END) AS name FROM {t}"""
+
+
+@query(
+    "src20_formats",
+    f"""WITH n AS ({_NAMED.format(t="documents")}) SELECT doc_id, CASE WHEN lower(ext) = '.log' THEN 'log' WHEN name LIKE '%.log.3' THEN 'log' WHEN mime = 'text/plain' THEN 'text' WHEN mime = 'text/csv' THEN 'table' WHEN mime LIKE 'text/%' THEN 'text'
+  WHEN ext = '.md' THEN 'text' WHEN ext = 'csv' THEN 'table' WHEN name LIKE '%~' THEN 'backup' ELSE 'other' END AS format FROM n""",
+)
+def formats(s: Store) -> DataFrame:
+    rows = s.spark.sql(_NAMED.format(t="{t}"), t=s.raw("documents"))
+    return rows.select("doc_id", readers.resolve_format(F.col("mime"), F.col("ext"), F.col("name"), _FORMATS).alias("format"))
+
+
+@query("j03_vet_candidates", with_store("SELECT a || '-' || b AS id, observation_count FROM edges WHERE (a + b) % 3 <> 0 AND observation_count >= 2 AND a NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) AND b NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) ORDER BY observation_count DESC, id LIMIT 50", "edges"))
+def vet_candidates(s: Store) -> DataFrame:
+    """Relations of suppliers that no one has judged; suppliers of one nation are deleted."""
+    relations = s.edges.select(F.concat_ws("-", "a", "b").alias("id"), F.col("a").alias("entry_a_id"), F.col("b").alias("entry_b_id"), "observation_count", F.when((F.col("a") + F.col("b")) % 3 == 0, F.lit(True)).alias("vetted"))
+    entries = s.raw("supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") == 3, F.lit("gone")).alias("deleted_at"))
+    return repository.vet_candidates(relations, entries, 2, 50).select("id", "observation_count")
+
+
+@query("a26_oldest", "SELECT min(ts) AS oldest FROM events")
+def oldest(s: Store) -> DataFrame:
+    return repository.oldest(s.raw("events"), "ts")

@@ -355,13 +355,11 @@ def _lexical(s: Store, k: int, rank: str) -> DataFrame:
 
 def _merged(s: Store) -> DataFrame:
     items = s.raw("benchmark").select(F.col("item_id").alias("query_id"))
-    asked = s.raw("embeddings").join(items, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query"))
-    semantic = vectors.search(_records(s), asked, 30).withColumnRenamed("rank", "semantic_rank")
     # a document's tag score is its own, so a source's best are found before queries meet them
     longest = F.row_number().over(W.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))
     tagged = s.raw("documents").select("doc_id", "source", longest.alias("tag_rank")).filter("tag_rank <= 30").select(F.col("doc_id").alias("entry_id"), "source", "tag_rank")
     tagged = tagged.join(items.withColumn("source", F.concat(F.lit("src"), F.col("query_id") % 20)), "source").select("query_id", "entry_id", "tag_rank")
-    return retrieval.scored(retrieval.merge(tagged, _lexical(s, 30, "lexical_rank"), semantic))
+    return retrieval.scored(retrieval.merge(tagged, _lexical(s, 30, "lexical_rank"), _semantic(s)))
 
 
 def _evidence(s: Store) -> DataFrame:
@@ -461,6 +459,50 @@ _ABLATION += """), rel AS (SELECT query_id, count(*) AS relevant, list_sum(list_
   SELECT s.*, """ + ", ".join(f"round(s.{m} - b.{m}, 6) AS {m}_delta" for m in ("hit_at_k", "recall_at_k", "ndcg_at_k", "mrr")) + " FROM sm s JOIN sm b ON b.position = 0"
 
 
+#: The same recall without tags.
+_EVAL = _MERGED.replace("SELECT query_id, entry_id, r AS t, NULL AS x, NULL AS s FROM tx UNION ALL SELECT query_id, entry_id, NULL, r, NULL FROM lx", "SELECT query_id, entry_id, CAST(NULL AS INTEGER) AS t, r AS x, CAST(NULL AS INTEGER) AS s FROM lx")
+
+
+def _semantic(s: Store) -> DataFrame:
+    items = s.raw("benchmark").select(F.col("item_id").alias("query_id"))
+    asked = s.raw("embeddings").join(items, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("query"))
+    return vectors.search(_records(s), asked, 30).withColumnRenamed("rank", "semantic_rank")
+
+
+def _recalled(s: Store) -> DataFrame:
+    """What evaluation recalls: words and vectors, without tags."""
+    return retrieval.scored(retrieval.merge(_lexical(s, 30, "lexical_rank"), _semantic(s)))
+
+
+@query(
+    "e05_retrievers",
+    _EVAL + " SELECT 'lexical' AS retriever, query_id, entry_id, CAST(x AS INTEGER) AS place FROM u WHERE x <= 10 UNION ALL SELECT 'semantic', query_id, entry_id, CAST(s AS INTEGER) FROM u WHERE s <= 10 UNION ALL SELECT 'recall', query_id, entry_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS INTEGER) AS place FROM sc QUALIFY place <= 10",
+)
+def retrievers(s: Store) -> DataFrame:
+    """The same queries by words, by vectors, and by both."""
+    merged = written(_recalled(s))
+    runs = {r: merged.filter(F.col(f"{r}_rank") <= 10).select("query_id", "entry_id", F.col(f"{r}_rank").alias("place")) for r in ("lexical", "semantic")}
+    runs["recall"] = retrieval.ranked(merged, 10, "place")
+    rows = [r.select(F.lit(n).alias("retriever"), "query_id", "entry_id", "place") for n, r in runs.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("e06_batched_recall", _EVAL + " SELECT query_id, entry_id, lexical_rank, semantic_rank, bucket, CAST(score AS DOUBLE) AS score FROM sc")
+def batched_recall(s: Store) -> DataFrame:
+    return _recalled(s).select("query_id", "entry_id", "lexical_rank", "semantic_rank", "bucket", "score")
+
+
+@query(
+    "e07_eval_quotas",
+    _EVAL
+    + """, qt AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY score DESC, rrf DESC, entry_id) AS rn FROM sc),
+  gr AS (SELECT *, CASE WHEN bucket = 'overlap' AND rn <= 4 THEN 0 WHEN bucket = 'lexical' AND rn <= 4 THEN 1 WHEN bucket = 'semantic' AND rn <= 2 THEN 2 ELSE 3 END AS g FROM qt)
+  SELECT query_id, entry_id, bucket, CAST(row_number() OVER (PARTITION BY query_id ORDER BY g, score DESC, rrf DESC, entry_id) AS INTEGER) AS place FROM gr QUALIFY place <= 10""",
+)
+def eval_quotas(s: Store) -> DataFrame:
+    return retrieval.select_evidence(_recalled(s), 10, retrieval.EVAL_QUOTAS).select("query_id", "entry_id", "bucket", "place")
+
+
 @query("e08_ablation", _ABLATION)
 def ablation(s: Store) -> DataFrame:
     merged = written(_merged(s))  # four configurations read it

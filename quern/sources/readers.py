@@ -6,10 +6,11 @@ import gzip
 import io
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -186,3 +187,46 @@ def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
 def read_snapshot(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     """A table of a snapshot; a malformed line fails the read."""
     return spark.read.schema(schema).json(f"{path}/{name}", mode="FAILFAST")
+
+
+@dataclass(frozen=True)
+class Format:
+    """How files of one format are told: by MIME type, its start, extension, or patterns of whole names.
+
+    `by_name_first`: extensions and patterns go before any MIME type, as for formats whose usual type is a general one.
+    """
+
+    name: str
+    mimes: tuple[str, ...] = ()
+    mime_starts: tuple[str, ...] = ()
+    extensions: tuple[str, ...] = ()
+    patterns: tuple[str, ...] = ()
+    by_name_first: bool = False
+    fallback: bool = False
+
+
+def resolve_format(mime: Column, extension: Column, name: Column, formats: Sequence[Format]) -> Column:
+    """The name of the first format that takes a file, in seven steps: names that go first (extensions, then patterns), the MIME
+    type, its start, extensions, patterns, and the fallback. Extensions may lack their dot; nulls are empty."""
+    mime, name = F.coalesce(mime, F.lit("")), F.lower(F.coalesce(name, F.lit("")))
+    bare = F.lower(F.coalesce(extension, F.lit("")))
+    extension = F.when((bare == "") | bare.startswith("."), bare).otherwise(F.concat(F.lit("."), bare))
+    fits_extension = lambda f: (extension != "") & extension.isin(*[e.lower() for e in f.extensions])
+
+    def fits_pattern(f: Format) -> Column:
+        found = F.lit(False)
+        for p in f.patterns:
+            found = found | name.rlike(p)
+        return (name != "") & found
+
+    def fits_start(f: Format) -> Column:
+        found = F.lit(False)
+        for p in f.mime_starts:
+            found = found | mime.startswith(p)
+        return found
+
+    steps = [
+        (lambda f: f.by_name_first and f.extensions, fits_extension), (lambda f: f.by_name_first and f.patterns, fits_pattern), (lambda f: f.mimes, lambda f: (mime != "") & mime.isin(*f.mimes)), (lambda f: f.mime_starts, fits_start),
+        (lambda f: f.extensions, fits_extension), (lambda f: f.patterns, fits_pattern), (lambda f: f.fallback, lambda f: F.lit(True)),
+    ]
+    return F.coalesce(*[F.when(fits(f), F.lit(f.name)) for takes, fits in steps for f in formats if takes(f)], F.lit(None).cast("string"))
