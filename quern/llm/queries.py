@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.llm import alignment, chat, collocations, language_model, licenses, mixing, packing, quality_classifier, quality_rules, repeats, sharding, simhash, topk
 from quern.llm.text import held_out
 from quern.plans.columns import pick
+from quern.plans.lineage import fresh_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Byte-level ids, which are decoded to exactly the text they are of.
@@ -73,7 +74,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sharded = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), SHARDS, ["doc_id", "text"])
+    """Writes the shards to the shared folder and tells what is in them."""
+    folder = fresh_dir(spark, "shards")
+    placed = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), SHARDS, ["doc_id", "text"])
+    sharding.write_shards(placed, folder)
+    sharded = sharding.read_shards(spark, folder, placed.schema)
     text = F.coalesce(F.col("text"), F.lit(""))
     return sharded.select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

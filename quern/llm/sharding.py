@@ -15,8 +15,9 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.plans.prefix import running_total
 from quern.plans.rows import numbered
@@ -76,6 +77,14 @@ def place_in_shards(at: str, rows: int, shards: int):
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Writes one folder per shard, in slot order within each."""
-    per_shard = sharded.repartition("shard").sortWithinPartitions("shard", "slot")
-    per_shard.write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Writes a folder for each shard, with a file of every task that has rows of it, in slot order.
+
+    A bucket's places follow one another, so it is in one shard or in neighbouring ones, and a task writes what its own
+    buckets hold: no task gathers a shard, and records aren't moved again.
+    """
+    sharded.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What `write_shards` wrote of a table with `schema`; slots tell the order in a shard. No records are no rows."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)

@@ -298,6 +298,18 @@ def test_sharding(spark):
         sharding.shuffle_into_shards(docs, 4, ["shard"])
 
 
+def test_written_shards_are_read_back(spark, tmp_path):
+    docs = odd_docs(spark).select("doc_id", "text")
+    placed = sharding.shuffle_into_shards(docs, 3, ["doc_id", "text"], bucket_bytes=500)
+    sharding.write_shards(placed, str(tmp_path / "s"))
+    back = sharding.read_shards(spark, str(tmp_path / "s"), placed.schema)
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "text", "shard", "slot").collect()), key=str)
+    assert rows(back) == rows(placed) and back.schema == placed.schema
+    none = sharding.shuffle_into_shards(empty(spark), 3, ["doc_id", "text"])
+    sharding.write_shards(none, str(tmp_path / "e"))
+    assert sharding.read_shards(spark, str(tmp_path / "e"), none.schema).count() == 0
+
+
 def test_shards_are_written_and_mixed(spark, tmp_path):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     out = sharding.shuffle_into_shards(df, 7, ["doc_id"], bucket_bytes=300)
