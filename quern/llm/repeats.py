@@ -310,7 +310,8 @@ def _flags(items: DataFrame, depth: int, span: int) -> DataFrame:
     first = F.min(F.struct(*_at(), *[c for c in _ITEM[2:] if c not in _at()])).alias("_f")
     distinct = written(halves.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), first).select("g", "c", "n", "_f.*"))
     found = _flags(distinct.select(*_ITEM), depth, span // 2)
-    known = distinct.select("g", "c", "n", *[F.col(k).alias(f"f{k}") for k in _at()]).join(found, ["g", "c"], "left")
+    # written, so that the join below is one that Spark can split at a hot context
+    known = written(distinct.select("g", "c", "n", *[F.col(k).alias(f"f{k}") for k in _at()]).join(found, ["g", "c"], "left"))
     is_first = (F.col("_row") == F.col("f_row")) & (F.col("start") == F.col("fstart"))
     rows = halves.select("parent_g", "parent_c", "half", "g", "c", "windows", *_at()).join(known, ["g", "c"])
     return small.union(_both_halves(rows.withColumn("is_first", is_first)))
@@ -349,9 +350,10 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     items = written(_letters(rows, wanted, length, seed))
     flags = _flags(items, depth, depth).withColumnsRenamed({"g": "seed", "c": "context"})
     known = contexts.select("seed", "context", "n", *[F.col(k).alias(f"f{k}") for k in _at()]).join(flags, ["seed", "context"], "left")
+    known = written(known.filter("n > 1 OR earlier IS NOT NULL"))
     is_first = (F.col("_row") == F.col("f_row")) & (F.col("start") == F.col("fstart"))
     met = found.select("seed", "context", "_row", "start", "windows", "copies").join(known, ["seed", "context"])
-    return met.select("_row", "start", "windows", "copies", "n", is_first.alias("is_first"), "earlier", "other").filter("n > 1 OR earlier IS NOT NULL")
+    return met.select("_row", "start", "windows", "copies", "n", is_first.alias("is_first"), "earlier", "other")
 
 
 def covered(contexts: list[dict], kind: str, length: int) -> list[tuple[int, int]]:
