@@ -129,12 +129,27 @@ def test_near_copies_go(spark, monkeypatch):
     classes = near_pairs(listed)
     want = sorted({listed[i].doc_id for i in classes.values()})
     assert len(want) < len(texts) - 60
-    for cell in (512, 6):
+    for cell, stars in ((512, 4), (6, 4), (6, 1), (2, 2)):
         monkeypatch.setattr(corpus_pipeline.near_copies, "CELL", cell)
+        monkeypatch.setattr(corpus_pipeline.near_copies, "STARS", stars)
         assert sorted(x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()) == want
     assert corpus_pipeline.drop_near_duplicates(spark, rows.limit(0), "").count() == 0
 
 
+def test_texts_of_a_hot_key_move_once_a_star(spark):
+    near_copies = corpus_pipeline.near_copies
+    group = spark.range(20_000).select(F.explode(F.array(F.lit(7), F.lit(9))).alias("key"), F.col("id").alias("node"))
+    group = group.filter("key = 7 OR node <> 3")
+    cells = near_copies.spoke_cells(group)
+    assert cells.filter("node > 0").groupBy("node").count().agg(F.max("count")).first()[0] == 1
+    assert cells.groupBy("star", "part").count().agg(F.max("count")).first()[0] <= 2 * near_copies.CELL
+    # 100 members stay apart, all in the ring next to the class: each member of the class moves once more
+    tagged = group.filter("key = 7").select("key", "node", (F.col("node") % 200 == 7).cast("int").alias("ring"), (F.col("node") % 200 == 7).alias("apart"))
+    bridges = near_copies.bridge_cells(tagged)
+    assert bridges.filter("NOT apart").groupBy("node").count().agg(F.max("count")).first()[0] == 1
+    assert near_copies.bridge_cells(tagged.withColumn("ring", F.col("ring") * 2)).count() == 0
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
