@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.binding import Store, with_store
-from quern.operators import documents, graph, kept, lifecycle, logs, store, vectors
+from quern.operators import documents, graph, kept, lifecycle, logs, store, vector_table, vectors
 from quern.operators.components import connected_components
 from quern.plans.lineage import fresh_dir
 from quern.queries import query
@@ -62,6 +62,19 @@ def refresh(s: Store) -> DataFrame:
     return kept.select("entry_id", F.lit(True).alias("reused")).union(new.select("entry_id", F.lit(False)))
 
 
+@query("vs05b_kept_vectors", "SELECT doc_id AS entry_id, sha256(coalesce(text, '')) AS text_hash, CAST(length(coalesce(text, '')) AS DOUBLE) AS size FROM documents")
+def kept_vectors(s: Store) -> DataFrame:
+    """A table of all documents in three states: other texts, without a fifth, and as given; its vectors are a text's length."""
+    docs = s.raw("documents").select((F.col("doc_id") % 97).alias("file_id"), F.col("doc_id").alias("entry_id"), F.lit(None).cast("string").alias("section_id"), F.coalesce("text", F.lit("")).alias("text"))
+    hashed = lambda rows: rows.withColumn("text_hash", F.sha2("text", 256))
+    embed = lambda rows: rows.withColumn("vector", F.array(F.length("text").cast("double")))
+    folder = fresh_dir(s.spark, "vectors")
+    vector_table.build(hashed(docs.withColumn("text", F.when(F.col("file_id") < 9, F.concat(F.lit("old "), "text")).otherwise(F.col("text")))), embed, folder, 16)
+    vector_table.refresh(hashed(docs.filter("entry_id % 5 <> 1")), embed, folder, 16)
+    vector_table.refresh(hashed(docs), embed, folder, 16)
+    return vector_table.read(s.spark, folder).select("entry_id", "text_hash", F.col("vector")[0].alias("size"))
+
+
 @query("m16_refresh_candidates", with_store("SELECT entry_id, CAST(count(*) AS BIGINT) AS n FROM mentions GROUP BY entry_id HAVING count(*) >= 3 ORDER BY n DESC, entry_id LIMIT 20", "mentions"))
 def refresh_candidates(s: Store) -> DataFrame:
     return s.mentions.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").orderBy(F.col("n").desc(), "entry_id").limit(20)
