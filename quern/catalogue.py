@@ -12,6 +12,7 @@ from quern.queries import answers as _answers  # noqa: F401  registers
 from quern.queries import metadata as _metadata  # noqa: F401  registers
 from quern.queries import more as _more  # noqa: F401  registers
 from quern.queries import parts as _parts  # noqa: F401  registers
+from quern.queries import reading as _reading  # noqa: F401  registers
 from quern.queries import relations as _relations  # noqa: F401  registers
 
 

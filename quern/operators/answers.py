@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from quern.functions.text import FACET_WEIGHTS, RANK_STOP_WORDS
-from quern.operators.documents import plain
+from quern.functions.text import FACET_WEIGHTS, RANK_STOP_WORDS, plain_summary
+from quern.operators.documents import chunks, plain
+from quern.operators.members import split_lines
 from quern.plans.lineage import cut
 from quern.plans.ordered import running
 
@@ -295,6 +296,47 @@ def indexed_lines(lines: DataFrame, most_lines: int = LOG_LINES) -> DataFrame:
     return lines.filter(F.col("line_no") <= most_lines).select("path", "line_no", F.concat(F.lit("L"), "line_no", F.lit(": "), "text").alias("view"))
 
 
+#: Words that name a topic where no model reads a text, and what a search result tells of coverage.
+PLAIN_TOPICS = ("release", "rollback", "security", "support", "deploy", "incident")
+COVERAGE_KEYS = (
+    "unit", "total_pages", "indexed_pages", "total_units", "indexed_units", "total_bytes", "indexed_bytes", "total_chars", "indexed_chars", "total_lines", "indexed_lines", "total_rows", "indexed_rows",
+    "indexed_partial", "partial_reasons", "source_mode", "max_index_pages", "max_index_bytes", "max_index_chars", "max_rows_per_sheet", "max_sample_lines", "sampled", "chunked", "chunk_count",
+    "text_truncated", "truncated_chunks", "ocr_used", "ocr_pages_done",
+)
+
+
+def compact_coverage(description: Column) -> Column:
+    """The known keys of a JSON description's coverage as JSON, values as they are; null where there are none, or no object."""
+    found = F.try_parse_json(description)
+    value = lambda k: F.to_json(F.try_variant_get(found, f"$.coverage.{k}", "variant"))
+    parts = F.array_compact(F.array(*[F.concat(F.lit(f'"{k}":'), value(k)) for k in COVERAGE_KEYS]))
+    return F.when(F.size(parts) > 0, F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
+
+
+def plain_index(docs: DataFrame, single: int = 12_000, chunk: int = 50_000) -> DataFrame:
+    """What is indexed of a document where no model reads it: doc_id, summary, tags, anchor, chunk_count and chunked.
+
+    `docs` has doc_id, text (null: empty), kind, and the strings name, mime and ext (null: none). Topics are looked for in these and
+    the text's first 4000 characters; the kind is the form, else `document`; equal tags stand once. The one section is the
+    whole document, at lines 1 to the last. Only texts of over `single` characters are chunked.
+    """
+    text = F.coalesce("text", F.lit(""))
+    source = F.lower(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("name", "mime", "ext", "kind")], F.nullif(F.substring(text, 1, 4000), F.lit(""))))
+    tag = lambda facet, name: F.struct(F.lit(facet).alias("facet"), name.alias("name"))
+    kind = F.nullif(F.coalesce("kind", F.lit("")), F.lit(""))
+    topics = F.array_compact(F.array(*[F.when(F.contains(source, F.lit(w)), tag("topic", F.lit(w))) for w in PLAIN_TOPICS]))
+    forms = F.when(kind.isNotNull(), F.array(tag("form", kind))).otherwise(F.when(F.size(topics) == 0, F.array(tag("form", F.lit("document")))).otherwise(F.slice(F.array(tag("form", F.lit(""))), 1, 0)))
+    long = docs.filter(F.length("text") > single)
+    counts = chunks(long.select("doc_id", F.array_join(split_lines(F.col("text")), "\n").alias("text")), chunk).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    summary = plain_summary(F.col("text"))
+    rows = docs.join(counts.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    count = F.coalesce("_n", F.lit(1)).cast("int")
+    return rows.select(
+        "doc_id", F.when(F.coalesce(summary, F.lit("")) != "", summary).otherwise(F.concat(F.lit("No "), F.coalesce("kind", F.lit("")), F.lit(" content extracted."))).alias("summary"),
+        F.concat(topics, forms).alias("tags"), F.concat(F.lit("1-"), F.greatest(F.size(split_lines(text)), F.lit(1))).alias("anchor"), count.alias("chunk_count"), (count > 1).alias("chunked"),
+    )
+
+
 def normal_sections(sections: DataFrame, unit: str = "lines", most: int = 200) -> DataFrame:
     """The first sections of each document with defaults: a title by number, an id s1, s2, ..., an anchor at the title.
 

@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from quern.operators.members import shell_regex
+
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*$"
 
 
@@ -179,17 +181,8 @@ def delimiter(text: Column) -> Column:
 
 
 def matches_glob(path: Column, pattern: str) -> Column:
-    """Shell pattern over a path: `*` stays inside a folder, `**` doesn't."""
-    regex, i = "", 0
-    while i < len(pattern):
-        if pattern.startswith("**/", i):
-            regex, i = regex + "(?:.*/)?", i + 3
-        elif pattern.startswith("**", i):
-            regex, i = regex + ".*", i + 2
-        else:
-            regex += {"*": "[^/]*", "?": "[^/]"}.get(pattern[i], re.escape(pattern[i]))
-            i += 1
-    return path.rlike(f"^{regex}$")
+    """Shell pattern over a whole path; `*` and `**` also pass folders."""
+    return path.rlike(shell_regex(pattern))
 
 
 def listable(path: Column) -> Column:

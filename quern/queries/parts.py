@@ -82,7 +82,7 @@ def token_bound(s: Store) -> DataFrame:
     return s.raw("documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query("f24_glob", "SELECT page_id FROM pages WHERE regexp_full_match(url, 'http://[^/]*/(?:.*/)?[0-9]*[^/]*ref=[^/]*')")
+@query("f24_glob", "SELECT page_id FROM pages WHERE regexp_full_match(url, 'http://.*/.*/.*ref=.*', 's')")
 def glob(s: Store) -> DataFrame:
     return s.raw("pages").filter(parts.matches_glob(F.col("url"), "http://*/**/*ref=*")).select("page_id")
 

@@ -75,20 +75,21 @@ def adjacency(s: Store) -> DataFrame:
     return graph.adjacency(s.edges)
 
 
-_WALK = (
-    with_store("", "edges").rstrip()
-    + """, both_ways AS (SELECT a AS src, b AS dst, observation_count AS w FROM edges UNION ALL SELECT b, a, observation_count FROM edges),
-  moves AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM both_ways),
-  seeds AS (SELECT DISTINCT src AS seed FROM both_ways WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7)), p0 AS (SELECT seed, seed AS node, 1.0 AS p FROM seeds)"""
-    + "".join(
+def walk_sql(edges: str, seeds: str) -> str:
+    """Common tables up to `v` (seed, node, visits): six steps of expected walks over `edges` (a, b, observation_count)."""
+    steps = "".join(
         f""", m{i} AS (SELECT seed, dst AS node, sum(p * share * 0.85) AS p FROM p{i - 1} JOIN moves ON node = src GROUP BY seed, dst),
   p{i} AS (SELECT seed, node, sum(p) AS p FROM (SELECT * FROM m{i} UNION ALL SELECT s.seed, s.seed, 1 - coalesce((SELECT sum(p) FROM m{i} m WHERE m.seed = s.seed), 0) FROM seeds s) GROUP BY seed, node)"""
         for i in range(1, 7)
     )
-    + ", v AS (SELECT seed, node, sum(p) AS visits FROM ("
-    + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, 7))
-    + ") WHERE node <> seed GROUP BY seed, node) SELECT seed, node, round(visits, 6) AS visits, round(visits / sum(visits) OVER (PARTITION BY seed), 6) AS score FROM v"
-)
+    return f""", both_ways AS (SELECT a AS src, b AS dst, observation_count AS w FROM {edges} UNION ALL SELECT b, a, observation_count FROM {edges}),
+  moves AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM both_ways),
+  seeds AS ({seeds}), p0 AS (SELECT seed, seed AS node, 1.0 AS p FROM seeds){steps},
+  v AS (SELECT seed, node, sum(p) AS visits FROM ({" UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, 7))}) WHERE node <> seed GROUP BY seed, node)"""
+
+
+_WALK = with_store("", "edges").rstrip() + walk_sql("edges", "SELECT DISTINCT src AS seed FROM both_ways WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7)")
+_WALK += " SELECT seed, node, round(visits, 6) AS visits, round(visits / sum(visits) OVER (PARTITION BY seed), 6) AS score FROM v"
 
 
 @query("g02_expected_walk", _WALK)

@@ -407,7 +407,7 @@ def test_document_parts(spark):
     tables = spark.createDataFrame([("a;b\n1;2\n",), ("a,b;c\n1,2;3",), ("plain text",), (None,)], "t string")
     assert [r[0] for r in tables.select(parts.delimiter(F.col("t"))).collect()] == [";", ";", None, None]
     paths = spark.createDataFrame([("a/b/c.py",), ("a/c.py",), ("../x",), (".git/config",), ("/etc/p",)], "p string")
-    assert [r[0] for r in paths.select(parts.matches_glob(F.col("p"), "a/*.py")).collect()] == [False, True, False, False, False]
+    assert [r[0] for r in paths.select(parts.matches_glob(F.col("p"), "a/*.py")).collect()] == [True, True, False, False, False]
     assert [r[0] for r in paths.select(parts.matches_glob(F.col("p"), "**/*.py")).collect()] == [True, True, False, False, False]
     assert [r[0] for r in paths.select(parts.listable(F.col("p"))).collect()] == [True, True, False, False, False]
     labels = {"**Verdict: support**": "SUPPORT", "x\n verdict : CONTRADICT.": "CONTRADICT", "Verdict: INSUFFICIENT, though accurate": "INSUFFICIENT", "Verdict: supported": "SUPPORT", "It cannot be verified.": "INSUFFICIENT"}
