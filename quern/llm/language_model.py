@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared_files import map_array, write_array
+from quern.llm.shared_files import Kept, map_array, write_array
 from quern.llm.text import map_texts, text_bytes
 from quern.plans.columns import pick
 from quern.plans.lineage import fresh_dir
@@ -45,6 +45,8 @@ SLICE, COUNTED, SORTED = 4 << 20, 500_000, 2_500_000
 SHARD_TOKENS, SHARD_BYTES = 2_000_000, 32 << 20
 #: Runs of a bucket, about.
 BUCKET = 4
+#: Files of words, and shards of runs (four files each), that a worker holds open at most: under 1024 files with its own.
+OPEN_WORDS, OPEN_RUNS = 128, 180
 LOW = np.uint64(0xFFFFFFFF)
 #: What an array knows of a run: how many runs one longer end in it, and of those that begin with it the sum and how
 #: many are counted once, twice, and more often.
@@ -198,10 +200,10 @@ class Vocabulary:
     #: Words in each shard.
     sizes: list[int]
     tokens: int
-    _files: dict = field(default_factory=dict, repr=False)
+    _files: Kept = field(default_factory=lambda: Kept(OPEN_WORDS), repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_files": {}}
+        return {**self.__dict__, "_files": Kept(self._files.most)}
 
     @property
     def types(self) -> int:
@@ -213,9 +215,7 @@ class Vocabulary:
         return max(self.sizes) << self.bits
 
     def _file(self, name: str, kind: str) -> np.ndarray:
-        if name not in self._files:
-            self._files[name] = map_array(self.folder, name, kind)
-        return self._files[name]
+        return self._files.of(name, lambda: map_array(self.folder, name, kind))
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Ids of words by binary search."""
@@ -409,23 +409,25 @@ class KneserNey:
     #: Distinct pairs, and words by how many others precede them: 1, 2, 3 or more.
     pairs: int
     words_by: list[int]
-    _files: dict = field(default_factory=dict, repr=False)
+    _files: Kept = field(default_factory=lambda: Kept(OPEN_RUNS), repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_files": {}}
+        return {**self.__dict__, "_files": Kept(self._files.most)}
 
     def _width(self, length: int) -> int:
         return 1 if length == self.order else len(STATS)
 
     def _shard(self, length: int, s: int) -> tuple[np.ndarray, ...]:
         name = f"run{length}-{s}"
-        if name not in self._files:
+
+        def mapped() -> tuple[np.ndarray, ...]:
             folder = self.vocabulary.folder
             keys, starts, code = (map_array(folder, f"{name}.{part}", kind) for part, kind in (("key", "<u4"), ("start", "<u4"), ("code", "<u1")))
             records = map_array(folder, f"{name}.record", "<u8").reshape(-1, self._width(length))
             # plain arrays over the maps, whose elements are read much faster than through the maps' own class
-            self._files[name] = tuple(np.asarray(x).view(np.ndarray) for x in (keys, starts, code.view(f"<u{len(code) // len(keys)}") if len(keys) else code, records))
-        return self._files[name]
+            return tuple(np.asarray(x).view(np.ndarray) for x in (keys, starts, code.view(f"<u{len(code) // len(keys)}") if len(keys) else code, records))
+
+        return self._files.of(name, mapped)
 
     def _find(self, length: int, h: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """The records of runs by hash; zeros for those never seen."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -53,3 +55,21 @@ def map_array(folder: str, name: str, kind: str) -> np.ndarray:
             copy.write(part)
         copy.flush()
         return np.memmap(copy, kind, "r") if copy.tell() else np.zeros(0, kind)
+
+
+class Kept(dict):
+    """Maps by name, of which the first `most` stay and any other goes after its use: a map holds an open file and a region of
+    memory, and a process may have few of either. Files that are gone through in the same order again and again would push one
+    another out of a list of the last used."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def of(self, name: str, make: Callable[[], Any]) -> Any:
+        if name in self:
+            return self[name]
+        made = make()
+        if len(self) < self.most:
+            self[name] = made
+        return made
