@@ -33,7 +33,9 @@ def _cells(records: DataFrame, queries: DataFrame, columns: list[str]):
     """Records and queries grouped so that each lane of entries meets each block of queries once, and their types."""
     records, queries = records.filter("vector IS NOT NULL"), queries.filter("query IS NOT NULL")
     lanes, blocks = max(1, ceil(records.count() / LANE)), max(1, ceil(queries.count() / BLOCK))
-    lane, block = F.pmod(F.xxhash64("entry_id"), F.lit(lanes)), F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    # both sides have keys of one type: a cogroup deals each side by the hash of its own type, and an int's isn't a long's
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    lane, block = part("entry_id", lanes), part("query_id", blocks)
     left = records.select(*columns, "vector", lane.alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = queries.select("query_id", "query", block.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"))
     return left.groupBy("block", "lane").cogroup(right.groupBy("_block", "_lane")), dict(left.dtypes) | dict(right.dtypes)
