@@ -11,15 +11,20 @@ from quern.plans.ordered import last_values
 FACTOR, LEVELS = 8, 12
 
 
-def _binned(rows: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """A row for each bin of each level that an interval takes part in: its own level, whose bins are at least an eighth as long
-    as it, and all wider ones, of which it meets two at most."""
+def _levelled(rows: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """Intervals with their own level, whose bins are at least an eighth as long as they are."""
     length = F.col(end) - F.col(start)
     own = F.lit(LEVELS - 1)
     for level in range(LEVELS - 2, -1, -1):
         own = F.when(length <= width * FACTOR ** (level + 1), F.lit(level)).otherwise(own)
-    rows = rows.withColumn("_level", own)
-    rows = rows.select("*", F.explode(F.sequence(F.col("_level"), F.lit(LEVELS - 1))).alias("_at"))
+    return rows.filter(F.col(start) <= F.col(end)).withColumn("_level", own)
+
+
+def _binned(rows: DataFrame, start: str, end: str, width: int, levels: Column, asked: DataFrame | None = None) -> DataFrame:
+    """A row for each bin that an interval takes part in, of each of `levels` that is asked for; of a wider level than its own it meets two bins at most."""
+    rows = rows.select("*", F.explode(levels).alias("_at"))
+    if asked is not None:
+        rows = rows.join(asked, "_at", "left_semi")
     size = F.lit(width) * F.pow(F.lit(FACTOR), F.col("_at")).cast("long")
     bin_of = lambda c: F.floor(F.col(c) / size).cast("long")
     return rows.withColumn("_first", bin_of(start)).select("*", F.explode(F.sequence(F.col("_first"), bin_of(end))).alias("_bin"))
@@ -29,18 +34,26 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tu
     """All pairs with equal `on` whose closed intervals overlap: the columns of both sides, `on` once.
 
     Spans name long columns, start and end; `width` is the narrowest bin, about a usual length. A pair meets in bins of the
-    longer interval's level and is told in the later of the first bins of the two, so once. A hot key is parted by its bins,
-    and a long interval is a few rows in wide bins. Intervals with a null or that end before they start overlap nothing; null
-    keys match nothing. Other columns of the two sides need different names.
+    longer interval's level alone and is told in the later of the first bins of the two, so once: short intervals never meet
+    in the wide bins that longer ones need. A hot key is parted by its bins, and a long interval is a few rows in wide bins.
+    Intervals with a null or that end before they start overlap nothing; null keys match nothing. Other columns of the two
+    sides need different names.
     """
-    valid = lambda rows, span: rows.filter(F.col(span[0]) <= F.col(span[1]))
     names = lambda rows: [c for c in rows.columns if c not in on]
-    a = _binned(valid(left, left_span), *left_span, width).withColumnsRenamed({"_level": "_la", "_first": "_fa"})
-    b = _binned(valid(right, right_span), *right_span, width).withColumnsRenamed({"_level": "_lb", "_first": "_fb"})
-    met = a.join(b, [*on, "_at", "_bin"])
-    once = (F.col("_at") == F.greatest("_la", "_lb")) & (F.col("_bin") == F.greatest("_fa", "_fb"))
-    overlap = (F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(right_span[0]) <= F.col(left_span[1]))
-    return met.filter(once & overlap).select(*on, *names(left), *names(right))
+    a, b = _levelled(left, *left_span, width), _levelled(right, *right_span, width)
+    one, wider = F.array("_level"), F.sequence(F.col("_level"), F.lit(LEVELS - 1))
+
+    def met(long: DataFrame, long_span: tuple[str, str], short: DataFrame, short_span: tuple[str, str], above: Column) -> DataFrame:
+        # only levels that the longer side has, a dozen numbers at most
+        asked = F.broadcast(long.select(F.col("_level").alias("_at")).distinct())
+        wide = _binned(long, *long_span, width, one).drop("_level").withColumnRenamed("_first", "_fa")
+        narrow = _binned(short, *short_span, width, above, asked).drop("_level").withColumnRenamed("_first", "_fb")
+        overlap = (F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(right_span[0]) <= F.col(left_span[1]))
+        rows = wide.join(narrow, [*on, "_at", "_bin"]).filter((F.col("_bin") == F.greatest("_fa", "_fb")) & overlap)
+        return rows.select(*on, *names(left), *names(right))
+
+    equal_or_wider = met(a, left_span, b, right_span, wider)
+    return equal_or_wider.unionAll(met(b, right_span, a, left_span, F.filter(wider, lambda x: x > F.col("_level"))))
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], at: str, ties: str, value: Column, out: str) -> DataFrame:

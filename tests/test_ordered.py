@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,16 @@ def test_overlaps_meet_once(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_short_spans_of_one_key_never_meet_in_wide_bins(spark):
+    """40 000 spans on each side of one key, three days apart: all pairs are 1.6 billion for each level of bins."""
+    side = lambda name, n: spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 3).alias(f"{name}s"), (F.col("id") * 3 + 1).alias(f"{name}e"), F.col("id").alias(f"{name}id"))
+    long = spark.createDataFrame([(1, 0, 90_000, -1)], "k int, rs long, re long, rid long")
+    got = intervals.overlap_join(side("l", 40_000), side("r", 40_000).union(long), ["k"], ("ls", "le"), ("rs", "re"), 4)
+    start = time.monotonic()
+    assert got.filter("rid >= 0").count() == 40_000 and got.filter("rid < 0").count() == 30_001
+    assert time.monotonic() - start < 60
+
+
 def test_asof_join(spark):
     left = spark.createDataFrame([("u", 5, 1, "x"), ("u", 1, 2, "y"), ("w", 9, 3, "z"), (None, 9, 4, "n")], "k string, at int, id int, keep string")
     right = spark.createDataFrame([("u", 5, 7, 70), ("u", 4, 8, 80), ("u", 3, 9, None), ("w", 10, 10, 1), (None, 2, 11, 5)], "k string, at int, id int, v int")
