@@ -85,3 +85,20 @@ def test_leases_run_out_in_event_time(spark, tmp_path):
     want = leases.expired_at(source, at(299))
     rows_of = lambda df: sorted((r.task_id, r.status, str(r["at"])) for r in df.collect())
     assert rows_of(spark.read.parquet(out)) == rows_of(want) and want.count() > 10
+
+
+def test_leases_are_held_by_buckets(spark, tmp_path, monkeypatch):
+    """Thousands of tasks in four buckets: a call of Python holds many, and a batch with other tasks of a bucket tells those that are over."""
+    monkeypatch.setattr(leases, "BUCKETS", 4)
+    claims = spark.range(6000).select(
+        F.when(F.col("id") > 0, F.col("id") + (1 << 60)).alias("task_id"), F.timestamp_add("SECOND", F.col("id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("ts"),
+        F.when(F.col("id") % 7 == 0, "done").otherwise("running").alias("status"), (F.col("id") % 5).cast("int").alias("attempts"),
+    ).withColumn("lease_until", F.timestamp_add("SECOND", F.lit(60), "ts"))
+    for n in range(5):  # in the order of time
+        claims.filter((F.unix_timestamp("ts") - F.lit(1704067200)).between(n * 1200, n * 1200 + 1199)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    told = leases.expired(stream, late="10 minutes")
+    told.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start().awaitTermination()
+    want = leases.expired_at(spark.read.parquet(str(tmp_path / "in")), "2024-01-01 01:29:59")
+    rows_of = lambda df: sorted((r.task_id or 0, r.status, str(r["at"])) for r in df.collect())
+    assert rows_of(spark.read.parquet(str(tmp_path / "out"))) == rows_of(want) and want.count() > 4000
