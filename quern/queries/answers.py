@@ -105,6 +105,11 @@ def read_parts(s: Store) -> DataFrame:
     return rows.withColumn("error", F.when(F.col("error").startswith("invalid regex"), "invalid regex").otherwise(F.col("error")))
 
 
+def _plain_sql(text: str) -> str:
+    """`documents.plain_quote` in SQL, which has no compatibility forms: the given texts are their own."""
+    return rf"regexp_replace(replace(lower({text}), 'ß', 'ss'), '[\s\p{{P}}\p{{Z}}\p{{C}}]', '', 'g')"
+
+
 _QUOTE = "CASE doc_id % 3 WHEN 0 THEN upper(substring(text, 11, 40)) WHEN 1 THEN 'never said so' ELSE substring(text, 3, 30) END"
 
 
@@ -114,9 +119,9 @@ _READS = """SELECT doc_id AS turn, source AS entry_id, CASE WHEN doc_id % 4 < 2
 
 @query(
     "d19_quoted_evidence",
-    rf"""WITH c AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 7 = 2 THEN 4 WHEN doc_id % 7 = 5 THEN 6 END AS claimed, doc_id % 3 <> 1 AND regexp_replace(replace({_QUOTE}, '#', ''), '[\s\p{{P}}\p{{Z}}\p{{C}}]', '', 'g') <> '' AS supported FROM documents),
-  p AS (SELECT *, CASE WHEN NOT supported THEN NULL WHEN doc_id % 3 = 0 THEN 6 WHEN doc_id % 4 = 1 THEN n_chars % 5 + 1 WHEN doc_id % 4 = 2 THEN 9 END AS seen FROM c)
-  SELECT doc_id AS cite_id, supported, NOT supported OR claimed IS NULL OR coalesce(claimed = seen, false) AS page_supported, CAST(CASE WHEN claimed IS NULL OR claimed = seen THEN seen END AS BIGINT) AS page FROM p""",
+    rf"""WITH c AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 7 = 2 THEN 4 WHEN doc_id % 7 = 5 THEN 6 END AS claimed, {_plain_sql(f"replace({_QUOTE}, '#', '')")} AS quote, doc_id % 3 <> 1 AND {_plain_sql(f"replace({_QUOTE}, '#', '')")} <> '' AS supported FROM documents),
+  p AS (SELECT *, CASE WHEN NOT supported THEN [] WHEN doc_id % 3 = 0 THEN list_concat([6], CASE WHEN contains('first', quote) THEN [4] ELSE [] END, CASE WHEN contains('end', quote) THEN [8] ELSE [] END) WHEN doc_id % 4 = 1 THEN [n_chars % 5 + 1] WHEN doc_id % 4 = 2 THEN [9] ELSE [] END AS seen FROM c)
+  SELECT doc_id AS cite_id, supported, NOT supported OR claimed IS NULL OR list_contains(seen, claimed) AS page_supported, CAST(CASE WHEN claimed IS NULL THEN CASE WHEN len(seen) = 1 THEN seen[1] END WHEN list_contains(seen, claimed) THEN claimed END AS BIGINT) AS page FROM p""",
 )
 def evidence(s: Store) -> DataFrame:
     d = s.raw("documents")
@@ -284,7 +289,11 @@ def stamps(s: Store) -> DataFrame:
     return s.raw("events").select("event_id", F.coalesce(*[F.when(F.year(ts) == y, any_time_stamp(line, y)) for y in (2023, 2024, 2025)]).alias("at"))
 
 
-@query("x20_first_page", "WITH p AS (SELECT conv_id, turn, text FROM conversations), q AS (SELECT conv_id, arg_max(substring(text, 3, 50), turn) AS quote FROM p GROUP BY conv_id HAVING trim(arg_max(substring(text, 3, 50), turn)) <> '') SELECT q.conv_id AS quote_id, min(p.turn) AS page FROM q LEFT JOIN p ON p.conv_id = q.conv_id AND contains(p.text, q.quote) GROUP BY q.conv_id")
+@query(
+    "x20_first_page",
+    f"""WITH p AS (SELECT conv_id, turn, {_plain_sql("text")} AS text FROM conversations), q AS (SELECT conv_id, {_plain_sql("arg_max(substring(text, 3, 50), turn)")} AS quote FROM conversations GROUP BY conv_id HAVING trim(arg_max(substring(text, 3, 50), turn)) <> '')
+  SELECT q.conv_id AS quote_id, min(p.turn) AS page FROM q LEFT JOIN p ON p.conv_id = q.conv_id AND quote <> '' AND contains(p.text, q.quote) GROUP BY q.conv_id""",
+)
 def first_pages(s: Store) -> DataFrame:
     pages = s.raw("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
     quotes = pages.groupBy("doc_id").agg(F.max_by(F.substring("text", 3, 50), "page").alias("quote")).filter("trim(quote) <> ''").withColumn("quote_id", F.col("doc_id"))
