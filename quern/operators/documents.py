@@ -9,6 +9,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql.types import BooleanType, StringType
 
 from quern.operators.members import shell_regex
 
+#: Characters of chunks that a task holds as objects, about, besides one text.
+CHUNK_CHARS = 4 << 20
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*$"
 
 
@@ -32,15 +35,26 @@ def chunks(docs: DataFrame, budget: int, key: str = "doc_id", text: str = "text"
     """
     kind = dict(docs.dtypes)[key]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, t in zip(batch["k"], batch["t"]):
-                out += [(k, *c) for c in fold_lines(t or "", budget)]
-            yield pd.DataFrame(out, columns=["k", "chunk", "first_line", "last_line", "text"]).astype({"k": batch["k"].dtype})
+            at, out, size = [], [], 0
+            for i, t in enumerate(batch.column(1)):
+                made = fold_lines(t.as_py(), budget)
+                at += [i] * len(made)
+                out += made
+                size += sum(len(c[3]) for c in made)
+                if size > CHUNK_CHARS:
+                    yield packed(batch, at, out)
+                    at, out, size = [], [], 0
+            yield packed(batch, at, out)
+
+    def packed(batch: pa.RecordBatch, at: list[int], out: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+        columns = zip(*out) if out else ([], [], [], [])
+        made = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.string()))]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *made], names=["k", "chunk", "first_line", "last_line", "text"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL AND t <> ''")
-    return rows.mapInPandas(cut, f"k {kind}, chunk int, first_line int, last_line int, text string").withColumnRenamed("k", key)
+    return rows.mapInArrow(cut, f"k {kind}, chunk int, first_line int, last_line int, text string").withColumnRenamed("k", key)
 
 
 def fold_lines(text: str, budget: int) -> list[tuple[int, int, int, str]]:
@@ -122,21 +136,22 @@ def plain_quote(text: str) -> str:
     return unicodedata.normalize("NFKC", text).translate(_PLAIN)
 
 
-@F.pandas_udf(StringType())
-def plain(text: pd.Series) -> pd.Series:
-    """`plain_quote` of a column, once for each text; null stays null."""
-    return text.map(plain_quote, na_action="ignore")
+@F.arrow_udf(StringType())
+def plain(text: pa.Array) -> pa.Array:
+    """`plain_quote` of a column, once for each text; null stays null. One text at a time is an object."""
+    return pa.array((t if (t := x.as_py()) is None else plain_quote(t) for x in text), pa.string())
 
 
-@F.pandas_udf(BooleanType())
-def quote_in(source: pd.Series, quote: pd.Series) -> pd.Series:
-    """True where the quote's characters stand in the source in order; an empty quote is nowhere."""
-    found = []
-    for s, q in zip(source, quote):
-        needle = plain_quote(q or "")
+@F.arrow_udf(BooleanType())
+def quote_in(source: pa.Array, quote: pa.Array) -> pa.Array:
+    """True where the quote's characters stand in the source in order; an empty quote is nowhere. One text at a time is an object."""
+
+    def found(source: str | None, quote: str | None) -> bool:
+        needle = plain_quote(quote or "")
         # a text that holds the quote as it stands needs no plain form
-        found.append(bool(needle) and (q in (s or "") or needle in plain_quote(s or "")))
-    return pd.Series(found)
+        return bool(needle) and (quote in (source or "") or needle in plain_quote(source or ""))
+
+    return pa.array((found(s.as_py(), q.as_py()) for s, q in zip(source, quote)), pa.bool_())
 
 
 def first_page(pages: DataFrame, quotes: DataFrame) -> DataFrame:
