@@ -27,3 +27,16 @@ def test_pruned_search_equals_full_scores(spark, monkeypatch):
     read = {r["read"]: r.n for r in few.ranges.groupBy("read").agg(F.sum("blocks").alias("n")).collect()}
     assert read[False] > 20 * read[True]
     assert search_index.search(search_index.build(texts.filter("false")), queries, 3).results.count() == 0
+
+
+def test_a_cell_passes_on_the_best_alone(spark, monkeypatch):
+    monkeypatch.setattr(search_index, "LANE", 2)
+    texts = spark.createDataFrame([(i, "the same word " + str(i)) for i in range(600)], "entry_id long, text string").coalesce(1)
+    index = search_index.build(texts)
+    asked = search_index._asked(spark.createDataFrame([(1, "the word"), (2, "same 7")], "query_id long, text string"), index)
+    ranges = asked.join(index.tops, "term").select("query_id", "range").distinct()
+    lanes = -(-index.tops.select("range").distinct().count() // 2)
+    found = search_index._scores(asked, index, ranges, 3)
+    # before, every entry that shares a term was a row for each query
+    assert 6 <= found.count() <= 2 * 3 * lanes
+    assert {(r["query_id"], r["entry_id"]) for r in found.collect()} >= {(1, 0), (1, 1), (1, 2), (2, 7)}
