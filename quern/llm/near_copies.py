@@ -1,10 +1,11 @@
-"""Near copies by the share of five-word runs: MinHash bands propose pairs, the texts themselves decide.
+"""Near copies by the share of five-word runs: SimHash balls and MinHash bands propose pairs, the texts themselves decide.
 
 A text is the set of its runs of five lower-cased words. Texts with equal sets are joined first, by a 128-bit digest, so
-that exact copies are never paired out. Every other text has BANDS keys of ROWS minima each; texts that share a key are
-candidates, and only those whose similarity (common runs divided by all runs of both) reaches 4/5 are linked. A pair at
-the threshold shares no key with a chance of 2.2e-5, one at 0.9 with less than 1e-10. Classes are the connected
-components of the links.
+that exact copies are never paired out. Every other text has a SimHash of its runs, and all whose fingerprints
+are connected by balls (`simhash.links`) share a key; most near copies are farther apart than a ball reaches, so it has
+BANDS keys of ROWS minima each besides. Texts that share a key are candidates, and only those whose similarity (common runs
+divided by all runs of both) reaches 4/5 are linked. A pair at the threshold shares no band with a chance of 2.2e-5, one
+at 0.9 with less than 1e-10. Classes are the connected components of the links.
 
 Keys with the same texts are verified once. A key of many texts is dealt into parts of about CELL that meet two by two,
 so that no task holds a whole group; inside a cell a text is compared until it is linked, so a group of copies costs
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import simhash
 from quern.llm.licenses import _Hashes, shingle_hashes
 from quern.llm.shared_files import map_array, write_array
 from quern.llm.text import map_texts, text_bytes
@@ -99,7 +101,7 @@ def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, _row, the two halves of the digest of the set, and its keys."""
+    """doc_id, _row, the two halves of the digest of the set, its fingerprint and its keys."""
     table = _Hashes()
 
     def per_batch(texts: list[bytes]) -> dict[str, pa.Array]:
@@ -110,9 +112,10 @@ def _signatures(docs: DataFrame) -> DataFrame:
         keys = [band_keys(s) for s in sets]
         edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.int64), *keys])
-        return {"high": pa.array(halves[:, 0]), "low": pa.array(halves[:, 1]), "keys": pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))}
+        fp = np.fromiter((simhash.fingerprint(t, SHINGLE) for t in texts), np.uint64, len(texts)).view(np.int64)
+        return {"high": pa.array(halves[:, 0]), "low": pa.array(halves[:, 1]), "fp": pa.array(fp), "keys": pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))}
 
-    return map_texts(docs, ["doc_id", "_row"], "high long, low long, keys array<long>", per_batch)
+    return map_texts(docs, ["doc_id", "_row"], "high long, low long, fp long, keys array<long>", per_batch)
 
 
 def _candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -145,9 +148,16 @@ def _candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select(F.col("_row").alias("node"), text_bytes().alias("_bytes")).mapInArrow(among, "node long, _bytes binary")
 
 
+def _ball_keys(distinct: DataFrame) -> DataFrame:
+    """node and key: one key for all texts whose fingerprints are connected by balls."""
+    classes = connected_components(simhash.links(distinct.select("fp").distinct())).toDF("_fp", "_class")  # only fingerprints that have a link
+    named = distinct.join(classes, F.col("fp") == F.col("_fp"), "left")
+    return named.select("node", F.xxhash64(F.coalesce("_class", "fp"), F.lit(SEED)).alias("key"))
+
+
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Pairs (a, b) of row numbers of near texts, which connect all that share a key."""
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    keyed = distinct.select("node", F.explode("keys").alias("key")).union(cut(_ball_keys(distinct)))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("n > 1")
     shared = shared.groupBy("n", "x", "y").agg(F.min("key").alias("_key")).select("_key", "n")
     members = cut(keyed.join(shared, F.col("key") == F.col("_key")).select("node", "key", "n"))
@@ -174,7 +184,7 @@ def keep_one(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     docs = numbered(docs, *dict.fromkeys([*columns, "doc_id", "text"]))
     rows = cut(_signatures(docs))
     place = F.struct("doc_id", "_row")
-    distinct = cut(rows.groupBy("high", "low").agg(F.min(place).alias("_place"), F.first("keys").alias("keys")).select(F.col("_place._row").alias("node"), "_place", "keys"))
+    distinct = cut(rows.groupBy("high", "low").agg(F.min(place).alias("_place"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).select(F.col("_place._row").alias("node"), "_place", "fp", "keys"))
     classes = connected_components(_links(docs, distinct)).withColumnRenamed("node", "_n")  # only texts that have a link
     named = distinct.join(classes, F.col("node") == F.col("_n"), "left").select(F.coalesce("component", "node").alias("_class"), "_place")
     kept = named.groupBy("_class").agg(F.min("_place").alias("_first")).select("_first.*").toDF("_d", "_r")
