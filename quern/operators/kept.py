@@ -18,7 +18,7 @@ def update_components(labels: DataFrame, edges: DataFrame, added: DataFrame, rem
     only components that a new edge meets are solved again, as single nodes. A removed edge opens its own component:
     its remaining edges are solved anew, and nodes without any edge have no label.
     """
-    ends = lambda rows, a="a", b="b": rows.select(F.col(a).alias("node")).union(rows.select(F.col(b).alias("node"))).distinct()
+    ends = lambda rows: rows.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     proper = lambda rows: rows.select("a", "b").filter("a <> b")
     if removed is not None:
         opened = labels.join(ends(proper(removed)), "node", "left_semi").select("component").distinct()
@@ -26,7 +26,7 @@ def update_components(labels: DataFrame, edges: DataFrame, added: DataFrame, rem
         # only edges between old nodes of opened components; new edges come below
         old = proper(edges).join(inside.select(F.col("node").alias("a")), "a", "left_semi").join(inside.select(F.col("node").alias("b")), "b", "left_semi")
         labels = written(labels.join(opened, "component", "left_anti").select("node", "component").union(connected_components(old)))
-    fresh = proper(added)
+    fresh = written(proper(added))  # read three times
     of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
     met = fresh.join(of("a"), "a", "left").join(of("b"), "b", "left")
     links = written(met.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))

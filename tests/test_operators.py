@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
 import tarfile
 import zipfile
 
@@ -101,6 +102,31 @@ def test_tag_overlap(spark):
     assert {(r.a, r.b): (round(r.jaccard, 2), r.weight) for r in got.collect()} == {("A", "B"): (0.6, 6), ("B", "C"): (0.4, 4)}
 
 
+def test_components_of_long_paths_take_few_jobs(spark):
+    edges = spark.range(6000).filter("id % 1500 <> 7").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    spark.sparkContext.setJobGroup("paths", "")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("paths"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    firsts = [0, 8, 1508, 3008, 4508]
+    assert got == {n: max(f for f in firsts if f <= n) for n in range(6001)}
+    assert jobs <= 40, jobs
+
+
+@pytest.mark.parametrize("cell", [1, 7, 1 << 18])
+def test_components_from_cells_of_any_size(spark, cell):
+    rng = random.Random(cell)
+    edges = {(rng.randrange(300), rng.randrange(300)) for _ in range(170)} | {(1000, n) for n in range(400, 460)} | {(5, 5)}
+    parent = {n: n for e in edges if e[0] != e[1] for n in e}
+    root = lambda n: n if parent[n] == n else root(parent[n])
+    for a, b in edges:
+        if a != b:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    for kind, name in (("long", int), ("string", lambda n: f"{n:04}")):
+        got = connected_components(spark.createDataFrame([(name(a), name(b)) for a, b in sorted(edges)], f"a {kind}, b {kind}"), cell=cell).collect()
+        assert sorted(tuple(r) for r in got) == sorted((name(n), name(root(n))) for n in parent)
+
+
 def test_components_and_clusters(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
