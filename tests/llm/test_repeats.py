@@ -80,6 +80,24 @@ def test_against_all_windows(spark, monkeypatch, keep, most):
     assert got(frame, 50, keep) == plain(docs, 50, keep)
 
 
+def test_tasks_follow_contexts(spark, monkeypatch):
+    tasks, settled = [], repeats._settled
+
+    def watched(items, *args):
+        made = settled(items, *args)
+        tasks.append((items.count(), made.rdd.getNumPartitions()))
+        return made
+
+    monkeypatch.setattr(repeats, "_settled", watched)
+    monkeypatch.setattr(repeats, "TASK_CONTEXTS", 16, raising=False)
+    docs = texts(3)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0))
+    assert got(frame, 50, "none") == plain(docs, 50, "none")
+    # before, partitions were merged by their bytes, whatever the number of contexts
+    assert tasks and all(contexts > 64 and n == -(-contexts // 16) for contexts, n in tasks)
+
+
 def test_kept_bytes_and_empty_table(spark):
     made = repeats.remove_repeats(spark.createDataFrame([(1, "abcdefgh"), (2, "xxabcdefghyy")], "doc_id long, text string"), 6)
     assert {r.doc_id: bytes(r.kept) for r in made.collect()} == {1: b"abcdefgh", 2: b"xxyy"}
