@@ -11,7 +11,8 @@ a group, an A token that ends where a B token ends, points to itself; doubling s
 once, brings every token to the last one of its group.
 
 How often a pair of ids is linked in the corpus is counted by slice and pair, then by pair; what slices hold is told back
-to them. A slice's rows are bounded by its bytes, and a pair that all documents hold is one row for each slice.
+to them. A slice's rows are bounded by its bytes, and a pair that all documents hold is one row for each slice. A slice is
+many small rows, its arrays in pieces: writers and readers of tables hold a hundred rows and more at a time, whatever their size.
 
 Defined cases: null and empty texts, and texts whose tokens don't spell a blank and the text (the piece model writes a
 blank for U+2581 and may normalise), have no tokens: zeros and an empty string; special tokens inside texts are plain
@@ -29,15 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.text import bounded, text_bytes
 from quern.plans.columns import pick
-from quern.plans.lineage import written
+from quern.plans.lineage import stored, written
 
 SLICE_BYTES = 4 << 20
+#: Bytes of a slice's array that are one row, and segments that are encoded at a time.
+PIECE_BYTES, ENCODED = 64 << 10, 1 << 14
+#: What a slice's row is: a document, a piece of one of the slice's arrays, or one of its pairs.
+_DOCUMENT, _SEGMENTS, _N_LINKS, _LINKS, _PAIR = range(5)
 #: Two ids in one long: B ids take the low bits.
 _B_BITS = 24
 
@@ -154,9 +160,21 @@ def _aligned(segments: list[str], t: _Tokenizers) -> dict:
     return {"good": good, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "said": said, "pairs": pairs}
 
 
+def _aligned_in_parts(segments: list[str], t: _Tokenizers) -> dict:
+    """`_aligned` of all segments, some at a time, so that few are objects of their own at once."""
+    made = [_aligned(segments[i : i + ENCODED], t) for i in range(0, len(segments), ENCODED)] or [_aligned([], t)]
+    return {k: [x for part in made for x in part[k]] if k == "said" else np.concatenate([part[k] for part in made]) for k in made[0]}
+
+
+def _pieces(values: np.ndarray) -> list[bytes]:
+    data = values.astype(np.int32).tobytes()
+    return [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
+
+
 def _slices(source: DataFrame, carry: int, tokenizers: tuple[str, str, str], digest_only: bool) -> tuple[DataFrame, list[str]]:
-    """A row for each slice: its documents, their segments, the segments' links as numbers of the slice's pairs, and how
-    often each pair is linked in it."""
+    """Rows of slices, by `kind`: documents with n, how many segments they have; pieces of the segments of all documents, of
+    how many links a segment has and of the links, which are places of pairs; and pairs with n, how often they are linked in
+    the slice. `at` is the place among a slice's rows of one kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizers(*tokenizers)
@@ -171,7 +189,7 @@ def _slices(source: DataFrame, carry: int, tokenizers: tuple[str, str, str], dig
                 text = text.as_py()
                 segments = t.segments(text.decode("utf-8", "replace")) if text else []
                 found.append(np.fromiter(map(local.__getitem__, segments), np.int32, len(segments)))
-            made = _aligned(list(local), t)
+            made = _aligned_in_parts(list(local), t)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             segments = np.concatenate(found)
             good = (_sums(made["good"][segments], sizes) == sizes) & (sizes > 0)
@@ -185,25 +203,30 @@ def _slices(source: DataFrame, carry: int, tokenizers: tuple[str, str, str], dig
             held = np.bincount(segments, minlength=len(local))
             pairs, links = np.unique(made["pairs"], return_inverse=True)
             counts = np.bincount(links, np.repeat(held, made["n_links"]), len(pairs)).astype(np.int64)
-            documents = pa.StructArray.from_arrays([*batch.columns[:carry], *[pa.array(sums[k]) for k in _NAMES], pa.array(texts, pa.string())], names=names)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number]), pa.ListArray.from_arrays([0, len(documents)], documents), pa.array([sizes.tobytes()]), pa.array([segments.tobytes()]),
-                    pa.array([made["n_links"].tobytes()]), pa.array([links.astype(np.int32).tobytes()]), pa.array([pairs.tolist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())),
-                ],
-                names=["slice", "documents", "sizes", "segments", "n_links", "links", "pairs", "counts"],
-            )
+            carried = dict(zip(names, [*batch.columns[:carry], *[pa.array(sums[k]) for k in _NAMES], pa.array(texts, pa.string())]))
+            empty = {k: x.type for k, x in carried.items()}
+            arrays = [(kind, i, x) for kind, values in ((_SEGMENTS, segments), (_N_LINKS, made["n_links"]), (_LINKS, links)) for i, x in enumerate(_pieces(values))]
+            held = np.flatnonzero(counts)
+            for kind, at, own in (
+                (np.full(len(sizes), _DOCUMENT), np.arange(len(sizes)), carried | {"n": pa.array(sizes)}),
+                (np.array([x[0] for x in arrays], int), np.array([x[1] for x in arrays], int), {"data": pa.array([x[2] for x in arrays], pa.binary())}),
+                (np.full(len(held), _PAIR), held, {"n": pa.array(counts[held]), "pair": pa.array(pairs[held])}),
+            ):
+                own |= {"slice": pa.array(np.full(len(at), number)), "kind": pa.array(kind, pa.int32()), "at": pa.array(at, pa.int32())}
+                yield pa.RecordBatch.from_arrays([own[k] if k in own else pa.nulls(len(at), empty.get(k) or types[k]) for k in columns], names=columns)
             number += 1
 
     kinds = dict(source.dtypes)
     names = [*[f"_c{i}" for i in range(carry)], *_NAMES, "groups"]
-    fields = ", ".join([*(f"_c{i}: {kinds[f'_c{i}']}" for i in range(carry)), *(f"{k}: long" for k in _NAMES), "groups: string"])
-    return source.mapInArrow(run, f"slice long, documents array<struct<{fields}>>, sizes binary, segments binary, n_links binary, links binary, pairs array<long>, counts array<long>"), names
+    types = {"slice": pa.int64(), "kind": pa.int32(), "at": pa.int32(), "n": pa.int64(), "pair": pa.int64(), "data": pa.binary()}
+    columns = [*types, *names]
+    fields = ", ".join([*(f"_c{i} {kinds[f'_c{i}']}" for i in range(carry)), *(f"{k} long" for k in _NAMES), "groups string"])
+    return source.mapInArrow(run, f"slice long, kind int, at int, n long, pair long, data binary, {fields}"), names
 
 
 def _pair_counts(slices: DataFrame) -> DataFrame:
     """pair, count, and best: whether no other pair with the same B id is linked more often."""
-    counted = slices.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).filter("p.counts > 0").groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.counts").alias("count"))
+    counted = slices.filter(F.col("kind") == _PAIR).groupBy("pair").agg(F.sum("n").alias("count"))
     counted = written(counted).withColumn("_b", F.col("pair").bitwiseAND((1 << _B_BITS) - 1))
     most = counted.groupBy("_b").agg(F.max("count").alias("_most"))
     return counted.join(most, "_b").select("pair", "count", (F.col("count") == F.col("_most")).alias("best"))
@@ -211,7 +234,7 @@ def _pair_counts(slices: DataFrame) -> DataFrame:
 
 def pair_counts(docs: DataFrame, tokenizers: tuple[str, str, str]) -> DataFrame:
     """a_id, b_id, count (links of the two ids in all documents) and best (none of the B id is more frequent)."""
-    slices = written(_slices(pick(docs, "text").select(text_bytes().alias("_bytes")), 0, tokenizers, True)[0].select("pairs", "counts"))
+    slices = written(_slices(pick(docs, "text").select(text_bytes().alias("_bytes")), 0, tokenizers, True)[0].filter(F.col("kind") == _PAIR).select("kind", "pair", "n"))
     rows = _pair_counts(slices)
     return rows.select(F.shiftright("pair", _B_BITS).alias("a_id"), F.col("pair").bitwiseAND((1 << _B_BITS) - 1).alias("b_id"), "count", "best")
 
@@ -225,23 +248,25 @@ def align(docs: DataFrame, tokenizers: tuple[str, str, str], carry: tuple[str, .
     """
     source = pick(docs, *dict.fromkeys([*carry, "text"])).select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], text_bytes().alias("_bytes"))
     slices, names = _slices(source, len(carry), tokenizers, digest_only)
-    slices = written(slices)
+    slices, _ = stored(slices)
     counts = _pair_counts(slices)
-    held = slices.select("slice", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "_p")).filter("_p.counts > 0").select("slice", "place", F.col("_p.pairs").alias("pair"))
+    held = slices.filter(F.col("kind") == _PAIR).select("slice", F.col("at").alias("place"), "pair")
     told = held.join(counts, "pair").select(F.col("slice").alias("of"), "place", "count", "best")
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.column("documents").chunk(0) if left.num_rows else None
-        if row is None:
-            return schema.empty_table()
-        documents = row.flatten()
-        part = {k: np.frombuffer(left.column(k)[0].as_py(), kind) for k, kind in (("sizes", np.int64), ("segments", np.int32), ("n_links", np.int64), ("links", np.int32))}
+        def part(kind: int) -> pa.Table:
+            rows = left.filter(pc.equal(left.column("kind"), kind))
+            return rows.take(pa.array(np.argsort(rows.column("at").to_numpy())))
+
+        documents = part(_DOCUMENT)
+        sizes = documents.column("n").to_numpy()
+        segments, n_links, links = (np.frombuffer(b"".join(part(k).column("data").to_pylist()), np.int32) for k in (_SEGMENTS, _N_LINKS, _LINKS))
         place = right.column("place").to_numpy()
-        size = max(part["links"].max(initial=-1), place.max(initial=-1)) + 1
+        size = max(links.max(initial=-1), place.max(initial=-1)) + 1
         count, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
         count[place], best[place] = right.column("count").to_numpy(), right.column("best").to_numpy(zero_copy_only=False)
-        made = [pa.array(_sums(_sums(x[part["links"]], part["n_links"])[part["segments"]], part["sizes"])) for x in (best, count)]
-        return pa.Table.from_arrays([*documents.flatten(), *made], names=[*names, "n_best", "count_sum"]).cast(schema)
+        made = [pa.array(_sums(_sums(x[links], n_links)[segments], sizes)) for x in (best, count)]
+        return pa.Table.from_arrays([*[documents.column(c) for c in names], *made], names=[*names, "n_best", "count_sum"]).cast(schema)
 
     kinds = dict(source.dtypes)
     out = ", ".join([*(f"_c{i} {kinds[f'_c{i}']}" for i in range(len(carry))), *(f"{k} long" for k in _NAMES), "groups string, n_best long, count_sum long"])
@@ -249,6 +274,6 @@ def align(docs: DataFrame, tokenizers: tuple[str, str, str], carry: tuple[str, .
 
     types = {f"_c{i}": to_arrow_type(source.schema[f"_c{i}"].dataType) for i in range(len(carry))} | {"groups": pa.string()}
     schema = pa.schema([(n, types.get(n, pa.int64())) for n in [*names, "n_best", "count_sum"]])
-    whole = slices.select("slice", "documents", "sizes", "segments", "n_links", "links").groupBy("slice").cogroup(told.groupBy("of")).applyInArrow(add_up, out)
+    whole = slices.filter(F.col("kind") != _PAIR).drop("pair").groupBy("slice").cogroup(told.groupBy("of")).applyInArrow(add_up, out)
     last = F.col("groups").alias("groups_sha256" if digest_only else "groups")
     return whole.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *_NAMES, "n_best", "count_sum", last)

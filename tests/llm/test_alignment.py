@@ -119,3 +119,15 @@ def test_groups_counts_and_empty_table(spark):
 def test_registered_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert rows(queries.op13_align_tokenizers(spark, SF)) == plain(docs)
+
+
+def test_rows_of_a_slice_are_small(spark):
+    """A slice of 4 MB as one row made pages of a hundred such rows, and memory grew with a task's input."""
+    docs = [(i, " ".join(f"w{i * j % 9973}" for j in range(400))) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    source = frame.select(F.col("doc_id").alias("_c0"), F.col("text").cast("binary").alias("_bytes"))
+    made = alignment._slices(source, 1, queries.ALIGNED, True)[0]
+    assert not [c for c, kind in made.dtypes if kind.startswith("array")]
+    sizes = made.agg(*[F.max(F.length(c)).alias(c) for c, kind in made.dtypes if kind == "binary"]).first()
+    assert max(sizes) <= alignment.PIECE_BYTES
+    assert rows(alignment.align(frame, queries.ALIGNED, digest_only=True)) == plain(docs)
